@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from evenkeel import fixed_values as fv
-from evenkeel.functions.binding import let
+from evenkeel.functions.binding import first_row, let, rows_literal
+from evenkeel.functions.rounding import round_even
 
 #: longest name whose bit vector fits a signed 64-bit integer without overflow
 BIT_NAME_LENGTH = 61
@@ -25,7 +26,7 @@ def words(c: Column) -> Column:
 
 
 def has_word(c: Column, wanted: list[str]) -> Column:
-    return F.arrays_overlap(words(c), F.array(*[F.lit(w) for w in wanted]))
+    return F.arrays_overlap(words(c), F.lit(wanted))
 
 
 def char_masks(c: Column) -> Column:
@@ -163,17 +164,19 @@ def base_type(c: Column) -> Column:
 
 def type_compatibility(source_type: Column, target_type: Column) -> Column:
     """Exact pair first, then the first prefix pair in list order, else neutral."""
-    pairs = [(a.upper(), b.upper(), v) for a, b, v in fv.TYPE_COMPATIBILITY]
+    known = rows_literal(
+        ["s", "t", "score"], [(a.upper(), b.upper(), v) for a, b, v in fv.TYPE_COMPATIBILITY]
+    )
 
     def lookup(p: Column) -> Column:
-        s, t = p["s"], p["t"]
-        exact = [F.when((s == a) & (t == b), F.lit(v)) for a, b, v in pairs]
-        prefix = [F.when(s.startswith(a) & t.startswith(b), F.lit(v)) for a, b, v in pairs]
-        return F.coalesce(*exact, *prefix, F.lit(fv.UNKNOWN_COMPATIBILITY))
+        exact = first_row(known, lambda k: (p["s"] == k["s"]) & (p["t"] == k["t"]))
+        prefix = first_row(
+            known, lambda k: p["s"].startswith(k["s"]) & p["t"].startswith(k["t"])
+        )
+        return F.coalesce(exact, prefix)["score"]
 
-    return let(
-        F.struct(base_type(source_type).alias("s"), base_type(target_type).alias("t")), lookup
-    )
+    pair = F.struct(base_type(source_type).alias("s"), base_type(target_type).alias("t"))
+    return F.coalesce(let(pair, lookup), F.lit(fv.UNKNOWN_COMPATIBILITY))
 
 
 def confidence(name: Column, types: Column, position: Column, learned: Column) -> Column:
@@ -196,7 +199,7 @@ def confidence_reason(
     learned: Column,
 ) -> Column:
     """Explanation text made of name, type and learned-pair sentences."""
-    shown = F.format_string("%.2f", name)
+    shown = round_even(name, 2).cast("string")
 
     def names(template: str, joiner: str) -> Column:
         return F.concat(

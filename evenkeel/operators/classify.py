@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evenkeel import fixed_values as fv
-from evenkeel.functions.binding import let
+from evenkeel.functions.binding import ends_with_any, let, starts_with_any
 from evenkeel.functions.names import has_word
 
 NUMERIC_GROUPS = ["numeric_financial", "numeric_quantity", "numeric_generic"]
@@ -19,20 +19,6 @@ CHECKS = [
 ]
 
 
-def _starts(c: Column, prefixes: list[str]) -> Column:
-    hit = F.lit(False)
-    for p in prefixes:
-        hit = hit | c.startswith(p)
-    return hit
-
-
-def _ends(c: Column, suffixes: list[str]) -> Column:
-    hit = F.lit(False)
-    for s in suffixes:
-        hit = hit | c.endswith(s)
-    return hit
-
-
 def column_group(name: Column, type_name: Column) -> Column:
     """First matching group: type decides skip and temporal, then names, then types."""
     base = F.trim(F.regexp_replace(F.trim(F.lower(type_name)), r"\s*\([^)]*\)", ""))
@@ -41,21 +27,21 @@ def column_group(name: Column, type_name: Column) -> Column:
 
 def _group_of(column: Column) -> Column:
     n, t = column["n"], column["t"]
-    numeric = _starts(t, fv.NUMERIC_TYPE_PREFIXES)
+    numeric = starts_with_any(t, fv.NUMERIC_TYPE_PREFIXES)
     last_word = F.element_at(F.split(n, "_"), -1)
     return (
         F.when(t.isin(fv.SKIP_TYPES), "skipped")
         .when(t.isin(fv.TEMPORAL_TYPES), "temporal")
-        .when(t.contains("uuid") | (n == "id") | _ends(n, fv.ID_SUFFIXES), "identifier")
+        .when(t.contains("uuid") | (n == "id") | ends_with_any(n, fv.ID_SUFFIXES), "identifier")
         .when(
-            t.isin("boolean", "bool") | _starts(n, fv.FLAG_PREFIXES) | n.isin(fv.FLAG_NAMES),
+            t.isin("boolean", "bool") | starts_with_any(n, fv.FLAG_PREFIXES) | n.isin(fv.FLAG_NAMES),
             "status_flag",
         )
         .when(numeric & has_word(n, fv.FINANCIAL_WORDS), "numeric_financial")
         .when(numeric & has_word(n, fv.QUANTITY_WORDS), "numeric_quantity")
         .when(numeric, "numeric_generic")
         .when(
-            _starts(t, fv.TEXT_TYPE_PREFIXES)
+            starts_with_any(t, fv.TEXT_TYPE_PREFIXES)
             & (last_word.isin(fv.ENUM_WORDS) | n.isin(fv.ENUM_WORDS)),
             "text_enum",
         )

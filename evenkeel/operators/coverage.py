@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evenkeel import fixed_values as fv
+from evenkeel.functions.rounding import round_even
 
 
 def _percent(part: Column, whole: Column, digits: int | None = 1) -> Column:
     share = F.lit(100.0) * part / whole
-    shown = share if digits is None else F.round(share, digits)
+    shown = share if digits is None else round_even(share, digits).cast("double")
     return F.when(whole > 0, shown).otherwise(F.lit(0.0))
 
 
@@ -137,7 +138,7 @@ def schema_health(coverage: DataFrame) -> DataFrame:
 
     warnings = [
         F.when(low, text(
-            "Low coverage (", F.format_string("%.1f", F.col("overall_coverage")), "%) — Only ",
+            "Low coverage (", round_even(F.col("overall_coverage"), 1).cast("string"), "%) — Only ",
             count("matched_columns"), " of ", count("total_columns"),
             " total columns validated")),
         F.when(F.col("target_only") > 0, text(
@@ -147,7 +148,7 @@ def schema_health(coverage: DataFrame) -> DataFrame:
             count("source_only"), " columns exist in source but not in target — "
             "possible dropped columns or incomplete migration")),
         F.when(rate > fv.HIGH_EXCLUSION_PCT, text(
-            "High exclusion rate (", F.format_string("%.1f", rate), "%) — ",
+            "High exclusion rate (", round_even(rate, 1).cast("string"), "%) — ",
             gone.cast("string"), " of ", count("total_columns"), " columns excluded")),
     ]
     advice = [

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from evenkeel import fixed_values as fv
 from evenkeel.functions import names as nm
+from evenkeel.functions.rounding import round_even
 from evenkeel.operators.windows import top_per_key
 
 #: names scored together in one row
@@ -89,39 +90,41 @@ def unmatched_targets(matches: DataFrame, target: DataFrame) -> DataFrame:
 # --- candidate search -------------------------------------------------------------------------
 
 
-def _chunked(target: DataFrame, block: list[str], entry: Column) -> DataFrame:
-    """Target entries of a block as arrays of about CHUNK_NAMES, numbered 0..chunks-1.
+def _meet_chunks(
+    source: DataFrame, target: DataFrame, block: str, entry: Column, how: str = "inner"
+) -> DataFrame:
+    """Every source row next to every chunk of target entries of its block.
 
-    Chunks are picked by a hash of the whole entry, so equal names spread as well.
+    Targets are packed into ``entries`` arrays of about CHUNK_NAMES.  The chunk is picked by a
+    hash of the whole entry, so equal names spread as well.  Rows meet on (block, chunk): a
+    block that holds much of the catalog is spread over its chunks.  With ``how="left"`` source
+    rows of a block without targets stay, with ``entries`` NULL.
     """
-    sizes = target.groupBy(*block).agg(
+    sizes = target.groupBy(block).agg(
         F.ceil(F.count(F.lit(1)) / F.lit(float(CHUNK_NAMES))).cast("long").alias("chunks")
     )
-    return (
-        target.select(*block, entry.alias("entry"))
+    chunks = (
+        target.select(block, entry.alias("entry"))
         .join(sizes, block)
         .withColumn("chunk", F.pmod(F.xxhash64("entry"), F.col("chunks")))
-        .groupBy(*block, "chunk", "chunks")
+        .groupBy(block, "chunk")
         .agg(F.collect_list("entry").alias("entries"))
     )
-
-
-def _meet_chunks(source: DataFrame, chunks: DataFrame, block: list[str]) -> DataFrame:
-    """Every source row next to every chunk of its block, joined on block and chunk."""
-    sizes = chunks.select(*block, "chunks").distinct()
-    asked = source.join(sizes, block).withColumn(
-        "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+    last = F.coalesce(F.col("chunks"), F.lit(1).cast("long")) - 1
+    asked = source.join(sizes, block, how).withColumn(
+        "chunk", F.explode(F.sequence(F.lit(0).cast("long"), last))
     )
-    return asked.drop("chunks").join(chunks.drop("chunks"), [*block, "chunk"])
+    return asked.drop("chunks").join(chunks, [block, "chunk"], how)
 
 
 def fuzzy_candidates(
-    source: DataFrame, target: DataFrame, top_n: int = fv.CANDIDATES_PER_COLUMN
+    source: DataFrame, target: DataFrame, top_n: int = fv.CANDIDATES_PER_COLUMN,
+    keep_lonely: bool = False,
 ) -> DataFrame:
     """The ``top_n`` most similar target columns of every source column of the same table.
 
     Ties go to the lower target ordinal.  Source columns of tables without target columns have
-    no rows.
+    no rows, or with ``keep_lonely`` one row without a target.
     """
     entry = F.struct(
         F.col("ordinal").alias("ordinal"), F.col("name").alias("name"),
@@ -131,7 +134,7 @@ def fuzzy_candidates(
         "table", F.col("ordinal"), F.col("name").alias("source_column"),
         F.col("type").alias("source_type"), nm.name_key(F.col("name")).alias("source_key"),
     ).withColumn("masks", nm.char_masks(F.col("source_key")))
-    met = _meet_chunks(asked, _chunked(target, ["table"], entry), ["table"])
+    met = _meet_chunks(asked, target, "table", entry, "left" if keep_lonely else "inner")
     scored = F.transform(
         "entries",
         lambda e: F.struct(
@@ -142,7 +145,9 @@ def fuzzy_candidates(
     )
     winners = met.select(
         "table", "ordinal", "source_column", "source_type", "source_key",
-        F.explode(F.slice(F.array_sort(scored), 1, top_n)).alias("w"),
+        (F.explode_outer if keep_lonely else F.explode)(
+            F.slice(F.array_sort(scored), 1, top_n)
+        ).alias("w"),
     ).select(
         "table", "ordinal", "source_column", "source_type", "source_key",
         F.col("w.name").alias("target_column"), F.col("w.type").alias("target_type"),
@@ -151,7 +156,7 @@ def fuzzy_candidates(
     )
     return top_per_key(
         winners, ["table", "ordinal", "source_column"],
-        [F.desc("fuzzy_score"), F.asc("target_ordinal"), F.asc("target_column")],
+        [F.desc_nulls_last("fuzzy_score"), F.asc("target_ordinal"), F.asc("target_column")],
         top_n, rank="candidate_rank",
     )
 
@@ -242,65 +247,50 @@ def match_columns(
         "table", "ordinal", F.col("source_column").alias("name"),
         F.col("source_type").alias("type"),
     )
-    best = fuzzy_candidates(open_columns, left_over, top_n=fv.CANDIDATES_PER_COLUMN).filter(
-        F.col("candidate_rank") == 1
-    )
+    best = fuzzy_candidates(open_columns, left_over, top_n=1, keep_lonely=True)
     scored = score_candidates(best, table_sizes(source, target), learned)
-    accepted = F.col("confidence") >= review
+    found = F.col("target_column").isNotNull()
+    accepted = found & (F.col("confidence") >= review)
+    none = F.lit(None).cast("string")
 
-    resolved = exact.filter(F.col("target_column").isNotNull()).select(
+    resolved = exact.filter(found).select(
         "table", "ordinal", "source_column", "source_type", "target_column", "target_type",
         "match_method", F.lit(0.0).alias("fuzzy_score"), F.lit(1.0).alias("confidence"),
         F.lit("resolved").alias("decision"), F.lit(False).alias("needs_review"),
-        F.lit(False).alias("skip"), F.lit(None).cast("string").alias("skip_reason"),
+        F.lit(False).alias("skip"), none.alias("skip_reason"),
         F.concat(F.lit("matched by "), "match_method").alias("reason"),
     )
+    below = F.concat(
+        F.lit("Best fuzzy candidate score "),
+        round_even(F.col("confidence"), 2).cast("string"),
+        F.lit(f" below threshold {review:.2f}"),
+    )
     fuzzy = scored.select(
         "table", "ordinal", "source_column", "source_type",
         F.when(accepted, F.col("target_column")).alias("target_column"),
         F.when(accepted, F.col("target_type")).alias("target_type"),
         F.when(accepted, F.lit("fuzzy")).alias("match_method"),
-        "fuzzy_score", "confidence",
+        F.coalesce("fuzzy_score", F.lit(0.0)).alias("fuzzy_score"),
+        F.when(found, F.col("confidence")).otherwise(0.0).alias("confidence"),
         F.when(accepted, "resolved").otherwise("unmatched").alias("decision"),
         (accepted & (F.col("confidence") < high)).alias("needs_review"),
         (~accepted).alias("skip"),
-        F.when(
-            ~accepted,
-            F.format_string(
-                f"Best fuzzy candidate score %.2f below threshold {review:.2f}",
-                F.col("confidence"),
-            ),
-        ).alias("skip_reason"),
-        "reason",
-    )
-    without = open_columns.join(
-        left_over.select("table").distinct(), ["table"], "left_anti"
-    )
-    none_found = without.select(
-        "table", "ordinal", F.col("name").alias("source_column"),
-        F.col("type").alias("source_type"), *_no_target(),
-        F.lit("unmatched").alias("decision"), F.lit(False).alias("needs_review"),
-        F.lit(True).alias("skip"),
-        F.lit("No fuzzy candidates found — column may not exist in target").alias("skip_reason"),
-        F.lit(None).cast("string").alias("reason"),
+        F.when(found & ~accepted, below)
+        .when(~found, F.lit("No fuzzy candidates found — column may not exist in target"))
+        .alias("skip_reason"),
+        F.when(found, F.col("reason")).alias("reason"),
     )
     metadata = source.filter(is_metadata).select(
         "table", "ordinal", F.col("name").alias("source_column"),
-        F.col("type").alias("source_type"), *_no_target(),
+        F.col("type").alias("source_type"), none.alias("target_column"),
+        none.alias("target_type"), none.alias("match_method"),
+        F.lit(0.0).alias("fuzzy_score"), F.lit(0.0).alias("confidence"),
         F.lit("resolved").alias("decision"), F.lit(False).alias("needs_review"),
         F.lit(True).alias("skip"),
         F.lit("Fivetran metadata column — excluded from validation").alias("skip_reason"),
-        F.lit(None).cast("string").alias("reason"),
+        none.alias("reason"),
     )
-    return resolved.unionByName(fuzzy).unionByName(none_found).unionByName(metadata)
-
-
-def _no_target() -> list[Column]:
-    text = F.lit(None).cast("string")
-    return [
-        text.alias("target_column"), text.alias("target_type"), text.alias("match_method"),
-        F.lit(0.0).alias("fuzzy_score"), F.lit(0.0).alias("confidence"),
-    ]
+    return resolved.unionByName(fuzzy).unionByName(metadata)
 
 
 def key_agreement(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -395,9 +385,8 @@ def similar_tables(
         return pd.Series([one(n, c) for n, c in zip(names, chunks)])
 
     entry = F.upper("table")
-    chunks = _chunked(target, ["schema"], entry)
     met = _meet_chunks(
-        source.select("schema", F.col("table").alias("source_table")), chunks, ["schema"]
+        source.select("schema", F.col("table").alias("source_table")), target, "schema", entry
     )
     winners = met.select(
         "schema", "source_table",

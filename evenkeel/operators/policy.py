@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from evenkeel import fixed_values as fv
-from evenkeel.functions.binding import let
+from evenkeel.functions.binding import contains_any, let, matches_any
 from evenkeel.schema import schema
 
 BOTH = ("source", "target")
@@ -150,7 +149,7 @@ def _usable(pattern: str | None) -> bool:
 
 
 def _at_start(c: Column, pattern: str) -> Column:
-    return c.rlike(f"(?i)^(?:{pattern})")
+    return matches_any(c, [pattern], at_start=True)
 
 
 def decide_exclusions(
@@ -230,8 +229,7 @@ def target_only_category(name: Column) -> Column:
         return F.struct(F.lit(category).alias("category"), F.lit(reason).alias("reason"))
 
     chain = [
-        F.when(reduce(lambda a, b: a | b, [_at_start(name, p) for p in patterns]),
-               kind(category, reason))
+        F.when(matches_any(name, patterns, at_start=True), kind(category, reason))
         for category, reason, patterns in fv.TARGET_ONLY
     ]
     return F.coalesce(*chain, kind(*fv.TARGET_ONLY_OTHER))
@@ -255,14 +253,6 @@ def generated_rules(presence: DataFrame, source_db: str = "postgresql") -> DataF
 # --- skipped columns ---------------------------------------------------------------------------
 
 
-def _any_pattern(c: Column, patterns: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [c.rlike(p) for p in patterns])
-
-
-def _any_phrase(c: Column, phrases: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [c.contains(p) for p in phrases])
-
-
 def classify_skips(skips: DataFrame) -> DataFrame:
     """Category, verdict and message of every skipped column; the first reason wins.
 
@@ -291,18 +281,18 @@ def _verdict(facts: Column) -> Column:
 
     return (
         F.when(
-            _any_pattern(name, fv.SKIP_METADATA_PATTERNS),
+            matches_any(name, fv.SKIP_METADATA_PATTERNS),
             verdict("fivetran_metadata", "JUSTIFIED",
                     "Fivetran internal metadata column — not present in source"),
         )
         .when(
-            _any_phrase(reason, fv.SKIP_CONFIG_PHRASES),
+            contains_any(reason, fv.SKIP_CONFIG_PHRASES),
             verdict("config_exclusion", "JUSTIFIED",
                     F.concat(F.lit("Excluded by configuration — "), given)),
         )
         .when(
-            _any_phrase(reason, fv.SKIP_TYPE_PHRASES)
-            | _any_phrase(dtype, fv.SKIP_INCOMPATIBLE_TYPES),
+            contains_any(reason, fv.SKIP_TYPE_PHRASES)
+            | contains_any(dtype, fv.SKIP_INCOMPATIBLE_TYPES),
             verdict(
                 "type_incompatible", "JUSTIFIED",
                 F.when(
@@ -313,17 +303,17 @@ def _verdict(facts: Column) -> Column:
             ),
         )
         .when(
-            _any_pattern(name, fv.SKIP_AUDIT_PATTERNS),
+            matches_any(name, fv.SKIP_AUDIT_PATTERNS),
             verdict("audit_column", "JUSTIFIED",
                     "Audit/ETL column added during migration or load process"),
         )
         .when(
-            _any_phrase(reason, fv.SKIP_NO_TARGET_PHRASES),
+            contains_any(reason, fv.SKIP_NO_TARGET_PHRASES),
             verdict("no_target_match", "UNJUSTIFIED",
                     "Column exists in SOURCE but has NO matching column in TARGET"),
         )
         .when(
-            _any_phrase(reason, fv.SKIP_NO_SOURCE_PHRASES),
+            contains_any(reason, fv.SKIP_NO_SOURCE_PHRASES),
             verdict("no_source_match", "WARN_ONLY",
                     "Column exists in TARGET only — added during migration or enrichment"),
         )

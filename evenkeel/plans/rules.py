@@ -10,7 +10,7 @@ from pyspark.sql import Column, functions as F, types as T
 
 from evenkeel import fixed_values as fv
 from evenkeel.functions import normalise as nz
-from evenkeel.functions.binding import let
+from evenkeel.functions.binding import first_row, let, rows_literal
 
 Render = Callable[[Column, T.DataType | None], Column]
 
@@ -89,22 +89,25 @@ class RuleBook:
 
     def assign(self, source_type: Column, target_type: Column) -> Column:
         """Rule name per row of a type-pair DataFrame.  One projection, no join."""
-
-        def hit(value: Column, prefix: str) -> Column:
-            return F.lit(True) if prefix == "*" else value.startswith(prefix.upper())
-
-        def first_match(pair: Column) -> Column:
-            matches = [
-                F.when(hit(pair["s"], a) & hit(pair["t"], b), F.lit(rule.name))
+        # every text starts with the empty prefix, which is what ``*`` means
+        triggers = rows_literal(
+            ["s", "t", "rule"],
+            [
+                (*("" if p == "*" else p.upper() for p in pair), rule.name)
                 for rule in self.rules
-                for a, b in rule.pairs
-            ]
-            return F.coalesce(*matches, F.lit("text"))
-
+                for pair in rule.pairs
+            ],
+        )
         pair = F.struct(
             normal_type(source_type).alias("s"), normal_type(target_type).alias("t")
         )
-        return let(pair, first_match)
+        rule = let(
+            pair,
+            lambda p: first_row(
+                triggers, lambda x: p["s"].startswith(x["s"]) & p["t"].startswith(x["t"])
+            )["rule"],
+        )
+        return F.coalesce(rule, F.lit("text"))
 
 
 def check_template(template: str) -> None:

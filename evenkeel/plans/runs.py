@@ -79,10 +79,11 @@ def table_result(spark: SparkSession, task: TableTask) -> DataFrame:
 
 
 def _fit(frame: DataFrame, schema: T.StructType) -> DataFrame:
-    return frame.select(
+    have = set(frame.columns)
+    return frame.selectExpr(
         *[
-            (F.col(f.name) if f.name in frame.columns else F.lit(None)).cast(f.dataType)
-            .alias(f.name)
+            f"cast({f'`{f.name}`' if f.name in have else 'NULL'} AS {f.dataType.simpleString()})"
+            f" AS `{f.name}`"
             for f in schema.fields
         ]
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from evenkeel import fixed_values as fv
+from evenkeel.functions.binding import map_literal
 from evenkeel.schema import schema
 
 CATALOG_SCHEMA = schema(
@@ -58,5 +59,4 @@ def canonical_type(native_type: Column, system: str) -> Column:
     }[system]
     if not known:
         return raw
-    entries = [F.lit(v) for pair in known.items() for v in pair]
-    return F.coalesce(F.try_element_at(F.create_map(*entries), raw), raw)
+    return F.coalesce(F.try_element_at(map_literal(known), raw), raw)

@@ -8,6 +8,7 @@ tables: one catalog column per part, one order pair per order, and so on.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -252,14 +253,21 @@ USAGE_SPARK = USAGE.format(stamp="substring(CAST(ts AS STRING), 1, 10) || 'T' ||
 USAGE_DUCK = USAGE.format(stamp="strftime(ts, '%Y-%m-%dT%H:%M:%S')")
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; its schema is looked up in the file once per process."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def derive(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """Run a fixture text over the tables in ``sf_dir``."""
-    places = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}
-    return spark.sql(text.format(**places).replace('"', "`"))
+    used = {t: read(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in text}
+    return spark.sql(text.replace('"', "`"), **used)
 
 
 def duck(text: str) -> str:

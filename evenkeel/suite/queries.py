@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evenkeel.functions import names as nm, normalise as nz
+from evenkeel.functions.rounding import round_even
 from evenkeel.operators import (
     classify, coverage, matching, metrics, policy, presence, projection, reconcile, usage,
     windows,
@@ -575,18 +576,24 @@ def confidence(spark, d):
     )
     return scored.select(
         "table", "source_column", "target_column",
-        F.round("fuzzy_score", 3).alias("name_similarity"),
-        F.round("type_compatibility", 3).alias("type_compatibility"),
-        F.round("position_proximity", 3).alias("position_proximity"),
-        F.round("learned_example", 3).alias("learned_example"),
-        F.round("confidence", 3).alias("final_score"), "reason",
+        *[
+            round_even(F.col(c), 3).cast("double").alias(name)
+            for c, name in (
+                ("fuzzy_score", "name_similarity"),
+                ("type_compatibility", "type_compatibility"),
+                ("position_proximity", "position_proximity"),
+                ("learned_example", "learned_example"), ("confidence", "final_score"),
+            )
+        ],
+        "reason",
     )
 
 
 def _decisions(spark, d):
+    learned = fx.derive(spark, d, fx.LEARNED).filter(F.col("target_type") == "NUMBER")
     return matching.match_columns(
         _source_catalog(spark, d), _target_catalog(spark, d),
-        fx.derive(spark, d, fx.CONFIGURED), fx.derive(spark, d, fx.LEARNED).limit(0),
+        fx.derive(spark, d, fx.CONFIGURED), learned,
     )
 
 
@@ -923,7 +930,7 @@ def _usage(spark, d):
 
 @query
 def usage_cost(spark, d):
-    return usage.usage_rollup(_usage(spark, d)).withColumn("cost", F.round("cost", 6))
+    return usage.usage_rollup(_usage(spark, d)).withColumn("cost", F.round("cost", 4))
 
 
 TODAY = datetime.date(2024, 2, 2)
@@ -931,11 +938,11 @@ TODAY = datetime.date(2024, 2, 2)
 
 @query
 def daily_cost(spark, d):
-    return usage.daily_cost(_usage(spark, d), TODAY).withColumn("cost", F.round("cost", 6))
+    return usage.daily_cost(_usage(spark, d), TODAY).withColumn("cost", F.round("cost", 4))
 
 
 @query
 def window_usage(spark, d):
     return usage.window_rollup(_usage(spark, d), datetime.date(2024, 1, 20)).withColumns(
-        {"cost": F.round("cost", 6), "cost_today": F.round("cost_today", 6)}
+        {"cost": F.round("cost", 4), "cost_today": F.round("cost_today", 4)}
     )
