@@ -40,8 +40,8 @@ def integer(c: Column, dtype: T.DataType | None = None) -> Column:
 
 def numeric(c: Column, decimal_places: int = DECIMAL_PLACES) -> Column:
     """Half-up rounding to a fixed scale; non-numbers (NaN, text) keep their own text."""
-    fixed = c.try_cast(f"decimal(38,{decimal_places})")
-    return F.coalesce(F.round(fixed, decimal_places).cast("string"), F.trim(c.cast("string")))
+    fixed = c.try_cast(f"decimal(38,{decimal_places})")  # the cast rounds half up
+    return F.coalesce(fixed.cast("string"), F.trim(c.cast("string")))
 
 
 def timestamp_ntz(c: Column) -> Column:

@@ -126,7 +126,6 @@ def normalised(
     side: str,
     book: RuleBook | None = None,
     null_token: str | None = fv.NULL_TOKEN,
-    keep: Iterable[str] = (),
 ) -> DataFrame:
     """Text rendering of every paired column under one alias for both sides.
 
@@ -140,7 +139,7 @@ def normalised(
         name = pair.source if side == "source" else pair.target
         rendered = book.named(pair.rule).apply(name, types[name])
         columns.append(nz.with_null_token(rendered, null_token).alias(pair.alias))
-    return frame.select(*[quoted(k) for k in keep], *columns)
+    return frame.select(*columns)
 
 
 def ordered_export(frame: DataFrame, pairs: list[ColumnPair], keys: list[str], side: str

@@ -13,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from evenkeel.fixed_values import NULL_TOKEN
-from evenkeel.operators.projection import ColumnPair, normalised, quoted
+from evenkeel.functions.normalise import with_null_token
+from evenkeel.operators.projection import ColumnPair, quoted
 from evenkeel.plans.rules import RuleBook
 
 MISSING_IN_TARGET = "MISSING_IN_TARGET"
@@ -30,48 +31,93 @@ def ledger(
     book: RuleBook | None = None,
     strict_nulls: bool = False,
 ) -> DataFrame:
-    """One row per distinct key: copies on each side and the compared values.
+    """One row per distinct key: copies on each side and the values that may differ.
 
-    Columns: the keys, ``source_rows``, ``target_rows`` and the structs ``source_values`` and
-    ``target_values``, which matter where a key occurs once per side.  ``strict_nulls`` keeps
-    NULL apart from text that happens to equal the NULL token.
+    Columns: the keys as text, ``source_rows``, ``target_rows`` and the structs
+    ``source_values`` and ``target_values`` of normalised text.  The structs are set where the
+    key occurs once per side and the stored values are not the same already; a value is
+    rendered only there, and columns of one type travel through the shuffle as they are stored.
+    ``strict_nulls`` keeps NULL apart from text that happens to equal the NULL token.
     """
+    book = book or RuleBook()
     wanted = {k.upper() for k in keys}
     key_pairs = [p for k in keys for p in pairs if p.source.upper() == k.upper()]
     if len(key_pairs) != len(wanted):
         raise KeyError(f"keys {list(keys)} are not all among the paired columns")
     value_pairs = [p for p in pairs if p.source.upper() not in wanted]
     token = None if strict_nulls else NULL_TOKEN
-    shape = T.StructType([T.StructField(p.source, T.StringType()) for p in value_pairs])
+    s_types = {f.name: f.dataType for f in source.schema.fields}
+    t_types = {f.name: f.dataType for f in target.schema.fields}
+    stored = {
+        p.source for p in value_pairs
+        if s_types[p.source] == t_types[p.target] and _orderable(s_types[p.source])
+    }
+
+    def text(p: ColumnPair, side: str) -> Column:
+        name, types = (p.source, s_types) if side == "source" else (p.target, t_types)
+        return with_null_token(book.named(p.rule).apply(name, types[name]), token)
+
+    def key(p: ColumnPair, side: str) -> Column:
+        if _whole_number(p, s_types[p.source], t_types[p.target]):
+            return quoted(p.source if side == "source" else p.target).cast("long")
+        return text(p, side)
+
+    def value(p: ColumnPair, side: str) -> Column:
+        if p.source in stored:
+            return quoted(p.source if side == "source" else p.target)
+        return text(p, side)
 
     def tagged(frame: DataFrame, side: str) -> DataFrame:
-        rows = normalised(frame, [*key_pairs, *value_pairs], side, book, token)
-        values = (
-            F.struct(*[quoted(p.alias).alias(p.source) for p in value_pairs])
-            if value_pairs else F.lit(None).cast("string")
-        )
-        empty = F.lit(None).cast(shape) if value_pairs else F.lit(None).cast("string")
-        mine = side == "source"
-        return rows.select(
-            *[quoted(p.alias).alias(k) for p, k in zip(key_pairs, keys)],
-            F.lit(1 if mine else 0).cast("long").alias("s_n"),
-            F.lit(0 if mine else 1).cast("long").alias("t_n"),
-            (values if mine else empty).alias("s_v"),
-            (empty if mine else values).alias("t_v"),
+        return frame.select(
+            *[key(p, side).alias(k) for p, k in zip(key_pairs, keys)],
+            F.lit(side == "source").alias("is_source"),
+            F.struct(*[value(p, side).alias(p.source) for p in value_pairs]).alias("v")
+            if value_pairs else F.lit(None).cast("string").alias("v"),
         )
 
-    return (
+    mine = F.col("is_source")
+    grouped = (
         tagged(source, "source")
         .unionByName(tagged(target, "target"))
         .groupBy(*[quoted(k) for k in keys])
         .agg(
-            F.sum("s_n").alias("source_rows"),
-            F.sum("t_n").alias("target_rows"),
-            F.max("s_v").alias("source_values"),
-            F.max("t_v").alias("target_values"),
+            F.sum(F.when(mine, 1).otherwise(0)).alias("source_rows"),
+            F.sum(F.when(mine, 0).otherwise(1)).alias("target_rows"),
+            F.max(F.when(mine, F.col("v"))).alias("s"),
+            F.max(F.when(~mine, F.col("v"))).alias("t"),
         )
     )
 
+    def shown(side: str) -> Column:
+        fields = []
+        for p in value_pairs:
+            if p.source in stored:
+                rendered = book.named(p.rule).apply_to_field(
+                    side, p.source, s_types[p.source]
+                )
+                fields.append(with_null_token(rendered, token).alias(p.source))
+            else:
+                fields.append(F.col(side).getField(p.source).alias(p.source))
+        return F.when(_comparable() & ~F.col("s").eqNullSafe(F.col("t")), F.struct(*fields))
+
+    empty = F.lit(None).cast("string")
+    return grouped.select(
+        *[with_null_token(quoted(k), token).alias(k) for k in keys],
+        "source_rows",
+        "target_rows",
+        (shown("s") if value_pairs else empty).alias("source_values"),
+        (shown("t") if value_pairs else empty).alias("target_values"),
+    )
+
+
+def _orderable(dtype: T.DataType) -> bool:
+    return isinstance(dtype, T.AtomicType) and not isinstance(dtype, T.VariantType)
+
+
+def _whole_number(p: ColumnPair, *types: T.DataType) -> bool:
+    """Integers of any width on both sides group as numbers; their text is the same."""
+    return p.rule == "integer" and all(isinstance(t, T.IntegralType) for t in types)
+
 
 def _comparable() -> Column:
     return (F.col("source_rows") == 1) & (F.col("target_rows") == 1)
@@ -322,23 +368,49 @@ def surplus_rows(
 ) -> DataFrame:
     """Row contents that occur more often on one side, as multisets; order never matters.
 
-    One grouping by all columns serves both directions.
+    One grouping by all columns serves both directions.  Columns of one type are grouped as
+    stored first: rows that are the same on both sides cancel out there, and only the rest is
+    rendered and grouped again by its text.  Repeated rows collapse before the shuffle.
     """
+    book = book or RuleBook()
+    s_types = {f.name: f.dataType for f in source.schema.fields}
+    t_types = {f.name: f.dataType for f in target.schema.fields}
+    stored = {
+        p.alias for p in pairs
+        if s_types[p.source] == t_types[p.target] and _orderable(s_types[p.source])
+    }
     names = [p.alias for p in pairs]
-    sides = [
-        normalised(frame, list(pairs), side, book).withColumn("__n", F.lit(n).cast("long"))
-        for frame, side, n in ((source, "source", 1), (target, "target", -1))
-    ]
-    return (
-        sides[0].unionByName(sides[1])
-        .groupBy(*[quoted(n) for n in names])
-        .agg(F.sum("__n").alias("__n"))
-        .filter(F.col("__n") != 0)
-        .select(
-            *[quoted(n) for n in names],
-            F.when(F.col("__n") > 0, "source").otherwise("target").alias("surplus_side"),
-            F.abs("__n").alias("surplus_rows"),
+
+    def side(frame: DataFrame, which: str, n: int) -> DataFrame:
+        cells = []
+        for p in pairs:
+            name, types = (p.source, s_types) if which == "source" else (p.target, t_types)
+            if p.alias in stored:
+                cells.append(quoted(name).alias(p.alias))
+            else:
+                rendered = book.named(p.rule).apply(name, types[name])
+                cells.append(with_null_token(rendered).alias(p.alias))
+        return frame.select(*cells, F.lit(n).cast("long").alias("__n"))
+
+    def balance(rows: DataFrame) -> DataFrame:
+        return (
+            rows.groupBy(*[quoted(n) for n in names])
+            .agg(F.sum("__n").alias("__n"))
+            .filter(F.col("__n") != 0)
         )
+
+    rest = balance(side(source, "source", 1).unionByName(side(target, "target", -1)))
+    if stored:
+        texts = [
+            with_null_token(book.named(p.rule).apply(p.alias, s_types[p.source])).alias(p.alias)
+            if p.alias in stored else quoted(p.alias)
+            for p in pairs
+        ]
+        rest = balance(rest.select(*texts, "__n"))
+    return rest.select(
+        *[quoted(n) for n in names],
+        F.when(F.col("__n") > 0, "source").otherwise("target").alias("surplus_side"),
+        F.abs("__n").alias("surplus_rows"),
     )
 
 

@@ -33,6 +33,15 @@ class Rule:
             return F.expr(self.template.format(col=quoted))
         return self.render(F.col(quoted), dtype)
 
+    def apply_to_field(
+        self, struct_name: str, field_name: str, dtype: T.DataType | None = None
+    ) -> Column:
+        """The rule on a field of a struct column."""
+        path = ".".join("`" + n.replace("`", "``") + "`" for n in (struct_name, field_name))
+        if self.template is not None:
+            return F.expr(self.template.format(col=path))
+        return self.render(F.col(path), dtype)
+
 
 _RENDER: dict[str, Render] = {
     "boolean": lambda c, t: nz.boolean(c),
