@@ -33,8 +33,7 @@ def integer(c: Column, dtype: T.DataType | None = None) -> Column:
             c.cast("string")
         )
     if isinstance(dtype, T.DecimalType):
-        whole = c.cast("decimal(38,0)")
-        return F.when(whole == c, whole.cast("string")).otherwise(c.cast("string"))
+        return F.regexp_replace(c.cast("string"), r"\.0+$", "")
     return c.cast("string")
 
 
