@@ -38,41 +38,62 @@ def exact_match(
     partner = F.struct(
         F.col("name").alias("name"), F.col("type").alias("type"), F.col("ordinal").alias("ordinal")
     )
-    by_name = target.groupBy("table", F.upper("name").alias("u_name")).agg(
-        F.max_by(partner, "ordinal").alias("p_name")
-    )
-    by_key = target.groupBy("table", nm.name_key(F.col("name")).alias("n_key")).agg(
-        F.min_by(partner, "ordinal").alias("p_key")
-    )
-    rows = source.withColumn("u_name", F.upper("name")).withColumn(
-        "n_key", nm.name_key(F.col("name"))
-    )
-    if configured is not None:
-        wanted = configured.groupBy("table", F.upper("source_column").alias("u_name")).agg(
-            F.max(F.upper("target_column")).alias("u_target")
+
+    def probe(kind: str, key: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+
+    key = nm.name_key(F.col("name"))
+    known = (
+        target.select(
+            "table", partner.alias("partner"),
+            F.inline(F.array(probe("name", F.upper("name")), probe("key", key))),
+        )
+        .groupBy("table", "kind", "key")
+        .agg(
+            F.max_by("partner", "partner.ordinal").alias("last"),
+            F.min_by("partner", "partner.ordinal").alias("first"),
         )
-        by_wish = by_name.withColumnsRenamed({"u_name": "u_target", "p_name": "p_wish"})
-        rows = rows.join(wanted, ["table", "u_name"], "left").join(
-            by_wish, ["table", "u_target"], "left"
+        .select(
+            "table", "kind", "key",
+            F.when(F.col("kind") == "name", F.col("last")).otherwise(F.col("first"))
+            .alias("partner"),
         )
+    )
+    if configured is None:
+        rows = source.withColumn("wish", F.lit(None).cast("string"))
     else:
-        rows = rows.withColumn("p_wish", F.lit(None).cast(by_name.schema["p_name"].dataType))
-    rows = rows.join(by_name, ["table", "u_name"], "left").join(
-        by_key, ["table", "n_key"], "left"
-    )
-    best = F.coalesce("p_wish", "p_name", "p_key")
-    return rows.select(
-        "table",
-        "ordinal",
-        F.col("name").alias("source_column"),
-        F.col("type").alias("source_type"),
-        best["name"].alias("target_column"),
-        best["type"].alias("target_type"),
-        best["ordinal"].alias("target_ordinal"),
-        F.when(F.col("p_wish").isNotNull(), "configured")
-        .when(F.col("p_name").isNotNull(), "exact")
-        .when(F.col("p_key").isNotNull(), "normalized_exact")
-        .alias("match_method"),
+        wishes = configured.groupBy("table", F.upper("source_column").alias("u_name")).agg(
+            F.max(F.upper("target_column")).alias("wish")
+        )
+        rows = source.withColumn("u_name", F.upper("name")).join(
+            wishes, ["table", "u_name"], "left"
+        )
+    probes = rows.select(
+        "table", "ordinal", "name", "type",
+        F.posexplode(
+            F.array(
+                probe("name", F.col("wish")), probe("name", F.upper("name")), probe("key", key)
+            )
+        ).alias("way", "probe"),
+    ).select("table", "ordinal", "name", "type", "way", "probe.*")
+    hit = F.when(F.col("partner").isNotNull(), F.col("way"))
+    return (
+        probes.join(known, ["table", "kind", "key"], "left")
+        .groupBy("table", "ordinal", "name", "type")
+        .agg(F.min_by("partner", hit).alias("p"), F.min(hit).alias("way"))
+        .select(
+            "table",
+            "ordinal",
+            F.col("name").alias("source_column"),
+            F.col("type").alias("source_type"),
+            F.col("p.name").alias("target_column"),
+            F.col("p.type").alias("target_type"),
+            F.col("p.ordinal").alias("target_ordinal"),
+            F.when(F.col("way") == 0, "configured")
+            .when(F.col("way") == 1, "exact")
+            .when(F.col("way") == 2, "normalized_exact")
+            .alias("match_method"),
+        )
     )
 
 
