@@ -29,47 +29,54 @@ def has_word(c: Column, wanted: list[str]) -> Column:
     return F.arrays_overlap(words(c), F.lit(wanted))
 
 
-def char_masks(c: Column) -> Column:
-    """For every distinct character of a short name, the bit set of its positions."""
-    chars = F.filter(F.split(c, ""), lambda ch: ch != F.lit(""))
-    return F.map_from_entries(
-        F.transform(
-            F.array_distinct(chars),
-            lambda ch: F.struct(
-                ch.alias("ch"),
-                F.aggregate(
-                    F.transform(
-                        chars,
-                        lambda other, i: F.when(
-                            other == ch, F.call_function("shiftleft", F.lit(1).cast("long"), i)
-                        ).otherwise(F.lit(0).cast("long")),
-                    ),
-                    F.lit(0).cast("long"),
-                    lambda acc, bit: acc.bitwiseOR(bit),
-                ).alias("bits"),
-            ),
+def char_codes(key: Column) -> Column:
+    """Characters of a name key as numbers: letters 1 to 26, digits 27 to 36."""
+    chars = F.filter(F.split(key, ""), lambda ch: ch != F.lit(""))
+    return F.transform(
+        chars,
+        lambda ch: F.when(ch >= "a", F.ascii(ch) - F.lit(96)).otherwise(F.ascii(ch) - F.lit(21)),
+    )
+
+
+def name_bits(key: Column) -> Column:
+    """What one name key needs to be compared with many others.
+
+    ``masks[c - 1]`` is the bit set of the positions of character ``c``, ``full`` the set of
+    all positions.
+    """
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+
+    def mask(codes: Column, code: Column) -> Column:
+        here = F.transform(
+            codes,
+            lambda c, i: F.when(c == code, F.call_function("shiftleft", one, i)).otherwise(zero),
         )
+        return F.aggregate(here, zero, lambda acc, bit: acc.bitwiseOR(bit))
+
+    return F.struct(
+        let(
+            char_codes(key),
+            lambda codes: F.transform(
+                F.sequence(F.lit(1), F.lit(36)), lambda code: mask(codes, code)
+            ),
+        ).alias("masks"),
+        (F.call_function("shiftleft", one, F.length(key)) - F.lit(1)).alias("full"),
     )
 
 
-def _lcs_bits(masks: Column, length: Column, other: Column) -> Column:
+def _lcs_bits(length: Column, bits: Column, codes: Column) -> Column:
     """Longest common subsequence by the bit-vector recurrence of Hyyrö (2004)."""
-    full = F.call_function("shiftleft", F.lit(1).cast("long"), length) - F.lit(1)
-    steps = F.filter(F.split(other, ""), lambda ch: ch != F.lit(""))
+    steps = F.transform(codes, lambda c: F.get(bits["masks"], c - 1))
     rest = F.aggregate(
         steps,
-        full,
-        lambda v, ch: (v + v.bitwiseAND(_mask(masks, ch)))
-        .bitwiseOR(v.bitwiseAND(F.bitwise_not(_mask(masks, ch))))
-        .bitwiseAND(full),
+        bits["full"],
+        lambda v, m: (v + v.bitwiseAND(m))
+        .bitwiseOR(v.bitwiseAND(F.bitwise_not(m)))
+        .bitwiseAND(bits["full"]),
     )
     return length - F.bit_count(rest)
 
 
-def _mask(masks: Column, ch: Column) -> Column:
-    return F.coalesce(F.try_element_at(masks, ch), F.lit(0).cast("long"))
-
-
 def _lcs_table(a: Column, b: Column) -> Column:
     """Longest common subsequence row by row, for names beyond the bit-vector length."""
     a_chars = F.filter(F.split(a, ""), lambda ch: ch != F.lit(""))
@@ -97,21 +104,24 @@ def _lcs_table(a: Column, b: Column) -> Column:
     return F.element_at(F.aggregate(a_chars, start, next_row), -1)
 
 
-def lcs_length(a: Column, b: Column, a_masks: Column | None = None) -> Column:
-    """``a_masks`` may carry :func:`char_masks` of ``a`` when one name meets many others."""
-    masks = char_masks(a) if a_masks is None else a_masks
-    return F.when(
-        F.length(a) <= BIT_NAME_LENGTH, _lcs_bits(masks, F.length(a), b)
-    ).otherwise(_lcs_table(a, b))
-
+def similarity(
+    a: Column, b: Column, a_bits: Column | None = None, b_codes: Column | None = None
+) -> Column:
+    """``2 * LCS / (len a + len b)`` of two name keys, in [0, 1]; 0 when either is empty.
 
-def similarity(a: Column, b: Column, a_masks: Column | None = None) -> Column:
-    """``2 * LCS / (len a + len b)`` in [0, 1]; 0 when either side is empty."""
-    total = F.length(a) + F.length(b)
+    ``a_bits`` and ``b_codes`` may carry :func:`name_bits` of ``a`` and :func:`char_codes` of
+    ``b`` when names meet many others.
+    """
+    short = _lcs_bits(
+        F.length(a),
+        name_bits(a) if a_bits is None else a_bits,
+        char_codes(b) if b_codes is None else b_codes,
+    )
+    common = F.when(F.length(a) <= BIT_NAME_LENGTH, short).otherwise(_lcs_table(a, b))
     return (
         F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0))
         .when(a == b, F.lit(1.0))
-        .otherwise(F.lit(2.0) * lcs_length(a, b, a_masks) / total)
+        .otherwise(F.lit(2.0) * common / (F.length(a) + F.length(b)))
     )
 
 

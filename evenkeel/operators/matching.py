@@ -19,8 +19,9 @@ from evenkeel.functions import names as nm
 from evenkeel.functions.rounding import round_even
 from evenkeel.operators.windows import top_per_key
 
-#: names scored together in one row
+#: target names scored together in one row, and source rows of one slice
 CHUNK_NAMES = 64
+SLICE_ROWS = 1024
 
 
 # --- exact matching ------------------------------------------------------------------------
@@ -116,26 +117,47 @@ def _meet_chunks(
 ) -> DataFrame:
     """Every source row next to every chunk of target entries of its block.
 
-    Targets are packed into ``entries`` arrays of about CHUNK_NAMES.  The chunk is picked by a
-    hash of the whole entry, so equal names spread as well.  Rows meet on (block, chunk): a
-    block that holds much of the catalog is spread over its chunks.  With ``how="left"`` source
-    rows of a block without targets stay, with ``entries`` NULL.
+    The block is cut into a grid: targets are packed into ``entries`` arrays of about
+    CHUNK_NAMES, sources into slices of about SLICE_ROWS, and rows meet on (block, chunk,
+    slice).  A cell is a bounded amount of work however large the block is.  Chunk and slice
+    are picked by a hash of the whole row, so equal names spread as well.  With ``how="left"``
+    source rows of a block without targets stay, with ``entries`` NULL.
+
+    Scoring costs far more than reading, so the number of partitions is fixed here: adaptive
+    execution would merge the cells by their few bytes.
     """
-    sizes = target.groupBy(block).agg(
+    cells = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grid = [block, "chunk", "slice"]
+    chunks_of = target.groupBy(block).agg(
         F.ceil(F.count(F.lit(1)) / F.lit(float(CHUNK_NAMES))).cast("long").alias("chunks")
     )
-    chunks = (
+    sizes = (
+        source.groupBy(block)
+        .agg(F.ceil(F.count(F.lit(1)) / F.lit(float(SLICE_ROWS))).cast("long").alias("slices"))
+        .join(chunks_of, block, how)
+    )
+    packed = (
         target.select(block, entry.alias("entry"))
         .join(sizes, block)
         .withColumn("chunk", F.pmod(F.xxhash64("entry"), F.col("chunks")))
-        .groupBy(block, "chunk")
+        .groupBy(block, "chunk", "slices")
         .agg(F.collect_list("entry").alias("entries"))
+        .withColumn("slice", F.explode(F.sequence(_long(0), F.col("slices") - 1)))
+        .drop("slices")
     )
-    last = F.coalesce(F.col("chunks"), F.lit(1).cast("long")) - 1
-    asked = source.join(sizes, block, how).withColumn(
-        "chunk", F.explode(F.sequence(F.lit(0).cast("long"), last))
+    whole_row = F.xxhash64(*[F.col(c) for c, t in source.dtypes if not t.startswith("map")])
+    last = F.coalesce(F.col("chunks"), _long(1)) - 1
+    asked = (
+        source.join(sizes, block)
+        .withColumn("slice", F.pmod(whole_row, F.col("slices")))
+        .withColumn("chunk", F.explode(F.sequence(_long(0), last)))
+        .drop("chunks", "slices")
     )
-    return asked.drop("chunks").join(chunks, [block, "chunk"], how)
+    return asked.repartition(cells, *grid).join(packed.repartition(cells, *grid), grid, how)
+
+
+def _long(n: int) -> Column:
+    return F.lit(n).cast("long")
 
 
 def fuzzy_candidates(
@@ -150,16 +172,19 @@ def fuzzy_candidates(
     entry = F.struct(
         F.col("ordinal").alias("ordinal"), F.col("name").alias("name"),
         F.col("type").alias("type"), nm.name_key(F.col("name")).alias("key"),
+        nm.char_codes(nm.name_key(F.col("name"))).alias("codes"),
     )
     asked = source.select(
         "table", F.col("ordinal"), F.col("name").alias("source_column"),
         F.col("type").alias("source_type"), nm.name_key(F.col("name")).alias("source_key"),
-    ).withColumn("masks", nm.char_masks(F.col("source_key")))
+    ).withColumn("bits", nm.name_bits(F.col("source_key")))
     met = _meet_chunks(asked, target, "table", entry, "left" if keep_lonely else "inner")
     scored = F.transform(
         "entries",
         lambda e: F.struct(
-            (-nm.similarity(F.col("source_key"), e["key"], F.col("masks"))).alias("minus"),
+            (
+                -nm.similarity(F.col("source_key"), e["key"], F.col("bits"), e["codes"])
+            ).alias("minus"),
             e["ordinal"].alias("ordinal"), e["name"].alias("name"), e["type"].alias("type"),
             e["key"].alias("key"),
         ),
@@ -363,19 +388,21 @@ def conflicting_targets(mapping: DataFrame) -> DataFrame:
 # --- table matching -----------------------------------------------------------------------------
 
 
-def block_similarity(text: str, others: list[str], low: float, n: int) -> list[tuple[str, float]]:
-    """Best ``n`` of ``others`` by matching-block ratio of at least ``low``."""
-    matcher = difflib.SequenceMatcher()
-    found = []
-    for other in others:
-        # same argument order as the callers' ratio(text, other)
-        matcher.set_seqs(text, other)
-        if matcher.real_quick_ratio() >= low and matcher.quick_ratio() >= low:
-            ratio = matcher.ratio()
-            if ratio >= low:
-                found.append((other, ratio))
-    found.sort(key=lambda p: (-p[1], p[0]))
-    return found[:n]
+def block_similarity(
+    first: str, second: str, low: float, matcher: difflib.SequenceMatcher
+) -> float | None:
+    """Matching-block ratio of two names, or NULL below ``low``.
+
+    The two bounds of the ratio are cheap and settle most dissimilar pairs.  The matcher keeps
+    its index of ``second`` between calls.
+    """
+    if matcher.b != second:
+        matcher.set_seq2(second)
+    matcher.set_seq1(first)
+    if matcher.real_quick_ratio() < low or matcher.quick_ratio() < low:
+        return None
+    ratio = matcher.ratio()
+    return ratio if ratio >= low else None
 
 
 def similar_tables(
@@ -391,17 +418,15 @@ def similar_tables(
 
     @F.pandas_udf("array<struct<name: string, ratio: double>>")
     def best(names: pd.Series, chunks: pd.Series) -> pd.Series:
+        matcher = difflib.SequenceMatcher()
+
         def one(name: str, chunk) -> list[dict]:
-            if swap:
-                got = [
-                    (o, block_similarity(o, [name], low, 1)) for o in chunk
-                ]
-                hits = sorted(
-                    ((o, r[0][1]) for o, r in got if r), key=lambda p: (-p[1], p[0])
-                )[:top_n]
-            else:
-                hits = block_similarity(name, list(chunk), low, top_n)
-            return [{"name": o, "ratio": r} for o, r in hits]
+            scored = (
+                (other, block_similarity(*((other, name) if swap else (name, other)), low, matcher))
+                for other in chunk
+            )
+            hits = sorted((p for p in scored if p[1] is not None), key=lambda p: (-p[1], p[0]))
+            return [{"name": o, "ratio": r} for o, r in hits[:top_n]]
 
         return pd.Series([one(n, c) for n, c in zip(names, chunks)])
 

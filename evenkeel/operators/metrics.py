@@ -18,6 +18,8 @@ from evenkeel.operators.projection import quoted
 METRIC_TYPE = "decimal(38,10)"
 TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 NOT_COUNTABLE = (T.ArrayType, T.MapType, T.StructType)
+WHOLE = (T.IntegralType, T.BooleanType, *TEMPORAL)
+FLOATING = (T.FloatType, T.DoubleType)
 
 
 def row_count(frame: DataFrame) -> DataFrame:
@@ -90,6 +92,18 @@ def _long_values(frame: DataFrame, columns: Sequence[str], json_columns: Sequenc
     return frame.select(F.inline(F.array(*cells)))
 
 
+def _whole(c: Column, dtype: T.DataType) -> Column:
+    """Whole numbers, flags and times as one 64-bit number that is equal when they are."""
+    if isinstance(dtype, T.TimestampNTZType):
+        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        return F.timestamp_diff("MICROSECOND", epoch, c)
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(c)
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(c).cast("long")
+    return c.cast("long")
+
+
 def value_distribution(
     frame: DataFrame, columns: Sequence[str], json_columns: Sequence[str] = ()
 ) -> DataFrame:
@@ -110,8 +124,9 @@ def distinct_count(
 ) -> DataFrame:
     """Distinct non-NULL values per column.
 
-    Exact counting groups (column, value) pairs once for all columns instead of expanding
-    every row with all columns; ``approx`` needs no shuffle of values at all.
+    Exact counting groups (column, value) pairs of all columns at once; every row sends one
+    narrow value per column instead of a copy of all columns.  ``approx`` needs no shuffle of
+    values at all.
     """
     names = [
         c for c in (columns or frame.columns)
@@ -129,16 +144,39 @@ def distinct_count(
             for i, c in enumerate(names)
         ]
         return wide.select(F.inline(F.array(*cells)))
+    # the kind of value decides in which of three columns it travels
+    cells = []
+    for i, c in enumerate(names):
+        dtype = frame.schema[c].dataType
+        kind = "s"
+        if c not in json_columns:
+            kind = "n" if isinstance(dtype, WHOLE) else "d" if isinstance(dtype, FLOATING) else "s"
+        value = {
+            "n": _whole(quoted(c), dtype), "d": quoted(c).cast("double"),
+            "s": _value_text(frame, c, json_columns) if kind == "s" else None,
+        }[kind]
+        cells.append(
+            F.struct(
+                F.lit(i).alias("i"),
+                (value if kind == "n" else F.lit(None).cast("long")).alias("n"),
+                (value if kind == "d" else F.lit(None).cast("double")).alias("d"),
+                (value if kind == "s" else F.lit(None).cast("string")).alias("s"),
+            )
+        )
+    seen = frame.select(F.inline(F.array(*cells))).distinct()
     # one spare row per column keeps columns without any value in the result
-    seen = value_distribution(frame, names, json_columns)
-    spare = frame.sparkSession.createDataFrame(
-        [(c,) for c in names], "column_name string"
-    ).withColumn("value", F.lit(None).cast("string"))
+    spare = frame.sparkSession.range(len(names)).select(
+        F.col("id").cast("int").alias("i"), F.lit(None).cast("long").alias("n"),
+        F.lit(None).cast("double").alias("d"), F.lit(None).cast("string").alias("s"),
+    )
+    shown = F.get(F.lit(names), F.col("i"))
     return (
-        seen.select("column_name", "value")
-        .unionByName(spare)
-        .groupBy("column_name")
-        .agg(F.count("value").alias("distinct_count"))
+        seen.unionByName(spare)
+        .groupBy("i")
+        .agg(F.count_if(
+            F.col("n").isNotNull() | F.col("d").isNotNull() | F.col("s").isNotNull()
+        ).alias("distinct_count"))
+        .select(shown.alias("column_name"), "distinct_count")
     )
 
 
@@ -153,31 +191,30 @@ def duplicate_keys(frame: DataFrame, keys: Sequence[str], ordered: bool = True)
 
 
 def key_candidates(frame: DataFrame, candidates: Sequence[Sequence[str]]) -> DataFrame:
-    """Which column sets are unique and never NULL, all candidates in one scan."""
-    cells = [
-        F.struct(
-            F.lit(",".join(ks)).alias("candidate"),
-            F.array(*[_value_text(frame, k) for k in ks]).alias("key"),
-        )
-        for ks in candidates
-    ]
-    groups = (
-        frame.select(F.inline(F.array(*cells)))
-        .groupBy("candidate", "key")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    has_null = F.exists("key", lambda part: part.isNull())
-    return (
-        groups.groupBy("candidate")
-        .agg(
-            F.sum("n").alias("row_count"),
+    """Which column sets are unique and never NULL.
+
+    Every candidate reads and groups its own columns as stored; copies of a key collapse
+    before the shuffle.
+    """
+
+    def one(keys: Sequence[str]) -> DataFrame:
+        any_null = F.lit(False)
+        for k in keys:
+            any_null = any_null | quoted(k).isNull()
+        groups = frame.groupBy(*[quoted(k) for k in keys]).agg(F.count(F.lit(1)).alias("__n"))
+        return groups.agg(
+            F.coalesce(F.sum("__n"), F.lit(0)).alias("row_count"),
             F.count(F.lit(1)).alias("distinct_keys"),
-            F.sum(F.when(has_null, F.col("n")).otherwise(0)).alias("null_keys"),
-        )
-        .withColumn(
-            "is_key",
-            (F.col("row_count") == F.col("distinct_keys")) & (F.col("null_keys") == 0),
-        )
+            F.coalesce(F.sum(F.when(any_null, F.col("__n")).otherwise(0)), F.lit(0)).alias(
+                "null_keys"
+            ),
+        ).select(F.lit(",".join(keys)).alias("candidate"), "*")
+
+    found = one(candidates[0])
+    for keys in candidates[1:]:
+        found = found.unionByName(one(keys))
+    return found.withColumn(
+        "is_key", (F.col("row_count") == F.col("distinct_keys")) & (F.col("null_keys") == 0)
     )
 
 
