@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from evenkeel import fixed_values as fv
 from evenkeel.functions import normalise as nz
-from evenkeel.functions.names import name_key
 from evenkeel.plans.rules import RuleBook, native_rule
 
 
@@ -48,10 +47,22 @@ def active_rows(frame: DataFrame, column: str = fv.ACTIVE_COLUMN) -> DataFrame:
 def load_window(
     frame: DataFrame, load_type: str, column: str | None = None, low=None, high=None
 ) -> DataFrame:
-    """Inclusive window for ``incremental`` loads; other load types read everything."""
+    """Inclusive window for ``incremental`` loads; other load types read everything.
+
+    Bounds take the type of the column, so a wall-clock column is cut by wall-clock bounds
+    whatever the session zone, and the filter stays on the bare column.
+    """
     if load_type.strip().lower() != "incremental":
         return frame
-    return frame.filter(quoted(column).between(F.lit(low), F.lit(high)))
+    name = next(c for c in frame.columns if c.lower() == column.lower())
+    dtype = frame.schema[name].dataType
+
+    def bound(value) -> Column:
+        if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            return F.lit(str(value)).cast(dtype)
+        return F.lit(value)
+
+    return frame.filter(quoted(name).between(bound(low), bound(high)))
 
 
 def quoted(name: str) -> Column:
@@ -151,9 +162,3 @@ def ordered_export(frame: DataFrame, pairs: list[ColumnPair], keys: list[str], s
     aliases = {p.source.upper(): p.alias for p in pairs}
     return normalised(frame, pairs, side).orderBy(*[aliases[k.upper()] for k in keys])
 
-
-__all__ = [
-    "ColumnPair", "active_rows", "clean_headers", "drop_excluded", "excluded_names",
-    "find_column", "load_window", "name_key", "normalised", "ordered_export", "pair_columns",
-    "quoted",
-]

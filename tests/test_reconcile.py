@@ -1,3 +1,5 @@
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,6 +163,19 @@ def test_active_rows(spark):
     assert pj.active_rows(frame.select("id")).count() == 3
 
 
+def test_load_window_is_wall_clock(spark):
+    frame = spark.sql(
+        "SELECT id, TIMESTAMP_NTZ '1996-01-01 00:00:00' + id * INTERVAL '1' HOUR AS t "
+        "FROM range(30)")
+    day = datetime.datetime(1996, 1, 1), datetime.datetime(1996, 1, 1, 23)
+    kept = [r["id"] for r in pj.load_window(frame, "Incremental", "T", *day).collect()]
+    assert kept == list(range(24))
+    assert pj.load_window(frame, "historical").count() == 30
+    as_date = frame.selectExpr("id", "CAST(t AS DATE) AS t")
+    assert pj.load_window(as_date, "incremental", "t", "1996-01-02", "1996-01-02").count() == 6
+    assert pj.load_window(frame, "incremental", "id", 3, 5).count() == 3
+
+
 def test_exclusion_order():
     names = pj.excluded_names(["Extra", "_FIVETRAN_ID"], ["extra", "last"])
     assert names[-2:] == ["extra", "last"] and len(names) == len(set(names)) == 9
