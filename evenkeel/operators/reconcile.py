@@ -271,23 +271,40 @@ def key_ledger(
     keys: Sequence[str],
     target_keys: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Copies of every distinct key on each side.  NULL keys form one group."""
+    """Copies of every distinct key on each side.  NULL keys form one group.
+
+    Keys come out as trimmed text; whole numbers on both sides are grouped as numbers.
+    """
+    theirs = list(target_keys or keys)
+    whole = {
+        k for k, t in zip(keys, theirs)
+        if _is_whole(source, k) and _is_whole(target, t)
+    }
 
     def side(frame: DataFrame, names: Sequence[str], s: int, t: int) -> DataFrame:
         return frame.select(
-            *[F.trim(quoted(n).cast("string")).alias(k) for n, k in zip(names, keys)],
+            *[
+                (quoted(n).cast("long") if k in whole else F.trim(quoted(n).cast("string")))
+                .alias(k)
+                for n, k in zip(names, keys)
+            ],
             F.lit(s).cast("long").alias("s_n"),
             F.lit(t).cast("long").alias("t_n"),
         )
 
     return (
         side(source, keys, 1, 0)
-        .unionByName(side(target, target_keys or keys, 0, 1))
+        .unionByName(side(target, theirs, 0, 1))
         .groupBy(*[quoted(k) for k in keys])
         .agg(F.sum("s_n").alias("source_rows"), F.sum("t_n").alias("target_rows"))
+        .select(*[quoted(k).cast("string").alias(k) for k in keys], "source_rows", "target_rows")
     )
 
 
+def _is_whole(frame: DataFrame, name: str) -> bool:
+    return isinstance(frame.select(quoted(name)).schema[0].dataType, T.IntegralType)
+
+
 def missing_rows(
     source: DataFrame,
     target: DataFrame,
