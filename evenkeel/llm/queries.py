@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evenkeel.llm import feistel_shards, line_quality, mixture
+from evenkeel.llm import chosen_path, feistel_shards, line_quality, mixture, qgram_leaks
 from evenkeel.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_qgram_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qgram_leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel_shards.shard(table(spark, sf_dir, "documents"))
 
@@ -27,10 +31,16 @@ def op7_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_line_frequency": op3_line_frequency,
+    "op4_qgram_leaks": op4_qgram_leaks,
     "op5_feistel_shards": op5_feistel_shards,
     "op7_source_mixture": op7_source_mixture,
+    "op8_chosen_path": op8_chosen_path,
 }
 
 ORACLES: dict[str, str] = {}
