@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evenkeel.llm import chosen_path, feistel_shards, line_quality, mixture, qgram_leaks
+from evenkeel.llm import arc_convert, chosen_path, feistel_shards, line_quality, mixture, qgram_leaks
 from evenkeel.llm.common import table
 
 
@@ -24,6 +24,11 @@ def op5_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel_shards.shard(table(spark, sf_dir, "documents"))
 
 
+def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return arc_convert.read_archives(arc_convert.archive_pages(pages))
+
+
 def op7_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixture.mixture(documents).select(
@@ -39,6 +44,7 @@ QUERIES = {
     "op3_line_frequency": op3_line_frequency,
     "op4_qgram_leaks": op4_qgram_leaks,
     "op5_feistel_shards": op5_feistel_shards,
+    "op6_arc_to_warc": op6_arc_to_warc,
     "op7_source_mixture": op7_source_mixture,
     "op8_chosen_path": op8_chosen_path,
 }
