@@ -202,7 +202,7 @@ def pieces(
     same = spread["source"].eqNullSafe(drawn["source"]) & (spread["block_no"] == drawn["block_no"])
     begin = F.greatest(F.col("start"), spread["block_no"] * block)
     end = F.least(F.col("start") + F.col("size"), spread["block_no"] * block + F.col("take"))
-    taken = spread.join(drawn, same).select(
+    taken = spread.join(drawn.hint("merge"), same).select(
         spread["source"], "start", "epoch", "shard", "slot",
         (begin - F.col("start")).alias("from"), (end - begin).alias("words"),
     ).filter("words > 0")
@@ -216,7 +216,7 @@ def mixture(documents: DataFrame, **options) -> DataFrame:
     total = taken.groupBy("source", "start").agg(F.sum("words").alias("taken"))
     spans = placed(rows, seed)
     same = spans["source"].eqNullSafe(total["source"]) & (spans["start"] == total["start"])
-    with_words = spans.join(total, same, "left").select(
+    with_words = spans.join(total.hint("merge"), same, "left").select(
         "doc", spans["source"], "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
     )
     without = rows.filter("size = 0").select("doc", "source", "size", _long(0).alias("taken"))
@@ -250,7 +250,7 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
         ),
     )
     text = F.when(F.col("taken") == F.col("size"), F.col("doc.text")).otherwise(cut)
-    out = spans.join(per, same).select("doc", text.alias("new_text"))
+    out = spans.join(per.hint("merge"), same).select("doc", text.alias("new_text"))
     doc = F.col("doc")
     fields = []
     for name in documents.columns:

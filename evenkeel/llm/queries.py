@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evenkeel.llm import arc_convert, chosen_path, feistel_shards, line_quality, mixture, qgram_leaks
+from evenkeel.llm import (
+    arc_convert, chosen_path, feistel_shards, line_quality, mixture, qgram_leaks,
+    subword_toxicity, token_spans,
+)
 from evenkeel.llm.common import table
 
 
+def op1_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_spans.section_tokens(table(spark, sf_dir, "documents"))
+
+
 def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return line_quality.line_verdicts(documents).select(
@@ -40,13 +47,21 @@ def op8_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subword_toxicity.toxicity(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    )
+
+
 QUERIES = {
+    "op1_token_spans": op1_token_spans,
     "op3_line_frequency": op3_line_frequency,
     "op4_qgram_leaks": op4_qgram_leaks,
     "op5_feistel_shards": op5_feistel_shards,
     "op6_arc_to_warc": op6_arc_to_warc,
     "op7_source_mixture": op7_source_mixture,
     "op8_chosen_path": op8_chosen_path,
+    "op9_subword_toxicity": op9_subword_toxicity,
 }
 
 ORACLES: dict[str, str] = {}

@@ -26,10 +26,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from evenkeel.llm import textkeys
 
-BITS, DIM, SHORT, LONG = 17, 8, 3, 5
-MOST = 5000
-EPOCHS, BATCH, RATE = 12, 64, 0.02
-RARE = 1e-4
+BITS, DIM, SHORT, LONG = 17, 4, 3, 6
+MOST = 6000
+VISITS, EPOCHS, BATCH = 60_000, 60, 32
+RATE, SCALE = 3.0, 50.0
+RARE = 1e-3
 _STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -81,46 +82,36 @@ def train(texts: list[str], labels: list[int], seed: int = 3) -> dict:
         return {"bucket": np.zeros(1 << BITS, dtype=np.float32), "bias": -np.inf, "weights": {}}
     bags = Bags(texts)
     rng = np.random.default_rng(seed)
-    emb = rng.normal(0, 0.1, (1 << BITS, DIM)).astype(np.float32)
-    out = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
+    emb = rng.normal(0, 0.01, (1 << BITS, DIM)).astype(np.float32)
+    out = rng.normal(0, 0.3, (DIM, 2)).astype(np.float32)
     bias = np.log(np.bincount(y, minlength=2) / len(y)).astype(np.float32)
-    # Adam, with lazily updated rows for the embeddings
-    m, v = np.zeros_like(emb), np.zeros_like(emb)
-    mo, vo, mb, vb = np.zeros_like(out), np.zeros_like(out), np.zeros(2), np.zeros(2)
-    step = 0
-    for epoch in range(EPOCHS):
+    # plain gradient steps: a gram that is seen once moves little, unlike with adaptive rates
+    epochs = min(EPOCHS, -(-VISITS // len(y)))
+    for epoch in range(epochs):
         order = rng.permutation(len(y))
+        rate = RATE * (1 - epoch / epochs)
         for i in range(0, len(order), BATCH):
             pick = order[i : i + BATCH]
             idx = np.concatenate([bags.rows[d][0] for d in pick])
             val = np.concatenate([bags.rows[d][1] for d in pick])
             doc = np.repeat(np.arange(len(pick)), [len(bags.rows[d][0]) for d in pick])
-            mean = np.zeros((len(pick), DIM), dtype=np.float32)
             picked = emb[idx]
-            for k in range(DIM):
-                mean[:, k] = np.bincount(doc, picked[:, k] * val, minlength=len(pick))
-            logits = 50 * (mean @ out) + bias
-            p = np.exp(logits - logits.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            grad = p.copy()
+            mean = np.stack(
+                [np.bincount(doc, picked[:, k] * val, minlength=len(pick)) for k in range(DIM)], 1
+            )
+            logits = SCALE * (mean @ out) + bias
+            grad = np.exp(logits - logits.max(axis=1, keepdims=True))
+            grad /= grad.sum(axis=1, keepdims=True)
             grad[np.arange(len(pick)), y[pick]] -= 1
-            grad /= len(pick)
-            g_out, g_mean = 50 * mean.T @ grad, 50 * grad @ out.T
+            g_out, g_mean = SCALE * mean.T @ grad / len(pick), SCALE * grad @ out.T
             rows, inverse = np.unique(idx, return_inverse=True)
-            g = np.empty((len(rows), DIM), dtype=np.float32)
-            for k in range(DIM):
-                g[:, k] = np.bincount(inverse, g_mean[doc, k] * val, minlength=len(rows))
-            step += 1
-            rate = RATE * (1 - epoch / EPOCHS)
-            fix = np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-            m[rows] = 0.9 * m[rows] + 0.1 * g
-            v[rows] = 0.999 * v[rows] + 0.001 * g * g
-            emb[rows] -= rate * fix * m[rows] / (np.sqrt(v[rows]) + 1e-8)
-            for x, gx, mx, vx in ((out, g_out, mo, vo), (bias, grad.sum(axis=0), mb, vb)):
-                mx += 0.1 * (gx - mx)
-                vx += 0.001 * (gx * gx - vx)
-                x -= (rate * fix * mx / (np.sqrt(vx) + 1e-8)).astype(np.float32)
-    side = 50 * (out[:, 1] - out[:, 0])
+            emb[rows] -= rate * np.stack(
+                [np.bincount(inverse, g_mean[doc, k] * val, minlength=len(rows)) for k in range(DIM)],
+                1,
+            ).astype(np.float32)
+            out -= (0.002 * g_out / max(1.0, np.abs(g_out).max())).astype(np.float32)
+            bias -= (0.05 * grad.mean(axis=0)).astype(np.float32)
+    side = SCALE * (out[:, 1] - out[:, 0])
     return {
         "bucket": (emb @ side).astype(np.float32), "bias": float(bias[1] - bias[0]),
         # words as rare as unknown ones need no entry
