@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from evenkeel.llm import (
     arc_convert, chosen_path, feistel_shards, line_quality, mixture, qgram_leaks,
-    subword_toxicity, token_spans,
+    subword_toxicity, suffix_levels, token_spans,
 )
 from evenkeel.llm.common import table
 
@@ -15,6 +15,10 @@ def op1_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_spans.section_tokens(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_levels.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return line_quality.line_verdicts(documents).select(
@@ -55,6 +59,7 @@ def op9_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_spans": op1_token_spans,
+    "op2_suffix_levels": op2_suffix_levels,
     "op3_line_frequency": op3_line_frequency,
     "op4_qgram_leaks": op4_qgram_leaks,
     "op5_feistel_shards": op5_feistel_shards,

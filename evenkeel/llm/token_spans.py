@@ -9,8 +9,9 @@ allocated by rule:
 - `largest` (default): to the section that holds most of its characters, the first one on ties,
 - `share`: to every section in proportion to its characters.
 
-Sections are the \\n-separated lines; a line break belongs to the line it ends.  The counts of a
-document's sections add up to its tokens under each rule.
+Sections are lines (a line break belongs to the line it ends) or sentences (lines cut after `.`,
+`!` or `?` and a blank, which belongs to the sentence it follows; tokens with a leading blank then
+cross the border).  The counts of a document's sections add up to its tokens under each rule.
 
 Null and empty texts have no section and give no row.  Rows that repeat are counted each for
 itself.  An empty table gives an empty result; other columns are not read.
@@ -30,6 +31,7 @@ PATTERN = (
     r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 )
 RULES = ("start", "largest", "share")
+SECTIONS = ("lines", "sentences")
 ROWS = 8192
 
 
@@ -45,11 +47,14 @@ def encoding(path: str, pattern: str = PATTERN):
     return own, lengths
 
 
-def line_bounds(raw: np.ndarray) -> np.ndarray:
-    """Byte bounds of the lines: 0, after each line break, and the end."""
-    inner = np.flatnonzero(raw == 10) + 1
-    bounds = np.concatenate([[0], inner, [len(raw)]])
-    return bounds if not len(inner) or inner[-1] < len(raw) else bounds[:-1]
+def section_bounds(raw: np.ndarray, sections: str) -> np.ndarray:
+    """Byte bounds of the sections: 0, where each but the first begins, and the end."""
+    cut = raw == 10
+    if sections == "sentences":
+        ends = (raw == 46) | (raw == 33) | (raw == 63)
+        cut[1:] |= ends[:-1] & (raw[1:] == 32)
+    inner = np.flatnonzero(cut[:-1]) + 1
+    return np.concatenate([[0], inner, [len(raw)]])
 
 
 def attribute(
@@ -81,7 +86,7 @@ def attribute(
     return counts, np.bincount(section[best], minlength=n)
 
 
-def _encode(path: str, pattern: str, rule: str):
+def _encode(path: str, pattern: str, rule: str, sections: str):
     names = ["doc_id", "section", "start_char", "end_char", "n_tokens", "n_crossing"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +101,7 @@ def _encode(path: str, pattern: str, rule: str):
                 raw = np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)
                 ids = np.asarray(own.encode_ordinary(text), dtype=np.int64)
                 ends = np.cumsum(lengths[ids])
-                bounds = line_bounds(raw)
+                bounds = section_bounds(raw, sections)
                 # bytes to characters: a token that holds a part of a character covers it
                 before = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
                 first = before[np.concatenate([[0], ends[:-1]]) + 1] - 1
@@ -123,12 +128,13 @@ def _rows(batch, at, out, names) -> pa.RecordBatch:
 
 
 def section_tokens(
-    documents: DataFrame, rule: str = "largest", tokenizer: str = TOKENIZER, pattern: str = PATTERN
+    documents: DataFrame, rule: str = "largest", sections: str = "sentences",
+    tokenizer: str = TOKENIZER, pattern: str = PATTERN,
 ) -> DataFrame:
     """doc_id, section, start_char, end_char, n_tokens (double), n_crossing."""
-    if rule not in RULES:
-        raise ValueError(f"rule must be one of {RULES}")
+    if rule not in RULES or sections not in SECTIONS:
+        raise ValueError(f"rule must be one of {RULES}, sections one of {SECTIONS}")
     return documents.select("doc_id", "text").mapInArrow(
-        _encode(tokenizer, pattern, rule),
+        _encode(tokenizer, pattern, rule, sections),
         "doc_id long, section long, start_char long, end_char long, n_tokens double, n_crossing long",
     )
