@@ -84,26 +84,36 @@ def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
     )
 
 
-def shard(documents: DataFrame, shards: int = 8, seed: int = 20_240_607) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard (null: the law is `rows`)."""
-    if shards < 1:
-        raise ValueError("at least one shard is needed")
-    text = F.col("text")
-    rows = documents.select(
-        "doc_id",
+def _sized(text: Column) -> list[Column]:
+    return [
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(F.encode(text, "UTF-8")), F.lit(0)).cast("long").alias("text_crc32"),
-    )
+    ]
+
+
+def _placed(rows: DataFrame, shards: int, seed: int) -> DataFrame:
+    if shards < 1:
+        raise ValueError("at least one shard is needed")
     order = [F.col("doc_id").asc_nulls_first(), F.col("text_crc32"), F.col("size")]
     place = permutation(seed)
-    return (
-        numbered(rows, order)
-        .withColumn("_place", place("row", "n"))
-        .select(
-            "doc_id", "size", "text_crc32",
-            F.lit("rows").alias("law"),
-            (F.col("_place") % shards).cast("int").alias("shard"),
-            F.expr(f"_place div {shards}").alias("slot"),
-            F.lit(None).cast("int").alias("grown_shard"),
-        )
+    return numbered(rows, order).withColumn("_place", place("row", "n")).select(
+        *rows.columns,
+        F.lit("rows").alias("law"),
+        (F.col("_place") % shards).cast("int").alias("shard"),
+        F.expr(f"_place div {shards}").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def shard(documents: DataFrame, shards: int = 8, seed: int = 20_240_607) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard (null: the law is `rows`)."""
+    return _placed(documents.select("doc_id", *_sized(F.col("text"))), shards, seed)
+
+
+def sharded_documents(documents: DataFrame, shards: int = 8, seed: int = 20_240_607) -> DataFrame:
+    """The documents with the columns of `shard`; a column of such a name is replaced."""
+    rows = documents.select(F.struct("*").alias("doc"), "doc_id", *_sized(F.col("text")))
+    placed = _placed(rows, shards, seed)
+    own = [c for c in placed.columns if c not in ("doc", "doc_id")]
+    kept = [F.col("doc")[c].alias(c) for c in documents.columns if c.lower() not in own]
+    return placed.select(*kept, *own)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from evenkeel.llm import (
-    arc_convert, chosen_path, feistel_shards, line_quality, mixture, qgram_leaks,
+    arc_convert, chosen_path, feistel_shards, licences, line_quality,
+    mixture, qgram_leaks,
     subword_toxicity, suffix_levels, token_spans,
 )
 from evenkeel.llm.common import table
@@ -57,6 +58,10 @@ def op9_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_licence_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licences(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_spans": op1_token_spans,
     "op2_suffix_levels": op2_suffix_levels,
@@ -67,6 +72,7 @@ QUERIES = {
     "op7_source_mixture": op7_source_mixture,
     "op8_chosen_path": op8_chosen_path,
     "op9_subword_toxicity": op9_subword_toxicity,
+    "op10_licence_paragraphs": op10_licence_paragraphs,
 }
 
 ORACLES: dict[str, str] = {}

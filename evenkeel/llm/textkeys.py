@@ -89,10 +89,10 @@ def string_hash(sums: np.ndarray, powers: Powers, i: np.ndarray, j: np.ndarray)
         return mix((sums[j] - sums[i]) * powers.down[i])
 
 
-def words(raw: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(raw: np.ndarray, begins: np.ndarray, gap: np.ndarray = _GAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Begin and end of each word, and the first word of each text (one more entry: all words)."""
     solid = np.zeros(len(raw) + 2, dtype=bool)
-    solid[1:-1] = ~_GAP[raw]
+    solid[1:-1] = ~gap[raw]
     edge = np.zeros(len(raw) + 1, dtype=bool)
     edge[begins] = True
     here, before = solid[1:], solid[:-1]
