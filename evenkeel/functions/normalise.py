@@ -18,18 +18,20 @@ def with_null_token(text: Column, null_token: str | None = NULL_TOKEN) -> Column
 
 
 def boolean(c: Column, true_text: str = "1", false_text: str = "0") -> Column:
-    """Booleans and 0/1 flags; anything else is NULL."""
-    raw = F.lower(F.trim(c.cast("string")))
+    """Booleans and 0/1 flags; anything else keeps its own text, so that it equals no flag and no
+    NULL."""
+    text = F.trim(c.cast("string"))
+    raw = F.lower(text)
     return F.when(raw.isin("true", "1"), F.lit(true_text)).when(
         raw.isin("false", "0"), F.lit(false_text)
-    )
+    ).otherwise(text)
 
 
 def integer(c: Column, dtype: T.DataType | None = None) -> Column:
     """Integer text.  Integral values held in a float lose the ``.0``."""
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        whole = (c == F.floor(c)) & (F.abs(c) < F.lit(1e18))
-        return F.when(whole, c.try_cast("decimal(38,0)").cast("string")).otherwise(
+        digits = c.try_cast("decimal(38,0)")  # NULL for NaN, infinity and beyond 38 digits
+        return F.when(digits.cast("double") == c.cast("double"), digits.cast("string")).otherwise(
             c.cast("string")
         )
     if isinstance(dtype, T.DecimalType):
@@ -52,8 +54,8 @@ def timestamp_ntz(c: Column) -> Column:
 def timestamp_tz(c: Column) -> Column:
     """An instant shown as UTC wall-clock seconds.  Independent of session zone."""
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    seconds = F.floor(F.unix_micros(c.cast("timestamp")) / F.lit(1000000)).cast("long")
-    return F.timestamp_add("SECOND", seconds, epoch).cast("string")
+    # whole seconds as stored: micros divided as doubles lose whole micros after about 2255
+    return F.timestamp_add("SECOND", F.unix_seconds(c.cast("timestamp")), epoch).cast("string")
 
 
 def date(c: Column) -> Column:

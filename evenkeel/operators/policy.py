@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import re
+import warnings
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from evenkeel import fixed_values as fv
 from evenkeel.functions.binding import contains_any, let, matches_any
@@ -142,10 +143,19 @@ class ExclusionPolicy:
 
 
 def _usable(pattern: str | None) -> bool:
+    """Whether the engine that runs the pattern takes it; a rejected one is reported."""
+    if not pattern:
+        return False
     try:
-        return bool(pattern) and bool(re.compile(pattern))
-    except re.error:
+        SparkSession.active().sql("SELECT '' RLIKE :p", args={"p": pattern}).collect()
+    except PySparkException as e:
+        warnings.warn(f"exclusion pattern {pattern!r} is left out: {_reason(e)}", stacklevel=2)
         return False
+    return True
+
+
+def _reason(error: Exception) -> str:
+    return str(error).strip().splitlines()[0]
 
 
 def _at_start(c: Column, pattern: str) -> Column:

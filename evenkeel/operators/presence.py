@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from evenkeel import fixed_values as fv
 from evenkeel.operators.policy import ExclusionPolicy, decide_exclusions, target_only_category
+from evenkeel.schema import RESULT_SCHEMA
 
 
 def table_presence(
@@ -55,15 +56,16 @@ def table_presence(
 
 
 def presence_failures(presence: DataFrame) -> DataFrame:
-    """Missing tables as FAIL results, to be put under the results of a run."""
-    empty = F.lit(None).cast("long")
+    """Missing tables as FAIL results with the columns of a run's results, to be put under them."""
+    known = {
+        "table": F.col("source_table"), "validation_type": F.lit("table_presence"),
+        "status": F.lit("FAIL"), "error": F.col("message"),
+    }
     return presence.filter(F.col("status") == "MISSING_CRITICAL").select(
-        F.col("source_table").alias("table"),
-        F.lit("table_presence").alias("validation_type"),
-        F.lit("FAIL").alias("status"),
-        F.col("message").alias("error"),
-        empty.alias("source_count"),
-        empty.alias("target_count"),
+        *[
+            known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in RESULT_SCHEMA.fields
+        ]
     )
 
 

@@ -88,12 +88,15 @@ def pair_columns(
     renamed: dict[str, str] | None = None,
     excluded: Iterable[str] = (),
     rules: dict[str, str] | None = None,
+    decimal_places: dict[str, int] | None = None,
 ) -> list[ColumnPair]:
     """Pair the columns of two tables by configured name, name, then name key.
 
-    The rule follows the wider of the two Spark types unless ``rules`` names one.
-    Columns without a partner are left to schema presence and coverage.
+    The rule follows the wider of the two Spark types unless ``rules`` names one; decimals are
+    compared to the larger declared scale (two places at least) unless ``decimal_places`` says
+    otherwise for a source column.  :func:`uncompared_columns` lists what found no partner.
     """
+    places = {k.upper(): v for k, v in (decimal_places or {}).items()}
     renamed = {k.upper(): v.upper() for k, v in (renamed or {}).items()}
     rules = {k.upper(): v for k, v in (rules or {}).items()}
     unwanted = {n.lower() for n in excluded}
@@ -103,7 +106,7 @@ def pair_columns(
         by_key.setdefault(_key(f.name), f)
     pairs = []
     for f in source.schema.fields:
-        if f.name.lower() in unwanted or isinstance(f.dataType, T.ArrayType):
+        if f.name.lower() in unwanted:
             continue
         upper = f.name.upper()
         other = (
@@ -111,18 +114,44 @@ def pair_columns(
         )
         if other is None or other.name.lower() in unwanted:
             continue
-        rule = rules.get(upper) or _common_rule(f.dataType, other.dataType)
+        rule = rules.get(upper) or common_rule(f.dataType, other.dataType)
+        if upper in places and rule.partition(":")[0] == "numeric":
+            rule = f"numeric:{places[upper]}"
         pairs.append(ColumnPair(f.name, other.name, rule))
     return pairs
 
 
+def uncompared_columns(
+    source: DataFrame,
+    target: DataFrame,
+    pairs: Iterable[ColumnPair],
+    excluded: Iterable[str] = (),
+) -> list[tuple[str, str, str]]:
+    """(side, column, reason) of every column that no pair covers."""
+    pairs = list(pairs)
+    unwanted = {n.lower() for n in excluded}
+    used = {"source": {p.source for p in pairs}, "target": {p.target for p in pairs}}
+    other = {"source": "target", "target": "source"}
+    return [
+        (side, c, "excluded" if c.lower() in unwanted else f"no partner in {other[side]}")
+        for side, frame in (("source", source), ("target", target))
+        for c in frame.columns
+        if c not in used[side]
+    ]
+
+
 def _key(name: str) -> str:
     return "".join(ch for ch in name.lower() if ch.isascii() and ch.isalnum())
 
 
-def _common_rule(a: T.DataType, b: T.DataType) -> str:
+def common_rule(a: T.DataType, b: T.DataType) -> str:
     """Rule for two native types; types that render differently meet in the richer rule."""
     first, second = native_rule(a), native_rule(b)
+    scale = max(t.scale if isinstance(t, T.DecimalType) else 0 for t in (a, b))
+    if "numeric" in (first, second) and scale > fv.DECIMAL_PLACES and "boolean" not in (
+        first, second
+    ):
+        return f"numeric:{scale}"
     if first == second:
         return first
     for wide in ("boolean", "numeric", "timestamp_ntz", "date", "json", "hstore"):

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from evenkeel.fixed_values import NULL_TOKEN
 from evenkeel.functions.normalise import with_null_token
-from evenkeel.operators.projection import ColumnPair, quoted
+from evenkeel.operators.projection import ColumnPair, common_rule, quoted
 from evenkeel.plans.rules import RuleBook
 
 MISSING_IN_TARGET = "MISSING_IN_TARGET"
@@ -270,24 +270,34 @@ def key_ledger(
     target: DataFrame,
     keys: Sequence[str],
     target_keys: Sequence[str] | None = None,
+    raw: bool = False,
 ) -> DataFrame:
     """Copies of every distinct key on each side.  NULL keys form one group.
 
-    Keys come out as trimmed text; whole numbers on both sides are grouped as numbers.
+    Keys of different types meet in the rule that :func:`ledger` uses for such a pair, so both
+    agree on what is missing; whole numbers on both sides are grouped as numbers.  ``raw``
+    compares text as it is stored, as SQL does; otherwise it is trimmed.
     """
     theirs = list(target_keys or keys)
-    whole = {
-        k for k, t in zip(keys, theirs)
-        if _is_whole(source, k) and _is_whole(target, t)
-    }
+    book = RuleBook()
+    s_types, t_types = ({f.name: f.dataType for f in x.schema.fields} for x in (source, target))
+
+    def rendered(name: str, own: T.DataType, other: T.DataType, ordered: tuple) -> Column:
+        if isinstance(own, T.IntegralType) and isinstance(other, T.IntegralType):
+            return quoted(name).cast("long")
+        if raw and own == other and _orderable(own):
+            return quoted(name)
+        return book.named(common_rule(*ordered)).apply(name, own)
 
     def side(frame: DataFrame, names: Sequence[str], s: int, t: int) -> DataFrame:
+        cells = []
+        for k, mine, other in zip(keys, keys, theirs):
+            a, b = s_types[_actual(source, mine)], t_types[_actual(target, other)]
+            name = mine if s else other
+            own, far = (a, b) if s else (b, a)
+            cells.append(rendered(_actual(frame, name), own, far, (a, b)).alias(k))
         return frame.select(
-            *[
-                (quoted(n).cast("long") if k in whole else F.trim(quoted(n).cast("string")))
-                .alias(k)
-                for n, k in zip(names, keys)
-            ],
+            *cells,
             F.lit(s).cast("long").alias("s_n"),
             F.lit(t).cast("long").alias("t_n"),
         )
@@ -301,8 +311,10 @@ def key_ledger(
     )
 
 
-def _is_whole(frame: DataFrame, name: str) -> bool:
-    return isinstance(frame.select(quoted(name)).schema[0].dataType, T.IntegralType)
+def _actual(frame: DataFrame, name: str) -> str:
+    return frame.select(quoted(name)).columns[0] if name in frame.columns else next(
+        c for c in frame.columns if c.lower() == name.lower()
+    )
 
 
 def missing_rows(
@@ -316,8 +328,9 @@ def missing_rows(
 
     ``nulls``: ``match`` lets a NULL key equal a NULL key; ``not_exists`` lets a NULL key equal
     nothing; ``not_in`` is SQL ``NOT IN``: one NULL among the target keys empties the result.
+    The SQL forms compare text as stored, without trimming.
     """
-    both = key_ledger(source, target, keys, target_keys)
+    both = key_ledger(source, target, keys, target_keys, raw=nulls != "match")
     any_null = F.lit(False)
     for k in keys:
         any_null = any_null | quoted(k).isNull()
@@ -329,10 +342,13 @@ def missing_rows(
         if len(keys) != 1:
             raise ValueError("not_in takes a single key")
         name = (target_keys or keys)[0]
-        # one-row scalar subqueries: NOT IN itself would broadcast the whole target
-        null_target = target.agg(F.count_if(quoted(name).isNull()) > 0).scalar()
-        empty_target = target.agg(F.count(F.lit(1)) == 0).scalar()
-        absent = (absent & ~null_target & ~any_null) | empty_target
+        # a one-row scalar subquery: NOT IN itself would broadcast the whole target
+        facts = target.agg(
+            F.struct(
+                F.count_if(quoted(name).isNull()).alias("nulls"), F.count(F.lit(1)).alias("all")
+            )
+        ).scalar()
+        absent = (absent & (facts["nulls"] == 0) & ~any_null) | (facts["all"] == 0)
     elif nulls != "match":
         raise ValueError(f"unknown nulls mode {nulls!r}")
     return both.filter(present & absent).select(*[quoted(k) for k in keys], "source_rows")

@@ -45,7 +45,7 @@ class Rule:
 
 _RENDER: dict[str, Render] = {
     "boolean": lambda c, t: nz.boolean(c),
-    "numeric": lambda c, t: nz.numeric(c),
+    "numeric": lambda c, t: nz.numeric(c),  # other scales: decimal_rule
     "timestamp_tz": lambda c, t: nz.timestamp_tz(c),
     "timestamp_ntz": lambda c, t: nz.timestamp_ntz(c),
     "date": lambda c, t: nz.date(c),
@@ -94,7 +94,14 @@ class RuleBook:
         return kept._insert(Rule(name, tuple(pairs), template=template), before)
 
     def named(self, name: str) -> Rule:
-        return next(r for r in self.rules if r.name == name)
+        """A rule by name; ``numeric:4`` is the numeric rule with four decimal places."""
+        base, _, places = name.partition(":")
+        rule = next(r for r in self.rules if r.name == base)
+        if not places:
+            return rule
+        if base != "numeric":
+            raise ValueError(f"rule {base!r} has no decimal places")
+        return decimal_rule(int(places), rule.pairs)
 
     def assign(self, source_type: Column, target_type: Column) -> Column:
         """Rule name per row of a type-pair DataFrame.  One projection, no join."""
@@ -119,6 +126,13 @@ class RuleBook:
         return F.coalesce(rule, F.lit("text"))
 
 
+def decimal_rule(places: int, pairs: tuple[tuple[str, str], ...] = ()) -> Rule:
+    """The numeric rule with its own number of decimal places."""
+    if not 0 <= places <= 38:
+        raise ValueError(f"decimal places must be 0 to 38, not {places}")
+    return Rule(f"numeric:{places}", pairs, lambda c, t: nz.numeric(c, places))
+
+
 def check_template(template: str) -> None:
     """Reject anything beyond one read-only expression."""
     for mark in fv.BANNED_TEMPLATE_MARKS:
@@ -140,6 +154,6 @@ def native_rule(dtype: T.DataType) -> str:
         (T.DateType, "date"),
         (T.BinaryType, "bytea"),
         (T.MapType, "hstore"),
-        ((T.StructType, T.VariantType), "json"),
+        ((T.StructType, T.ArrayType, T.VariantType), "json"),
     ]
     return next((name for cls, name in by_class if isinstance(dtype, cls)), "text")

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import datetime
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from evenkeel.operators.metrics import count_check
-from evenkeel.operators.projection import active_rows, load_window, pair_columns
-from evenkeel.operators.reconcile import diff_counts, ledger
+from evenkeel.operators.policy import promote
+from evenkeel.operators.presence import presence_failures
+from evenkeel.operators.projection import (
+    active_rows, load_window, pair_columns, uncompared_columns,
+)
+from evenkeel.operators.reconcile import diff_counts, ledger, same_rows
 from evenkeel.sources.readers import load
-from evenkeel.schema import schema
+from evenkeel.schema import RESULT_SCHEMA, schema
 
 COUNT_SUMMARY = schema(
     "run_id string, run_at string, validation_performed string, source_table_name string, "
@@ -27,12 +32,6 @@ DATA_SUMMARY = schema(
     "value_mismatches bigint, duplicate_keys bigint, status string, output_file_path string, "
     "batch_start_time string, batch_end_time string, total_time_taken string"
 )
-RESULT_SCHEMA = schema(
-    "table string, validation_type string, status string, error string, "
-    "source_count bigint, target_count bigint, count_difference bigint, "
-    "missing_in_source bigint, missing_in_target bigint, value_mismatches bigint, "
-    "duplicate_keys bigint"
-)
 
 
 @dataclass
@@ -46,9 +45,11 @@ class TableTask:
     renamed: dict[str, str] = field(default_factory=dict)
     excluded: tuple[str, ...] = ()
     rules: dict[str, str] = field(default_factory=dict)
+    decimal_places: dict[str, int] = field(default_factory=dict)
     load_type: str = "historical"
     window: tuple[str, str, object, object] | None = None
     validation_type: str = "data_validation"
+    needs_keys: bool = False
     source_type: str = "parquet"
     target_type: str = "parquet"
 
@@ -57,6 +58,10 @@ class TableTask:
         source = load(spark, self.source) if isinstance(self.source, dict) else self.source
         target = load(spark, self.target) if isinstance(self.target, dict) else self.target
         target = active_rows(target)
+        if self.needs_keys and not self.keys:
+            raise ValueError("data validation needs a key")
+        if self.load_type.strip().lower() == "incremental" and not self.window:
+            raise ValueError("an incremental load needs a window")
         if self.window:
             source_column, target_column, low, high = self.window
             source = load_window(source, self.load_type, source_column, low, high)
@@ -65,17 +70,40 @@ class TableTask:
 
 
 def table_result(spark: SparkSession, task: TableTask) -> DataFrame:
-    """One lazy result row.  Data validation without keys compares counts only."""
+    """One lazy result row.
+
+    ``mode`` says what the status rests on: ``count`` (row counts), ``keyed`` (rows by key) or
+    ``multiset`` (data validation without keys: whole rows, as often as they occur).
+    ``uncompared_columns`` names what the status does not speak for, and why.
+    """
     source, target = task.sides(spark)
-    if task.validation_type == "count_validation" or not task.keys:
+    columns = {"table": F.lit(task.table), "validation_type": F.lit(task.validation_type)}
+    if task.validation_type == "count_validation":
         found = count_check(source, target)
-    else:
-        pairs = pair_columns(source, target, task.renamed, task.excluded, task.rules)
-        found = diff_counts(ledger(source, target, pairs, task.keys))
-    found = found.withColumn("table", F.lit(task.table)).withColumn(
-        "validation_type", F.lit(task.validation_type)
+        columns["mode"] = F.lit("count")
+        return _fit(found.withColumns(columns), RESULT_SCHEMA)
+    pairs = pair_columns(
+        source, target, task.renamed, task.excluded, task.rules, task.decimal_places
     )
-    return _fit(found, RESULT_SCHEMA)
+    if not pairs:
+        raise ValueError("no column of the source has a partner in the target")
+    if task.keys:
+        found = diff_counts(ledger(source, target, pairs, task.keys))
+    else:
+        # rows that only one side holds, or holds more often
+        found = same_rows(source, target, pairs).withColumnsRenamed(
+            {"source_surplus": "missing_in_target", "target_surplus": "missing_in_source"}
+        ).withColumns({
+            "source_count": source.agg(F.count(F.lit(1))).scalar(),
+            "target_count": target.agg(F.count(F.lit(1))).scalar(),
+        })
+    left_out = uncompared_columns(source, target, pairs, task.excluded)
+    columns |= {
+        "mode": F.lit("keyed" if task.keys else "multiset"),
+        "compared_columns": F.lit(len(pairs)),
+        "uncompared_columns": F.lit("; ".join(f"{s}.{c}: {why}" for s, c, why in left_out)),
+    }
+    return _fit(found.withColumns(columns), RESULT_SCHEMA)
 
 
 def _fit(frame: DataFrame, schema: T.StructType) -> DataFrame:
@@ -105,42 +133,81 @@ def batch_results(spark: SparkSession, tasks: Iterable[TableTask]) -> DataFrame:
     return results if results is not None else spark.createDataFrame([], RESULT_SCHEMA)
 
 
-def run_batch(spark: SparkSession, tasks: Iterable[TableTask]) -> DataFrame:
-    """Run the tasks one after another, each isolated.
+def run_batch(spark: SparkSession, tasks: Iterable[TableTask], at_once: int = 4) -> DataFrame:
+    """Run the tasks, each isolated, `at_once` of them at a time so that the cluster stays busy.
 
-    Only the one-row results reach the driver.
+    Only the one-row results reach the driver, in the order of the tasks.
     """
-    rows = []
-    for task in tasks:
+
+    def one(task: TableTask) -> list:
         try:
-            rows += table_result(spark, task).collect()
+            return table_result(spark, task).collect()
         except Exception as e:  # reported as the status of this table
-            rows += _error_row(spark, task, e).collect()
+            return [_error_values(task, e)]
+
+    with ThreadPoolExecutor(max_workers=at_once) as pool:
+        rows = [tuple(r) for found in pool.map(one, tasks) for r in found]
     return spark.createDataFrame(rows, RESULT_SCHEMA)
 
 
 def _error_row(spark: SparkSession, task: TableTask, error: Exception) -> DataFrame:
+    return spark.createDataFrame([_error_values(task, error)], RESULT_SCHEMA)
+
+
+def _error_values(task: TableTask, error: Exception) -> tuple:
     message = str(error).strip().splitlines()[0] if str(error).strip() else repr(error)
     known = {
         "table": task.table, "validation_type": task.validation_type, "status": "ERROR",
         "error": message,
     }
-    row = tuple(known.get(name) for name in RESULT_SCHEMA.names)
-    return spark.createDataFrame([row], RESULT_SCHEMA)
+    return tuple(known.get(name) for name in RESULT_SCHEMA.names)
+
+
+def full_run(
+    spark: SparkSession,
+    tasks: Iterable[TableTask],
+    presence: DataFrame,
+    skips: DataFrame | None = None,
+) -> DataFrame:
+    """One run from end to end: results of the tasks, missing tables as FAIL rows under them, and
+    promotion by unjustified skips.
+
+    ``presence``: :func:`evenkeel.operators.presence.table_presence`; ``skips``: output of
+    ``policy.skip_counts``.  :func:`status_counts`, :func:`skip_report` and :func:`summary` take the
+    result.
+    """
+    results = batch_results(spark, tasks).unionByName(presence_failures(presence))
+    return results if skips is None else promote(results, skips)
 
 
 def tasks_from_control(control_rows: Iterable[T.Row], fmt: str, base: str) -> list[TableTask]:
-    """Tasks from the active rows of a control table over files ``base/<schema>/<table>``."""
-    return [
-        TableTask(
-            table=r["table_name"],
-            source={"format": fmt, "path": f"{base}/{r['source_schema']}/{r['source_table']}"},
-            target={"format": fmt, "path": f"{base}/{r['target_schema']}/{r['target_table']}"},
-            load_type=r["load_type"] or "historical",
-            validation_type=r["validation_type"] or "count_validation",
+    """Tasks from the active rows of a control table over files ``base/<schema>/<table>``.
+
+    Optional fields of a row: ``primary_key`` (comma separated), ``source_column``,
+    ``target_column``, ``window_start`` and ``window_end`` for incremental loads,
+    ``source_query`` and ``target_query`` (SQL over the side's rows, ``{rows}``).
+    What a row asks for and lacks (a window, a key) makes its table an ERROR, never a pass.
+    """
+
+    def side(row: dict, which: str) -> dict:
+        spec = {"format": fmt, "path": f"{base}/{row[which + '_schema']}/{row[which + '_table']}"}
+        return spec | ({"query": row[which + "_query"]} if row.get(which + "_query") else {})
+
+    def task(row: dict) -> TableTask:
+        kind = row.get("validation_type") or "count_validation"
+        window = None
+        if row.get("window_start") is not None and row.get("window_end") is not None:
+            column = row.get("source_column")
+            window = (column, row.get("target_column") or column, row["window_start"],
+                      row["window_end"])
+        keys = [k.strip() for k in (row.get("primary_key") or "").split(",") if k.strip()]
+        return TableTask(
+            table=row["table_name"], source=side(row, "source"), target=side(row, "target"),
+            keys=keys, window=window, load_type=row.get("load_type") or "historical",
+            validation_type=kind, needs_keys=kind == "data_validation",
         )
-        for r in control_rows
-    ]
+
+    return [task(r.asDict() if isinstance(r, T.Row) else dict(r)) for r in control_rows]
 
 
 def summary(

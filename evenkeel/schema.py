@@ -15,3 +15,11 @@ def schema(text: str) -> T.StructType:
     """``"a string, b bigint"`` as a nullable struct."""
     fields = (part.split() for part in text.split(","))
     return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in fields])
+
+
+RESULT_SCHEMA = schema(
+    "table string, validation_type string, status string, error string, "
+    "source_count bigint, target_count bigint, count_difference bigint, "
+    "missing_in_source bigint, missing_in_target bigint, value_mismatches bigint, "
+    "duplicate_keys bigint, mode string, compared_columns int, uncompared_columns string"
+)

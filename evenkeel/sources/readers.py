@@ -10,7 +10,9 @@ CONTROL_SCHEMA = schema(
     "source_schema string, source_table string, source_db string, source_query string, "
     "target_schema string, target_table string, target_db string, target_query string, "
     "is_active boolean, validation_status boolean, created_by string, "
-    "created_at timestamp_ntz, updated_by string, updated_at timestamp_ntz"
+    "created_at timestamp_ntz, updated_by string, updated_at timestamp_ntz, "
+    "primary_key string, source_column string, target_column string, window_start string, "
+    "window_end string"
 )
 USAGE_SCHEMA = schema(
     "session_id string, timestamp string, pid bigint, backend string, model string, "
@@ -22,11 +24,15 @@ USAGE_SCHEMA = schema(
 def load(spark: SparkSession, spec: dict) -> DataFrame:
     """One side of a comparison.
 
-    ``spec`` has ``table`` (catalog name), or ``format`` with ``path`` and/or ``options``.
+    ``spec`` has ``table`` (catalog name), or ``format`` with ``path`` and/or ``options``, and
+    optionally ``query``: SQL over what was read, which it names ``{rows}``.
     For ``jdbc``, ``partitionColumn``, ``lowerBound``, ``upperBound`` and ``numPartitions``
     go into ``options`` so that the read is split over executors; ``schema`` avoids a pass
     for inference on csv and json.
     """
+    if "query" in spec:
+        rows = load(spark, {k: v for k, v in spec.items() if k != "query"})
+        return spark.sql(spec["query"], rows=rows)
     if "table" in spec:
         return spark.table(spec["table"])
     reader = spark.read.format(spec.get("format", "parquet")).options(**spec.get("options", {}))

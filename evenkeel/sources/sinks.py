@@ -6,7 +6,10 @@ own files.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.errors import AnalysisException
+from pyspark.sql import (
+    DataFrame, Observation, SparkSession, Window, functions as F, types as T,
+)
 
 from evenkeel.operators.windows import latest_per_key
 from evenkeel.schema import schema
@@ -27,19 +30,14 @@ def append_report(report: DataFrame, path: str, fmt: str = "csv") -> None:
 
 
 def write_mismatches(diff: DataFrame, path: str, fmt: str = "parquet") -> bool:
-    """Write the mismatches; nothing is written when there are none.
+    """Write the mismatches and say whether there were any.
 
-    The difference is evaluated once: it is written, and the written files say whether
-    there were rows.
+    The difference is evaluated once and kept nowhere else: the write counts its rows.
     """
-    diff = diff.persist()
-    try:
-        if diff.isEmpty():
-            return False
-        diff.write.mode("append").option("header", True).format(fmt).save(path)
-        return True
-    finally:
-        diff.unpersist()
+    seen = Observation("mismatches")
+    counted = diff.observe(seen, F.count(F.lit(1)).alias("rows"))
+    counted.write.mode("append").option("header", True).format(fmt).save(path)
+    return seen.get["rows"] > 0
 
 
 def write_plan(mapping: DataFrame, path: str) -> None:
@@ -67,13 +65,38 @@ def confirm_mapping(confirmed: DataFrame, path: str) -> None:
 
 def confirmed_mappings(spark: SparkSession, path: str) -> DataFrame:
     """Latest confirmation per source table; an absent log is an empty log."""
-    try:
-        log = spark.read.schema(CONFIRMED_SCHEMA).parquet(path)
-    except Exception:  # no log yet
-        log = spark.createDataFrame([], CONFIRMED_SCHEMA)
+    log = _read_log(spark, path, CONFIRMED_SCHEMA)
     return latest_per_key(log, ["source_table"], [F.desc("confirmed_at")])
 
 
+def _read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A log that was never written is empty; any other failure to read it is an error."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def append_learned(corrections: DataFrame, path: str) -> None:
+    """Append corrections to the learned log."""
+    corrections.select(*LEARNED_SCHEMA.names).write.mode("append").parquet(path)
+
+
+def learned(spark: SparkSession, path: str) -> DataFrame:
+    """Latest correction per (source, target) pair of the log, with a stable ``seq``.
+
+    ``seq`` orders the pairs by the time of their correction, then by names.  The window is over the
+    pairs that people have confirmed, one row each.
+    """
+    log = _read_log(spark, path, LEARNED_SCHEMA)
+    pair = [F.upper("source_column").alias("s_key"), F.upper("target_column").alias("t_key")]
+    newest = latest_per_key(log.select("*", *pair), ["s_key", "t_key"], [F.desc("corrected_at")])
+    order = Window.orderBy(F.asc_nulls_first("corrected_at"), "s_key", "t_key")
+    return newest.withColumn("seq", F.row_number().over(order).cast("long")).drop("s_key", "t_key")
+
+
 def upsert_learned(stored: DataFrame, corrections: DataFrame) -> DataFrame:
     """Corrections replace stored rows of the same (source, target) pair, whatever the case.
 

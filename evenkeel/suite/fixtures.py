@@ -47,6 +47,47 @@ ORDERS_TARGET = " UNION ALL ".join(
     ]
 )
 
+# --- two tables without a key ---------------------------------------------------------------
+
+KEYLESS_SOURCE = "SELECT o_orderkey, o_orderstatus FROM {orders}"
+KEYLESS_TARGET = """
+SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus
+  FROM {orders} WHERE o_orderkey % 30 <> 0
+UNION ALL SELECT o_orderkey, o_orderstatus FROM {orders} WHERE o_orderkey % 41 = 0
+"""
+
+# --- values at the edges of their types ----------------------------------------------------------
+
+EDGES_SOURCE = """
+SELECT o_orderkey AS id, CAST(CASE WHEN o_orderkey % 2 = 0 THEN TRUE END AS BOOLEAN) AS flag,
+       CAST(CASE o_orderkey % 4 WHEN 0 THEN 2000000000000000000 ELSE o_orderkey END AS BIGINT)
+         AS big,
+       CAST(o_orderkey % 10 AS DECIMAL(10,4)) / 1000 AS small
+  FROM {orders}
+"""
+EDGES_TARGET = """
+SELECT o_orderkey AS id, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 1 WHEN o_orderkey % 5 = 0 THEN 5 END
+         AS INT) AS flag,
+       CAST(CASE o_orderkey % 4 WHEN 0 THEN 2000000000000000000 ELSE o_orderkey END AS DOUBLE)
+         AS big,
+       CAST(CASE WHEN o_orderkey % 3 = 0 THEN 4 ELSE o_orderkey % 10 END AS DECIMAL(10,4)) / 1000
+         AS small
+  FROM {orders}
+"""
+
+# --- a run over tables of which one is missing ---------------------------------------------------
+
+RUN_SOURCES = """
+SELECT 's' AS "schema", lower(r_name) AS "table" FROM {region}
+"""
+RUN_TARGETS = """
+SELECT 's' AS "schema", upper(r_name) AS "table" FROM {region} WHERE r_regionkey <> 2
+"""
+RUN_SKIPS = """
+SELECT 'customer' AS "table", lower(n_name) AS column_name, 'nobody looked' AS skip_reason,
+       'text' AS data_type FROM {nation} WHERE n_nationkey = 0
+"""
+
 # --- a target for customer that differs in form only -----------------------------------------
 
 CUSTOMER_TARGET = """

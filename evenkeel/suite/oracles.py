@@ -108,8 +108,32 @@ SELECT 'run' AS run_id, 'count_validation' AS validation_performed, 'orders' AS
        s AS source_count, t AS target_count, abs(t - s) AS count_difference,
        CASE WHEN s = t THEN 'PASS' ELSE 'FAIL' END AS status FROM {COUNTS} c""")
 add("count_only_check", """
-SELECT 'part' AS "table", 'data_validation' AS validation_type, count(*) AS source_count,
-       count(*) AS target_count, 'PASS' AS status FROM part""")
+SELECT 'part' AS "table", 'count_validation' AS validation_type, 'count' AS mode,
+       count(*) AS source_count, count(*) FILTER (p_partkey % 7 <> 0) AS target_count,
+       CASE WHEN count(*) FILTER (p_partkey % 7 = 0) = 0 THEN 'PASS' ELSE 'FAIL' END AS status
+  FROM part""")
+add("keyless_validation", given(s=fx.KEYLESS_SOURCE, t=fx.KEYLESS_TARGET) + """
+SELECT 'orders' AS "table", 'multiset' AS mode, (SELECT count(*) FROM s) AS source_count,
+       (SELECT count(*) FROM t) AS target_count,
+       (SELECT count(*) FROM (SELECT * FROM s EXCEPT ALL SELECT * FROM t) x) AS missing_in_target,
+       (SELECT count(*) FROM (SELECT * FROM t EXCEPT ALL SELECT * FROM s) x) AS missing_in_source,
+       'FAIL' AS status""")
+add("uncompared_columns", """
+SELECT 'embeddings' AS "table", 'keyed' AS mode,
+       CASE WHEN count(*) FILTER (vec_id % 10 = 0 AND embedding <> list_reverse(embedding)) > 0
+            THEN 'FAIL' ELSE 'PASS' END AS status, CAST(2 AS INTEGER) AS compared_columns,
+       'source.label: no partner in target' AS uncompared_columns, count(*) AS source_count
+  FROM embeddings""")
+add("edge_values", """
+SELECT 'flag' AS column_name,
+       count(*) FILTER (o_orderkey % 2 <> 0 AND o_orderkey % 5 = 0) AS mismatches FROM orders
+UNION ALL SELECT 'big', 0
+UNION ALL SELECT 'small', count(*) FILTER (o_orderkey % 3 = 0 AND o_orderkey % 10 <> 4)
+  FROM orders""")
+add("missing_rows_mixed_types", """
+SELECT kind, CAST(o_orderkey AS DOUBLE) AS o_orderkey, count(*) AS source_rows
+  FROM orders, (VALUES ('decimal(12,2)'), ('double')) k(kind)
+ WHERE o_orderkey % 97 = 0 GROUP BY ALL""")
 TARGET_COLUMNS = ["O_ORDERKEY", "CUSTOMER_KEY", "O_ORDERSTATUS", "O_TOTALPRICE", "O_ORDERDATE",
                   "O_ORDERPRIORITY", "_FIVETRAN_ACTIVE", "_FIVETRAN_SYNCED", "MIGRATED_AT",
                   "DATA_QUALITY_SCORE"]
@@ -307,8 +331,7 @@ def rule(name: str, table: str, key: str, value: str) -> None:
 
 FLAG = "CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus = 'O' END"
 rule("boolean", "orders", "o_orderkey", f"CASE {FLAG} WHEN TRUE THEN '1' WHEN FALSE THEN '0' END")
-rule("boolean_bit", "lineitem", "l_orderkey",
-     "CASE l_linenumber % 3 WHEN 1 THEN '1' WHEN 0 THEN '0' END")
+rule("boolean_bit", "lineitem", "l_orderkey", "CAST(l_linenumber % 3 AS VARCHAR)")
 rule("integer", "lineitem", "l_orderkey", "CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)")
 rule("numeric", "orders", "o_orderkey",
      "CAST(round(CAST(o_totalprice AS DECIMAL(38,2)), 2) AS VARCHAR)")
@@ -937,12 +960,25 @@ SELECT 'orders' AS "table", 'data_validation' AS validation_type, 'FAIL' AS stat
        (SELECT count(*) FROM counts WHERE sn = 0) AS missing_in_source,
        (SELECT count(*) FROM counts WHERE tn = 0) AS missing_in_target,
        (SELECT count(*) FROM bad) AS value_mismatches,
-       (SELECT count(*) FROM counts WHERE sn > 1 OR tn > 1) AS duplicate_keys
-UNION ALL SELECT 'customer', 'data_validation', 'PASS', count(*), count(*), NULL, 0, 0, 0, 0
-  FROM customer
-UNION ALL SELECT 'part', 'count_validation', 'PASS', count(*), count(*), 0, NULL, NULL, NULL, NULL
-  FROM part
-UNION ALL SELECT 'ghost', 'data_validation', 'ERROR', NULL, NULL, NULL, NULL, NULL, NULL, NULL""")
+       (SELECT count(*) FROM counts WHERE sn > 1 OR tn > 1) AS duplicate_keys,
+       'keyed' AS mode, CAST(6 AS INTEGER) AS compared_columns,
+       'target._FIVETRAN_ACTIVE: no partner in source; target._FIVETRAN_SYNCED: no partner in source; '
+       || 'target.MIGRATED_AT: no partner in source; target.DATA_QUALITY_SCORE: no partner in source'
+         AS uncompared_columns
+UNION ALL SELECT 'customer', 'data_validation', 'PASS', count(*), count(*), NULL, 0, 0, 0, 0,
+       'keyed', 5, '' FROM customer
+UNION ALL SELECT 'part', 'count_validation', 'PASS', count(*), count(*), 0, NULL, NULL, NULL, NULL,
+       'count', NULL, NULL FROM part
+UNION ALL SELECT 'ghost', 'data_validation', 'ERROR', NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+       NULL, NULL, NULL""")
+add("full_run", f"""
+SELECT 'orders' AS "table", 'data_validation' AS validation_type, 'FAIL' AS status,
+       'FAIL' AS original_status, 'keyed' AS mode, count(*) AS source_count FROM orders
+UNION ALL SELECT 'customer', 'data_validation', 'FAIL', 'PASS', 'keyed', count(*) FROM customer
+UNION ALL SELECT 'part', 'count_validation', 'PASS', 'PASS', 'count', count(*) FROM part
+UNION ALL SELECT 'ghost', 'data_validation', 'ERROR', 'ERROR', NULL, NULL
+UNION ALL SELECT lower(r_name), 'table_presence', 'FAIL', 'FAIL', NULL, NULL
+  FROM region WHERE r_regionkey = 2""")
 
 # --- usage -----------------------------------------------------------------------------------------------------------------------
 

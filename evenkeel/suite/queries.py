@@ -128,12 +128,68 @@ def count_summary(spark, d):
 
 @query
 def count_only_check(spark, d):
-    task = runs.TableTask("part", fx.read(spark, d, "part"), fx.read(spark, d, "part"))
+    part = fx.read(spark, d, "part")
+    task = runs.TableTask(
+        "part", part, part.filter("p_partkey % 7 <> 0"), validation_type="count_validation"
+    )
+    return runs.table_result(spark, task).select(
+        "table", "validation_type", "mode", "source_count", "target_count", "status"
+    )
+
+
+@query
+def keyless_validation(spark, d):
+    """Data validation without a key compares whole rows as often as they occur."""
+    task = runs.TableTask(
+        "orders", fx.derive(spark, d, fx.KEYLESS_SOURCE), fx.derive(spark, d, fx.KEYLESS_TARGET)
+    )
+    return runs.table_result(spark, task).select(
+        "table", "mode", "source_count", "target_count", "missing_in_target",
+        "missing_in_source", "status",
+    )
+
+
+@query
+def uncompared_columns(spark, d):
+    """Arrays are compared; a dropped column is named in the result."""
+    source = fx.read(spark, d, "embeddings")
+    target = source.select(
+        "vec_id", F.when(F.col("vec_id") % 10 == 0, F.reverse("embedding"))
+        .otherwise(F.col("embedding")).alias("embedding"),
+    )
+    task = runs.TableTask("embeddings", source, target, ["vec_id"])
     return runs.table_result(spark, task).select(
-        "table", "validation_type", "source_count", "target_count", "status"
+        "table", "mode", "status", "compared_columns", "uncompared_columns", "source_count"
     )
 
 
+@query
+def edge_values(spark, d):
+    """Flags, whole numbers beyond 1e18 and four decimal places across types."""
+    source = fx.derive(spark, d, fx.EDGES_SOURCE).withColumn(
+        "small", F.col("small").cast("decimal(10,4)"))
+    target = fx.derive(spark, d, fx.EDGES_TARGET).withColumn(
+        "small", F.col("small").cast("decimal(10,4)"))
+    pairs = projection.pair_columns(source, target)
+    return reconcile.mismatches_per_column(reconcile.ledger(source, target, pairs, ["id"]))
+
+
+@query
+def missing_rows_mixed_types(spark, d):
+    """Keys of different types meet by value: DECIMAL and DOUBLE against BIGINT."""
+    source = fx.read(spark, d, "orders").select("o_orderkey")
+    kept = source.filter("o_orderkey % 97 <> 0")
+    found = None
+    for kind in ("decimal(12,2)", "double"):
+        target = kept.select(F.col("o_orderkey").cast(kind).alias("o_orderkey"))
+        rows = reconcile.missing_rows(source, target, ["o_orderkey"]).select(
+            F.lit(kind).alias("kind"), F.col("o_orderkey").cast("double").alias("o_orderkey"),
+            "source_rows",
+        )
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
 @query
 def null_pct(spark, d):
     return metrics.null_percent(_orders_target(spark, d))
@@ -921,6 +977,27 @@ def batch_run(spark, d):
     return runs.batch_results(spark, tasks).drop("error")
 
 
+@query
+def full_run(spark, d):
+    """Presence, tasks and promotion in one result: failing, promoted, ERROR and missing tables."""
+    tasks = [
+        runs.TableTask("orders", _orders(spark, d), fx.derive(spark, d, fx.ORDERS_TARGET),
+                       ["o_orderkey"], RENAMED),
+        runs.TableTask("customer", fx.read(spark, d, "customer"),
+                       fx.derive(spark, d, fx.CUSTOMER_TARGET), ["c_custkey"]),
+        runs.TableTask("part", fx.read(spark, d, "part"), fx.read(spark, d, "part"),
+                       validation_type="count_validation"),
+        runs.TableTask("ghost", {"path": f"{d}/no_such_table.parquet"},
+                       {"path": f"{d}/part.parquet"}, ["p_partkey"]),
+    ]
+    found = presence.table_presence(
+        fx.derive(spark, d, fx.RUN_SOURCES), fx.derive(spark, d, fx.RUN_TARGETS))
+    skips = policy.skip_counts(policy.classify_skips(fx.derive(spark, d, fx.RUN_SKIPS)))
+    return runs.full_run(spark, tasks, found, skips).select(
+        "table", "validation_type", "status", "original_status", "mode", "source_count"
+    )
+
+
 # --- usage -------------------------------------------------------------------------------------------------
 
 
