@@ -10,6 +10,7 @@ from evenkeel.llm import (
     subword_toxicity, suffix_levels, token_spans,
 )
 from evenkeel.llm.common import table
+from evenkeel.llm.oracles import ORACLES as ORACLES  # noqa: PLC0414 - registered with the queries
 
 
 def op1_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,5 +75,3 @@ QUERIES = {
     "op9_subword_toxicity": op9_subword_toxicity,
     "op10_licence_paragraphs": op10_licence_paragraphs,
 }
-
-ORACLES: dict[str, str] = {}
