@@ -9,9 +9,6 @@ with very many columns is spread over its chunks.
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evenkeel import fixed_values as fv
@@ -388,59 +385,51 @@ def conflicting_targets(mapping: DataFrame) -> DataFrame:
 # --- table matching -----------------------------------------------------------------------------
 
 
-def block_similarity(
-    first: str, second: str, low: float, matcher: difflib.SequenceMatcher
-) -> float | None:
-    """Matching-block ratio of two names, or NULL below ``low``.
-
-    The two bounds of the ratio are cheap and settle most dissimilar pairs.  The matcher keeps
-    its index of ``second`` between calls.
-    """
-    if matcher.b != second:
-        matcher.set_seq2(second)
-    matcher.set_seq1(first)
-    if matcher.real_quick_ratio() < low or matcher.quick_ratio() < low:
-        return None
-    ratio = matcher.ratio()
-    return ratio if ratio >= low else None
+def _tables_once(frame: DataFrame) -> DataFrame:
+    """One row per schema and upper-case name, with the stored name (the first by code point)."""
+    return frame.groupBy("schema", F.upper("table").alias("u_name")).agg(
+        F.min("table").alias("table")
+    )
 
 
 def similar_tables(
-    source: DataFrame, target: DataFrame, low: float = 0.30, top_n: int = 5,
-    swap: bool = False,
+    source: DataFrame, target: DataFrame, low: float = 0.30, top_n: int = 5
 ) -> DataFrame:
     """Most similar target tables of every source table of the same ``schema``.
 
-    Frames have ``schema, table``.  Names are compared in upper case by the matching-block
-    ratio; ``low`` is the least ratio and ``swap`` compares (target, source), because that
-    ratio depends on the order.
+    Frames have ``schema, table``.  Names are scored as columns are: twice the longest common
+    subsequence of the name keys over both lengths.  ``low`` is the least ratio; names whose
+    lengths alone rule it out are not scored.
     """
+    key = nm.name_key(F.col("table"))
+    entry = F.struct(
+        F.col("table").alias("name"), key.alias("key"), nm.char_codes(key).alias("codes")
+    )
+    asked = source.select(
+        "schema", F.col("table").alias("source_table"), key.alias("source_key")
+    ).distinct().withColumn("bits", nm.name_bits(F.col("source_key")))
+    met = _meet_chunks(asked, _tables_once(target), "schema", entry)
+    mine = F.length("source_key")
 
-    @F.pandas_udf("array<struct<name: string, ratio: double>>")
-    def best(names: pd.Series, chunks: pd.Series) -> pd.Series:
-        matcher = difflib.SequenceMatcher()
-
-        def one(name: str, chunk) -> list[dict]:
-            scored = (
-                (other, block_similarity(*((other, name) if swap else (name, other)), low, matcher))
-                for other in chunk
-            )
-            hits = sorted((p for p in scored if p[1] is not None), key=lambda p: (-p[1], p[0]))
-            return [{"name": o, "ratio": r} for o, r in hits[:top_n]]
-
-        return pd.Series([one(n, c) for n, c in zip(names, chunks)])
+    def able(e: Column) -> Column:
+        theirs = F.length(e["key"])
+        return 2 * F.least(mine, theirs) >= low * (mine + theirs)
 
-    entry = F.upper("table")
-    met = _meet_chunks(
-        source.select("schema", F.col("table").alias("source_table")), target, "schema", entry
+    scored = F.transform(
+        F.filter("entries", able),
+        lambda e: F.struct(
+            (-nm.similarity(F.col("source_key"), e["key"], F.col("bits"), e["codes"]))
+            .alias("minus"),
+            e["name"].alias("name"),
+        ),
     )
-    winners = met.select(
-        "schema", "source_table",
-        F.inline(best(F.upper("source_table"), F.col("entries"))),
+    best = F.slice(F.array_sort(F.filter(scored, lambda x: x["minus"] <= -low)), 1, top_n)
+    winners = met.select("schema", "source_table", F.inline(best)).select(
+        "schema", "source_table", F.col("name").alias("target_table"),
+        (-F.col("minus")).alias("ratio"),
     )
     return top_per_key(
-        winners.withColumnsRenamed({"name": "target_table"}),
-        ["schema", "source_table"], [F.desc("ratio"), F.asc("target_table")], top_n,
+        winners, ["schema", "source_table"], [F.desc("ratio"), F.asc("target_table")], top_n,
         rank="candidate_rank",
     ).withColumn("percent", F.floor(F.col("ratio") * 100).cast("int"))
 
@@ -448,14 +437,15 @@ def similar_tables(
 def match_tables(
     source: DataFrame, target: DataFrame, low: float = 0.30, top_n: int = 5
 ) -> DataFrame:
-    """Exact upper-case partner at 100 %, else the most similar tables of the schema."""
-    named = target.select("schema", F.upper("table").alias("u_name")).distinct()
-    asked = source.withColumn("u_name", F.upper("table"))
-    exact = asked.join(named, ["schema", "u_name"]).select(
-        "schema", F.col("table").alias("source_table"), F.col("u_name").alias("target_table"),
+    """Exact partner (whatever the case) at 100 %, else the most similar tables of the schema."""
+    named = _tables_once(target).withColumnRenamed("table", "stored")
+    asked = source.select("schema", "table").distinct().withColumn("u_name", F.upper("table"))
+    probed = asked.join(named, ["schema", "u_name"], "left")
+    exact = probed.filter(F.col("stored").isNotNull()).select(
+        "schema", F.col("table").alias("source_table"), F.col("stored").alias("target_table"),
         F.lit(1.0).alias("ratio"), F.lit(1).alias("candidate_rank"), F.lit(100).alias("percent"),
     )
-    rest = asked.join(named, ["schema", "u_name"], "left_anti").drop("u_name")
+    rest = probed.filter(F.col("stored").isNull()).select("schema", "table")
     return exact.unionByName(similar_tables(rest, target, low, top_n))
 
 
@@ -463,16 +453,17 @@ def suggest_targets(source: DataFrame, target: DataFrame, confirmed: DataFrame)
     """A target per source table with how it was found.
 
     Confirmed, else exact, else by close names: two or more are ambiguous, one is taken, none
-    is not found.  A schema without any target table proposes the upper-case name.
+    is not found.  Found tables come by their stored names; a schema without any target table
+    proposes the upper-case name.
     """
     latest = confirmed.select("source_table", F.col("target_table").alias("confirmed_target"))
     asked = source.select("schema", F.col("table").alias("source_table")).join(
         latest, ["source_table"], "left"
     )
-    named = target.select("schema", F.upper("table").alias("u_name")).distinct()
+    named = _tables_once(target).withColumnRenamed("table", "exact_target")
     exact = (
         asked.withColumn("u_name", F.upper("source_table"))
-        .join(named.withColumn("exact_target", F.col("u_name")), ["schema", "u_name"], "left")
+        .join(named, ["schema", "u_name"], "left")
         .drop("u_name")
     )
     known = target.select("schema").distinct().withColumn("has_tables", F.lit(True))
@@ -481,7 +472,7 @@ def suggest_targets(source: DataFrame, target: DataFrame, confirmed: DataFrame)
         F.col("confirmed_target").isNull() & F.col("exact_target").isNull()
     ).select("schema", F.col("source_table").alias("table"))
     close = (
-        similar_tables(open_tables, target, low=0.4, top_n=3, swap=True)
+        similar_tables(open_tables, target, low=0.4, top_n=3)
         .groupBy("schema", "source_table")
         .agg(F.count(F.lit(1)).alias("close"), F.max("target_table").alias("close_target"))
     )

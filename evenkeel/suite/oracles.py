@@ -1014,3 +1014,35 @@ add("window_usage", COSTED + rollups("""CAST(sum(pt + ct) AS BIGINT) AS tokens,
  END), 0) AS BIGINT) AS tokens_today, round(coalesce(sum(CASE WHEN day = DATE '2024-01-20'
  THEN cost END), 0.0), 4) AS cost_today""",
     "WHERE day BETWEEN DATE '2024-01-14' AND DATE '2024-01-20'"))
+
+# --- tables by name ------------------------------------------------------------------------------
+
+TABLE_PAIRS = given(src=fx.SOURCE_TABLES, tgt=fx.TARGET_TABLES, conf=fx.CONFIRMED) + f""",
+ named AS (SELECT "schema" AS sc, upper("table") AS u, min("table") AS tn FROM tgt GROUP BY 1, 2),
+ asked AS (SELECT DISTINCT "schema" AS sc, "table" AS tb FROM src),
+ found AS (SELECT a.sc, a.tb, n.tn FROM asked a LEFT JOIN named n ON n.sc = a.sc
+             AND n.u = upper(a.tb)),
+ keyed AS (SELECT f.sc, f.tb, n.tn, {key('f.tb')} AS sk, {key('n.tn')} AS tk
+             FROM found f JOIN named n ON n.sc = f.sc WHERE f.tn IS NULL),
+ scored AS (SELECT *, {ratio('sk', 'tk')} AS score FROM keyed),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY sc, tb ORDER BY score DESC, tn) AS rk
+              FROM scored)"""
+add("match_tables", TABLE_PAIRS + """
+SELECT sc AS "schema", tb AS source_table, tn AS target_table, CAST(1.0 AS DOUBLE) AS ratio,
+       CAST(1 AS INT) AS candidate_rank, CAST(100 AS INT) AS percent FROM found WHERE tn IS NOT NULL
+UNION ALL SELECT sc, tb, tn, score, CAST(rk AS INT), CAST(floor(score * 100) AS INT) FROM ranked
+ WHERE score >= 0.30 AND rk <= 5""")
+add("suggest_targets", TABLE_PAIRS + """,
+ latest AS (SELECT source_table, arg_max(target_table, confirmed_at) AS ct FROM conf GROUP BY 1),
+ close AS (SELECT sc, tb, count(*) AS n, max(tn) AS tn FROM ranked r
+            WHERE score >= 0.4 AND rk <= 3 GROUP BY 1, 2),
+ st AS (SELECT s."schema" AS sc, s."table" AS tb, l.ct, n.tn AS et, c.tn AS lt,
+               CASE WHEN l.ct IS NOT NULL THEN 'confirmed' WHEN n.tn IS NOT NULL THEN 'exact'
+                    WHEN s."schema" NOT IN (SELECT sc FROM named) THEN 'no_data'
+                    WHEN c.n >= 2 THEN 'ambiguous' WHEN c.n = 1 THEN 'fuzzy'
+                    ELSE 'not_found' END AS status
+          FROM src s LEFT JOIN latest l ON l.source_table = s."table"
+          LEFT JOIN named n ON n.sc = s."schema" AND n.u = upper(s."table")
+          LEFT JOIN close c ON c.sc = s."schema" AND c.tb = s."table")
+SELECT sc AS "schema", tb AS source_table, CASE status WHEN 'confirmed' THEN ct WHEN 'exact' THEN et
+       WHEN 'no_data' THEN upper(tb) WHEN 'fuzzy' THEN lt ELSE '' END AS target_table, status FROM st""")

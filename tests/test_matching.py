@@ -1,4 +1,3 @@
-import difflib
 import itertools
 import random
 
@@ -72,52 +71,54 @@ def tables(spark):
     return (fx.derive(spark, SF, fx.SOURCE_TABLES), fx.derive(spark, SF, fx.TARGET_TABLES))
 
 
+def _ratio(a, b):
+    a, b = ("".join(c for c in x.lower() if c.isascii() and c.isalnum()) for x in (a, b))
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b, 1):
+            new.append(row[j - 1] + 1 if x == y else max(row[j], new[j - 1]))
+        row = new
+    return 2 * row[-1] / (len(a) + len(b)) if a and b else 0.0
+
+
 def test_match_tables_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(mt, "CHUNK_NAMES", 3)
     source, target = tables(spark)
+    # the same name three times, once in another case, is one target
+    target = target.unionByName(target.limit(20)).unionByName(
+        target.limit(20).withColumn("table", F.lower("table")))
     got = {}
     for r in mt.match_tables(source, target).collect():
         got.setdefault((r["schema"], r["source_table"]), []).append(
             (r["candidate_rank"], r["target_table"], r["percent"]))
     by_schema = {}
     for r in target.collect():
-        by_schema.setdefault(r["schema"], set()).add(r["table"].upper())
+        stored = by_schema.setdefault(r["schema"], {})
+        up = r["table"].upper()
+        stored[up] = min(stored.get(up, r["table"]), r["table"])
     for r in source.collect():
-        names, up = by_schema.get(r["schema"], set()), r["table"].upper()
+        names, up = by_schema.get(r["schema"], {}), r["table"].upper()
         if up in names:
-            expected = [(1, up, 100)]
+            expected = [(1, names[up], 100)]
         else:
-            scored = sorted((-difflib.SequenceMatcher(None, up, n).ratio(), n) for n in names)
+            scored = sorted((-_ratio(up, n), n) for n in names.values())
             expected = [(i, n, int(-s * 100)) for i, (s, n) in enumerate(
                 [x for x in scored if -x[0] >= 0.30][:5], 1)]
         assert sorted(got.get((r["schema"], r["table"]), [])) == expected
 
 
-def test_suggest_targets_against_brute_force(spark):
-    source, target = tables(spark)
-    confirmed = fx.derive(spark, SF, fx.CONFIRMED)
-    known = {r["source_table"]: r["target_table"] for r in confirmed.collect()}
-    by_schema = {}
-    for r in target.collect():
-        by_schema.setdefault(r["schema"], set()).add(r["table"].upper())
-    rows = {(r["schema"], r["source_table"]): (r["target_table"], r["status"])
-            for r in mt.suggest_targets(source, target, confirmed).collect()}
-    for r in source.collect():
-        names, name = by_schema.get(r["schema"], set()), r["table"]
-        close = difflib.get_close_matches(name.upper(), list(names), n=3, cutoff=0.4)
-        if name in known:
-            expected = (known[name], "confirmed")
-        elif name.upper() in names:
-            expected = (name.upper(), "exact")
-        elif not names:
-            expected = (name.upper(), "no_data")
-        elif len(close) >= 2:
-            expected = ("", "ambiguous")
-        elif close:
-            expected = (close[0], "fuzzy")
-        else:
-            expected = ("", "not_found")
-        assert rows[(r["schema"], name)] == expected
+def test_suggest_targets_uses_stored_names(spark):
+    source = spark.createDataFrame(
+        [("s", "orders"), ("s", "ordres"), ("s", "zzz"), ("s", "seen"), ("none", "t")],
+        "schema string, table string")
+    target = spark.createDataFrame(
+        [("s", "Orders"), ("s", "ORDERS"), ("s", "orders")], "schema string, table string")
+    confirmed = spark.createDataFrame([("seen", "Kept")], "source_table string, target_table string")
+    got = {r["source_table"]: (r["target_table"], r["status"])
+           for r in mt.suggest_targets(source, target, confirmed).collect()}
+    assert got == {"orders": ("ORDERS", "exact"), "ordres": ("ORDERS", "fuzzy"),
+                   "zzz": ("", "not_found"), "seen": ("Kept", "confirmed"), "t": ("T", "no_data")}
 
 
 def test_exact_match_precedence(spark):
