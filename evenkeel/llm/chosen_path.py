@@ -6,15 +6,17 @@ its members go to one child per chosen position and value.  Pairs above the thre
 position with probability of at least the threshold, so after several trees they meet almost
 surely (with 16 root choices at 0.85 a pair is missed with probability 0.15^16).
 
-A node is settled in two steps that never emit all pairs of a group:
-1. every member is compared with the node's hub, the member whose tokens are the most common;
-   linked members become one component;
-2. members of different components are compared exhaustively while the node is small.  Larger
-   nodes branch again.  What is still large at the last level is compared in full all the same,
-   by a join that Spark splits: there is no cap.
-Pairs inside one component need no comparison, because a component is the result.
-
-Each link is confirmed on the full shingle sets: 100 * common >= threshold * all.
+Nodes of at most `SMALL` members are compared exhaustively on their tokens (five standard
+deviations below the expected agreement still count as a candidate); larger ones branch again.
+Nodes whose largest child keeps over half of them are alike throughout; these, and what is still
+large at the last level, meet block by block: no cap.  Two passes keep pairs few:
+1. stars: each node links its members to the member with most candidates, and so on until
+   every member that has a candidate is in a star;
+2. only candidates whose documents the confirmed stars have not joined yet are checked, because
+   a component is the result.  So no pass emits all pairs of a group of copies.
+
+Each link is confirmed on the full shingle sets: 100 * common >= threshold * all.  The sets are made
+from the texts in the groups that proposed the pairs, so a text travels once per group.
 
 Empty texts have empty sets, n_shingles 0, and stay alone.  doc_id is the key: rows that repeat
 one are copies of one document.  A null doc_id takes part with its text but names no component
@@ -36,8 +38,8 @@ from evenkeel.llm.components import components
 TOKENS = 64
 TREES = 8
 BRANCHES = 2
-SMALL_PAIRS = 4096
-LEVELS = 6
+SMALL = 1024
+LEVELS = 5
 WIDTH = 5
 
 
@@ -71,58 +73,97 @@ def _signatures(width: int, tokens: int, seed: int):
                     pa.array(np.array(one, dtype=np.uint64).view(np.int64)),
                     pa.array(np.array(two, dtype=np.uint64).view(np.int64)),
                     pa.array(sigs, pa.list_(pa.int32())),
+                    pa.array([(s & 255).astype(np.uint8).tobytes() for s in sigs], pa.binary()),
                 ],
-                ["doc_id", "n", "h1", "h2", "sig"],
+                ["doc_id", "n", "h1", "h2", "sig", "tokens"],
             )
 
     return run
 
 
-def _sets(width: int):
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Runs of rows with equal first columns, from rows that come sorted by them."""
+    key, rows = None, []
+    for batch in batches:
+        for i in range(0, len(batch), 4096):
+            for row in zip(*(c.to_pylist() for c in batch.slice(i, 4096).columns)):
+                if row[:keys] != key:
+                    if rows:
+                        yield key, rows
+                    key, rows = row[:keys], []
+                rows.append(row[keys:])
+    if rows:
+        yield key, rows
+
+
+def _compare(threshold: int, least: int, crossing: bool):
+    """Candidate pairs of each group: (node, i, j), then rep, n, block, tokens, part."""
+    names = ["node", "i", "j", "a", "b"]
+
+    def hubs(near: np.ndarray) -> Iterator[tuple[int, int]]:
+        # the member with most candidates first; then whoever is left with the most
+        open_ = near.any(axis=1)
+        while open_.any():
+            degree = np.where(open_, near.sum(axis=1), -1)
+            h = int(degree.argmax())
+            yield from ((h, int(x)) for x in np.flatnonzero(near[h]))
+            open_ &= ~near[h]
+            open_[h] = False
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = textkeys.Powers()
-        for batch in batches:
-            at = 0
-            found: list[np.ndarray] = []
-            size = 0
-            for s in textkeys.shingle_sets(batch.column(1), powers, width):
-                found.append(s.view(np.int64))
-                size += len(s)
-                if size > 1 << 18:
-                    yield _set_batch(batch.column(0).slice(at, len(found)), found)
-                    at, found, size = at + len(found), [], 0
-            if found:
-                yield _set_batch(batch.column(0).slice(at, len(found)), found)
+        out: list[tuple] = []
+        for key, rows in _groups(batches, 3):
+            if len(rows) < 2:
+                continue
+            rows.sort()
+            rep, n, block, sig, part = zip(*rows)
+            n, block, part = np.array(n), np.array(block), np.array(part)
+            tokens = np.frombuffer(b"".join(sig), dtype=np.uint8).reshape(len(rows), -1)
+            equal = np.zeros((len(rows), len(rows)), dtype=np.uint8)
+            for t in range(tokens.shape[1]):
+                equal += tokens[:, t][:, None] == tokens[:, t][None, :]
+            small = np.minimum(n[:, None], n[None, :])
+            near = (equal >= least) & (100 * small >= threshold * np.maximum(n[:, None], n[None, :]))
+            np.fill_diagonal(near, False)
+            if key[1] != key[2]:  # two blocks of a large node: only pairs between them
+                near &= block[:, None] != block[None, :]
+            if crossing:
+                near &= part[:, None] != part[None, :]
+                found = zip(*np.nonzero(np.triu(near)))
+            else:
+                found = hubs(near)
+            out.extend((*key, rep[min(x, y)], rep[max(x, y)]) for x, y in found)
+            if len(out) >= 8192:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names)
 
     return run
 
 
-def _set_batch(ids: pa.Array, found: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([ids, pa.array(found, pa.list_(pa.int64()))], ["rep", "set"])
-
-
-def _compatible(n: Column, m: Column, threshold: int) -> Column:
-    return 100 * F.least(n, m) >= threshold * F.greatest(n, m)
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """a, b of the pairs whose full sets are similar enough."""
-    left = sets.select(F.col("rep").alias("a"), F.col("set").alias("sa"))
-    right = sets.select(F.col("rep").alias("b"), F.col("set").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    union = F.size("sa") + F.size("sb") - common
-    return (
-        pairs.join(left, "a").join(right, "b")
-        .filter(100 * common >= threshold * union).select("a", "b")
-    )
+def _confirm(threshold: int, width: int):
+    """Links of each group (key): rep, text, partners; shingle sets are made once per member."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = textkeys.Powers()
+        for _, rows in _groups(batches, 1):
+            rep = [r[0] for r in rows]
+            place = {r: i for i, r in enumerate(rep)}
+            texts = pa.array([r[1] for r in rows], pa.large_string())
+            sets = list(textkeys.shingle_sets(texts, powers, width))
+            links = []
+            for a, _, partners in rows:
+                x = sets[place[a]]
+                for b in partners or ():
+                    y = sets[place[b]]
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * common >= threshold * (len(x) + len(y) - common):
+                        links.append((a, b))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
 
-def _labelled(nodes: DataFrame, parts: DataFrame) -> DataFrame:
-    """Add part: the component that a member belongs to so far."""
-    named = parts.select(F.col("node").alias("rep"), "component")
-    return nodes.join(named, "rep", "left").select(
-        nodes["*"], F.coalesce("component", "rep").alias("part")
-    )
+    return run
 
 
 def _roots(classes: DataFrame, trees: int, branches: int) -> DataFrame:
@@ -130,119 +171,144 @@ def _roots(classes: DataFrame, trees: int, branches: int) -> DataFrame:
     children = F.array(
         *[F.xxhash64(F.lit(t), F.lit(i), F.get("sig", F.lit(i))) for t, i in picks]
     )
-    return classes.select("rep", "n", F.explode(children).alias("node"))
+    return classes.select("rep", F.explode(children).alias("node"))
 
 
 def _branched(nodes: DataFrame, classes: DataFrame, level: int, branches: int) -> DataFrame:
+    """rep, parent, pm (its members), node: the children that each member goes to."""
+
     def child(k: int) -> Column:
-        i = F.pmod(F.xxhash64("node", F.lit(level), F.lit(k)), F.lit(TOKENS)).cast("int")
-        return F.xxhash64("node", F.lit(level), i, F.get("sig", i))
+        i = F.pmod(F.xxhash64("parent", F.lit(level), F.lit(k)), F.lit(TOKENS)).cast("int")
+        return F.xxhash64("parent", F.lit(level), i, F.get("sig", i))
 
-    with_sig = nodes.select("rep", "n", "node").join(classes.select("rep", "sig"), "rep")
-    return with_sig.select(
-        "rep", "n", F.explode(F.array(*[child(k) for k in range(branches)])).alias("node")
-    ).distinct()
+    named = nodes.select("rep", F.col("node").alias("parent"), F.col("m").alias("pm"))
+    with_sig = named.join(classes.select("rep", "sig").hint("merge"), "rep")
+    children = F.explode(F.array_distinct(F.array(*[child(k) for k in range(branches)])))
+    return with_sig.select("rep", "parent", "pm", children.alias("node"))
 
 
-def _alike(a: Column, b: Column, least: int) -> Column:
-    same = F.zip_with(a, b, lambda x, y: (x == y).cast("int"))
-    return F.aggregate(same, F.lit(0), lambda s, x: s + x) >= least
+def _leaves(classes: DataFrame, trees: int, levels: int, small: int) -> DataFrame:
+    """rep, node, m: members of the nodes that are compared in full."""
+    done, nodes = None, _roots(classes, trees, BRANCHES)
+    for level in range(1, levels + 1):
+        counts = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+        sized = stored(nodes.join(counts.hint("merge"), "node").select("rep", "node", "m"), "nodes")
+        ready = sized if level == levels else sized.filter(F.col("m") <= small)
+        done = ready if done is None else done.union(ready)
+        large = sized.filter(F.col("m") > small)
+        if level == levels or large.isEmpty():
+            return done
+        children = stored(_branched(large, classes, level, BRANCHES), "children")
+        # a node that keeps most members together is alike throughout: branching cannot split it
+        dense = stored(
+            children.groupBy("parent", "pm", "node").agg(F.count(F.lit(1)).alias("c"))
+            .groupBy("parent", "pm").agg(F.max("c").alias("top"))
+            .filter(2 * F.col("top") > F.col("pm")).select("parent"),
+            "dense",
+        )
+        alike = large["node"] == dense["parent"]
+        done = done.union(large.join(dense.hint("merge"), alike, "left_semi"))
+        nodes = children.join(dense.hint("merge"), "parent", "left_anti").select("rep", "node")
+
+
+def _candidates(
+    leaves: DataFrame, classes: DataFrame, parts: DataFrame | None, threshold: int, least: int,
+    small: int,
+) -> DataFrame:
+    """node, i, j, a, b.  Nodes above `small` members meet block by block."""
+    members = leaves.join(classes.select("rep", "n", "tokens").hint("merge"), "rep")
+    if parts is None:
+        members = members.withColumn("part", F.lit(0).cast("long"))
+    else:
+        named = parts.select(F.col("node").alias("rep"), "component").hint("merge")
+        members = members.join(named, "rep", "left").withColumn("part", F.coalesce("component", "rep"))
+        # a node whose members are one component already has nothing left to compare
+        mixed = members.groupBy("node").agg(
+            F.min("part").alias("lowest"), F.max("part").alias("highest")
+        ).filter("lowest <> highest").select("node")
+        members = members.join(mixed.hint("merge"), "node", "left_semi")
+    blocks = F.ceil(F.col("m") / small).cast("long")
+    block = F.pmod(F.xxhash64("rep"), blocks)
+    met = F.transform(
+        F.sequence(F.lit(0).cast("long"), blocks - 1),
+        lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")),
+    )
+    keyed = members.withColumn("block", block).select(
+        "node", "rep", "n", "block", "tokens", "part", F.inline(met)
+    ).select("node", "i", "j", "rep", "n", "block", "tokens", "part")
+    return (
+        keyed.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
+        .mapInArrow(
+            _compare(threshold, least, parts is not None), "node long, i long, j long, a long, b long"
+        )
+    )
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """a, b of the pairs whose full shingle sets are similar enough.  A pair is checked in one of the
+    groups that proposed it; a group's members come with their texts once."""
+    once = stored(
+        pairs.groupBy("a", "b").agg(F.min(F.xxhash64("node", "i", "j")).alias("key")), "pairs"
+    )
+    members = (
+        once.select("key", F.col("a").alias("rep"), F.col("b").alias("partner"))
+        .union(once.select("key", F.col("b").alias("rep"), F.lit(None).cast("long")))
+        .groupBy("key", "rep").agg(F.collect_list("partner").alias("partners"))
+    )
+    return (
+        members.join(texts.hint("merge"), "rep").select("key", "rep", "text", "partners")
+        .repartition("key").sortWithinPartitions("key")
+        .mapInArrow(_confirm(threshold, WIDTH), "a long, b long")
+    )
 
 
 def near_duplicates(
     documents: DataFrame, threshold: int = 85, trees: int = TREES, levels: int = LEVELS,
-    small_pairs: int = SMALL_PAIRS, seed: int = 5,
+    small: int = SMALL, seed: int = 5,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per document."""
-    least = max(0, int(TOKENS * threshold / 100 - 5 * (TOKENS * 0.16) ** 0.5))
+    least = max(0, int(TOKENS * threshold / 100 - 5 * (TOKENS * 0.1275) ** 0.5))
     narrow = documents.select("doc_id", "text")
     signed = stored(
         narrow.mapInArrow(
             _signatures(WIDTH, TOKENS, seed),
-            "doc_id long, n long, h1 long, h2 long, sig array<int>",
+            "doc_id long, n long, h1 long, h2 long, sig array<int>, tokens binary",
         ),
         "signatures",
     )
     classes = stored(
         signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n")
-        .agg(F.min("doc_id").alias("rep"), F.any_value("sig").alias("sig")),
+        .agg(F.min_by(F.struct("doc_id", "sig", "tokens"), "doc_id").alias("first"))
+        .select("h1", "h2", "n", F.col("first.doc_id").alias("rep"), "first.sig", "first.tokens"),
         "classes",
     )
-    nodes = _roots(classes, trees, BRANCHES)
-    links = sets = parts = None
-    for level in range(1, levels + 1):
-        counts = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-        nodes = stored(nodes.join(counts, "node"), "nodes")
-        if level > 1 and nodes.isEmpty():
-            break
-        if sets is None:
-            wanted = nodes.select("rep").distinct()
-            sets = stored(
-                narrow.join(wanted, narrow["doc_id"] == wanted["rep"], "left_semi")
-                .mapInArrow(_sets(WIDTH), "rep long, set array<long>"),
-                "sets",
-            )
-        fame = nodes.groupBy("rep").agg(F.sum("m").alias("fame"))
-        hubs = nodes.join(fame, "rep").groupBy("node").agg(
-            F.max(F.struct("fame", (-F.col("rep")).alias("rep"), "n")).alias("hub")
-        ).select("node", (-F.col("hub.rep")).alias("hub"), F.col("hub.n").alias("hub_n"))
-        star = (
-            nodes.join(hubs, "node")
-            .filter((F.col("rep") != F.col("hub")) & _compatible(F.col("n"), F.col("hub_n"), threshold))
-            .select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-        )
-        found = stored(_confirmed(star, sets, threshold), "star")
-        links = found if links is None else links.union(found)
-        parts = components(links)
-
-        nodes = stored(_labelled(nodes.drop("m"), parts), "labelled")
-        shape = (
-            nodes.groupBy("node", "part").agg(F.count(F.lit(1)).alias("c"))
-            .groupBy("node").agg(
-                ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs")
-            ).filter("pairs > 0")
-        )
-        last = level == levels
-        split = nodes.join(shape, "node")
-        small = split if last else split.filter(F.col("pairs") <= small_pairs)
-        found = stored(
-            _confirmed(_cross_pairs(small, classes, threshold, least), sets, threshold), "cross"
-        )
-        links = links.union(found)
-        parts = components(links)
-        if last:
-            break
-        large = split.filter(F.col("pairs") > small_pairs).select("rep", "n", "node")
-        nodes = _branched(large, classes, level, BRANCHES)
-    labels = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "h1", "h2", F.col("n").alias("n_"), F.coalesce("component", "rep").alias("component_id")
+    leaves = _leaves(classes, trees, levels, small)
+    star = stored(_candidates(leaves, classes, None, threshold, least, small), "star")
+    wanted = star.select(F.col("a").alias("w")).union(star.select("b")).distinct()
+    # every member with a candidate is in a star; texts of equal doc_ids: the first one
+    texts = stored(
+        narrow.join(wanted.hint("merge"), narrow["doc_id"] == wanted["w"], "left_semi")
+        .groupBy(F.col("doc_id").alias("rep")).agg(F.min("text").alias("text")),
+        "texts",
     )
-    same = (
-        (signed["h1"] == labels["h1"]) & (signed["h2"] == labels["h2"]) & (signed["n"] == labels["n_"])
+    links = stored(_confirmed(star, texts, threshold), "links")
+    parts = components(links)
+    cross = _candidates(leaves, classes, parts, threshold, least, small)
+    more = stored(_confirmed(cross, texts, threshold), "links")
+    if not more.isEmpty():
+        parts = components(links.union(more))
+    labels = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(
+        F.col("h1").alias("l1"), F.col("h2").alias("l2"), F.col("n").alias("ln"),
+        F.coalesce("component", "rep").alias("label"),
     )
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return signed.drop("sig").join(labels, same, "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
+    rows = signed.select("doc_id", "n", "h1", "h2")
+    same = (rows["h1"] == labels["l1"]) & (rows["h2"] == labels["l2"]) & (rows["n"] == labels["ln"])
+    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("label"))
+    return rows.join(labels, same, "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _cross_pairs(nodes: DataFrame, classes: DataFrame, threshold: int, least: int) -> DataFrame:
-    """Pairs of members of one node that lie in different components and whose sizes and tokens do
-    not rule the link out (five standard deviations below the expected number of equal tokens)."""
-    signed = nodes.select("node", "rep", "n", "part").join(classes.select("rep", "sig"), "rep")
-    x, y = signed.alias("x"), signed.alias("y")
-    apart = (
-        (F.col("x.node") == F.col("y.node"))
-        & (F.col("x.rep") < F.col("y.rep"))
-        & (F.col("x.part") != F.col("y.part"))
-        & _compatible(F.col("x.n"), F.col("y.n"), threshold)
-    )
-    return (
-        x.join(y, apart).filter(_alike(F.col("x.sig"), F.col("y.sig"), least))
-        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    )
-
-
 def keep_documents(documents: DataFrame, threshold: int = 85) -> DataFrame:
     """One document of each component, with its own columns; rows that repeat a doc_id go with the
     first of them in the order of their text."""
