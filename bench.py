@@ -26,7 +26,8 @@ HEADLINE = [
     "missing_rows_null_aware", "orphan_rows", "key_difference", "incremental_window",
     "normalised_projection", "normalise_json", "fuzzy_top_n", "match_decisions",
     "schema_presence", "exclusions", "table_presence", "match_tables", "learned_top_k",
-    "column_coverage", "usage_cost", "batch_run",
+    "column_coverage", "usage_cost", "batch_run", "keyless_validation", "full_run",
+    "suggest_targets",
 ]
 
 
