@@ -226,7 +226,7 @@ def _as_number(c: Column, dtype: T.DataType) -> Column:
         return F.unix_micros(c).cast(METRIC_TYPE) / F.lit(1000000)
     if isinstance(dtype, T.DateType):
         return F.unix_date(c).cast(METRIC_TYPE) * F.lit(86400)
-    return c.cast(METRIC_TYPE)
+    return c.try_cast(METRIC_TYPE)  # NULL for NaN, infinity and beyond its range
 
 
 def column_metrics(
@@ -235,31 +235,48 @@ def column_metrics(
     extremes: Sequence[str] = (),
     sums: Sequence[str] = (),
     renamed: dict[str, str] | None = None,
+    nans: Sequence[str] = (),
 ) -> DataFrame:
-    """Row count, NULL share, MIN, MAX and SUM of the named columns, all in one scan.
+    """Row count, NULL share, MIN, MAX, SUM and NaN count of the named columns, all in one scan.
 
-    Long form ``column_name, metric, value``.  Times are epoch seconds.  ``renamed`` maps
-    the names of this side to the names used in the result.
+    Long form ``column_name, metric, value, double_value``.  Times are epoch seconds.  A result that
+    ``value`` cannot hold (NaN, infinity, beyond its range) is NULL there and stands in
+    ``double_value``.  ``renamed`` maps the names of this side to the names used in the result.
     """
     shown = renamed or {}
+    none = F.lit(None).cast("double")
     types = {f.name: f.dataType for f in frame.schema.fields}
-    wanted: list[tuple[str, str, Column]] = [
-        ("*", "row_count", F.count(F.lit(1)).cast(METRIC_TYPE))
+    wanted: list[tuple[str, str, Column, Column]] = [
+        ("*", "row_count", F.count(F.lit(1)).cast(METRIC_TYPE), none)
     ]
-    wanted += [(c, "null_pct", _percent_null(quoted(c)).cast(METRIC_TYPE)) for c in nulls]
+    wanted += [(c, "null_pct", _percent_null(quoted(c)).cast(METRIC_TYPE), none) for c in nulls]
+
+    def native(c: str, found: Column) -> Column:
+        return found.cast("double") if isinstance(types[c], T.NumericType) else none
+
     for c in extremes:
-        wanted.append((c, "min", _as_number(F.min(quoted(c)), types[c])))
-        wanted.append((c, "max", _as_number(F.max(quoted(c)), types[c])))
+        for name, found in (("min", F.min(quoted(c))), ("max", F.max(quoted(c)))):
+            wanted.append((c, name, _as_number(found, types[c]), native(c, found)))
     for c in dict.fromkeys(sums):
-        wanted.append((c, "sum", F.sum(quoted(c).cast("decimal(38,2)")).cast(METRIC_TYPE)))
-    wide = frame.agg(*[v.alias(f"__{i}") for i, (_, _, v) in enumerate(wanted)])
+        fixed = quoted(c).try_cast("decimal(38,2)")
+        lost = F.count_if(quoted(c).isNotNull() & fixed.isNull()) > 0
+        exact = F.when(~lost, F.sum(fixed).try_cast(METRIC_TYPE))
+        wanted.append((c, "sum", exact, native(c, F.sum(quoted(c).try_cast("double")))))
+    wanted += [
+        (c, "nan_count", F.count_if(F.isnan(quoted(c))).cast(METRIC_TYPE), none) for c in nans
+    ]
+    wide = frame.agg(
+        *[v.alias(f"__{i}") for i, (_, _, v, _) in enumerate(wanted)],
+        *[d.alias(f"__d{i}") for i, (_, _, _, d) in enumerate(wanted)],
+    )
     rows = [
         F.struct(
             F.lit(shown.get(c, c)).alias("column_name"),
             F.lit(m).alias("metric"),
             F.col(f"__{i}").cast(METRIC_TYPE).alias("value"),
+            F.when(F.col(f"__{i}").isNull(), F.col(f"__d{i}")).alias("double_value"),
         )
-        for i, (c, m, _) in enumerate(wanted)
+        for i, (c, m, _, _) in enumerate(wanted)
     ]
     return wide.select(F.inline(F.array(*rows)))
 
@@ -270,6 +287,7 @@ def distinct_metrics(frame: DataFrame, columns: Sequence[str], renamed=None) ->
         "column_name",
         F.lit("distinct_count").alias("metric"),
         F.col("distinct_count").cast(METRIC_TYPE).alias("value"),
+        F.lit(None).cast("double").alias("double_value"),
     )
     for old, new in (renamed or {}).items():
         out = out.withColumn(
@@ -280,19 +298,23 @@ def distinct_metrics(frame: DataFrame, columns: Sequence[str], renamed=None) ->
 
 
 def compare_metrics(source: DataFrame, target: DataFrame) -> DataFrame:
-    """Side-by-side metrics with delta and match.  Input is a few rows per column."""
+    """Side-by-side metrics with delta and match.  Input is a few rows per column.
+
+    What no decimal can hold is compared as a double; a NaN matches a NaN, never a NULL.
+    """
     both = source.withColumn("side", F.lit("s")).unionByName(
         target.withColumn("side", F.lit("t"))
     )
 
-    def of(side: str) -> Column:
-        return F.max(F.when(F.col("side") == side, F.col("value")))
+    def of(side: str, name: str = "value") -> Column:
+        return F.max(F.when(F.col("side") == side, F.col(name)))
 
+    s_double, t_double = of("s", "double_value"), of("t", "double_value")
     return both.groupBy("column_name", "metric").agg(
-        of("s").cast("double").alias("source_value"),
-        of("t").cast("double").alias("target_value"),
+        F.coalesce(of("s").cast("double"), s_double).alias("source_value"),
+        F.coalesce(of("t").cast("double"), t_double).alias("target_value"),
         (of("t") - of("s")).cast("double").alias("delta"),
-        of("s").eqNullSafe(of("t")).alias("is_match"),
+        (of("s").eqNullSafe(of("t")) & s_double.eqNullSafe(t_double)).alias("is_match"),
     )
 
 

@@ -1046,3 +1046,9 @@ add("suggest_targets", TABLE_PAIRS + """,
           LEFT JOIN close c ON c.sc = s."schema" AND c.tb = s."table")
 SELECT sc AS "schema", tb AS source_table, CASE status WHEN 'confirmed' THEN ct WHEN 'exact' THEN et
        WHEN 'no_data' THEN upper(tb) WHEN 'fuzzy' THEN lt ELSE '' END AS target_table, status FROM st""")
+add("metric_edges", """
+WITH m(column_name, metric) AS (VALUES ('*', 'row_count'), ('a', 'min'), ('a', 'max'), ('b', 'min'),
+  ('b', 'max'), ('c', 'min'), ('c', 'max'), ('a', 'sum'), ('c', 'sum'), ('a', 'nan_count'),
+  ('b', 'nan_count'))
+SELECT column_name, metric, NOT (column_name = 'a' AND metric IN ('max', 'sum', 'nan_count')) OR
+       (SELECT count(*) FROM orders WHERE o_orderkey % 50 = 0) = 0 AS is_match FROM m""")

@@ -219,8 +219,8 @@ def distinct_count_approx(spark, d):
 
 
 def _min_max_sum(frame, extremes, sums):
-    return metrics.column_metrics(frame, extremes=extremes, sums=sums).withColumn(
-        "value", F.col("value").cast("double")
+    return metrics.column_metrics(frame, extremes=extremes, sums=sums).select(
+        "column_name", "metric", F.col("value").cast("double").alias("value")
     )
 
 
@@ -256,6 +256,24 @@ def metric_compare(spark, d):
     return metrics.compare_metrics(*sides)
 
 
+@query
+def metric_edges(spark, d):
+    """NaN, infinity and values beyond any decimal are reported, not lost."""
+    orders = _orders(spark, d).select(
+        F.when(F.col("o_orderkey") % 50 == 0, F.lit(float("nan")))
+        .otherwise(F.col("o_orderkey").cast("double")).alias("a"),
+        F.when(F.col("o_orderkey") % 50 == 0, F.lit(1e30))
+        .otherwise(F.col("o_orderkey").cast("double")).alias("b"),
+        F.col("o_orderkey").cast("double").alias("c"),
+    )
+    source = metrics.column_metrics(
+        orders, extremes=["a", "b", "c"], sums=["a", "c"], nans=["a", "b"])
+    target = metrics.column_metrics(
+        orders.withColumn("a", F.expr("nullif(a, double('nan'))")),
+        extremes=["a", "b", "c"], sums=["a", "c"], nans=["a", "b"])
+    return metrics.compare_metrics(source, target).select("column_name", "metric", "is_match")
+
+
 @query
 def value_distribution(spark, d):
     return metrics.value_distribution(
