@@ -1052,3 +1052,39 @@ WITH m(column_name, metric) AS (VALUES ('*', 'row_count'), ('a', 'min'), ('a', '
   ('b', 'nan_count'))
 SELECT column_name, metric, NOT (column_name = 'a' AND metric IN ('max', 'sum', 'nan_count')) OR
        (SELECT count(*) FROM orders WHERE o_orderkey % 50 = 0) = 0 AS is_match FROM m""")
+
+# --- checks that run and a diff that the plan asks for ---------------------------------------------
+
+add("mapped_diff_orders", LEDGER + " UNION ALL ".join(
+    f"SELECT '{v}' AS column_name, count(*) FILTER (s_{v} <> t_{v}) AS mismatches FROM common"
+    for v in VALUES))
+CHECKED = {
+    "lineitem": (
+        ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+         "l_discount", "l_tax"],
+        ["l_returnflag", "l_linestatus", "l_shipdate"], ["l_quantity", "l_discount", "l_tax"],
+    ),
+    "orders": (
+        ["o_orderkey", "o_custkey", "o_totalprice"],
+        ["o_orderstatus", "o_orderdate", "o_orderpriority"], [],
+    ),
+}
+
+
+def checked(table: str, numbers: list[str], others: list[str], sums: list[str]) -> list[str]:
+    def row(check: str, column: str, detail: str, value: str) -> str:
+        return (f"SELECT '{table}' AS \"table\", '{check}' AS \"check\", '{column}' AS column_name, "
+                f"CAST({detail} AS VARCHAR) AS detail, round(CAST({value} AS DOUBLE), 2) AS value "
+                f"FROM {table}")
+
+    out = [row("row_count", "*", "NULL", "count(*)")]
+    for c in numbers + others:
+        out.append(row("null_pct", c, "NULL", f"100.0 * (count(*) - count({c})) / count(*)"))
+        out.append(row("distinct_count", c, "NULL", f"count(DISTINCT {c})"))
+    for c in numbers:
+        out += [row("min_max", c, f"'{m}'", f"{m}({c})") for m in ("min", "max")]
+    return out + [row("sum", c, "NULL", f"sum(CAST({c} AS DECIMAL(38,2)))") for c in sums]
+
+
+add("profile_checks", " UNION ALL ".join(
+    q for t, columns in CHECKED.items() for q in checked(t, *columns)))

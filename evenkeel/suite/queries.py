@@ -13,7 +13,7 @@ from evenkeel.operators import (
     classify, coverage, matching, metrics, policy, presence, projection, reconcile, usage,
     windows,
 )
-from evenkeel.plans import mapping as plan, runs
+from evenkeel.plans import checks, mapping as plan, runs
 from evenkeel.plans.rules import RuleBook
 from evenkeel.sources import catalog as cat, sinks
 from evenkeel.suite import fixtures as fx
@@ -995,6 +995,37 @@ def batch_run(spark, d):
     return runs.batch_results(spark, tasks).drop("error")
 
 
+@query
+def profile_checks(spark, d):
+    """Catalog, classes, selected checks and their results for lineitem and orders."""
+    found = None
+    for table in ("lineitem", "orders"):
+        frame = fx.read(spark, d, table)
+        selected = classify.select_checks(
+            classify.classify(cat.column_catalog(spark, {table: frame}, "source")))
+        rows = checks.run_checks(frame, selected, table)
+        found = rows if found is None else found.unionByName(rows)
+    return found.withColumn("value", F.round("value", 2))
+
+
+@query
+def mapped_diff_orders(spark, d):
+    """Catalogs, match decisions, mapping plan and the diff that the plan asks for."""
+    source, target = _orders(spark, d), _orders_target(spark, d)
+    catalogs = [
+        cat.column_catalog(spark, {"orders": frame}, side, {"orders": keys})
+        for frame, side, keys in ((source, "source", ORDER_KEY), (target, "target", []))
+    ]
+    wish = spark.createDataFrame(
+        [("orders", s, t) for s, t in RENAMED.items()],
+        "table string, source_column string, target_column string")
+    decisions = matching.match_columns(*catalogs, wish)
+    mapping = plan.build_mapping(
+        decisions, source_keys=catalogs[0].filter("is_key").select("table", "name", "key_ordinal"))
+    pairs, keys = checks.planned_pairs(mapping, "orders")
+    return reconcile.mismatches_per_column(reconcile.ledger(source, target, pairs, keys))
+
+
 @query
 def full_run(spark, d):
     """Presence, tasks and promotion in one result: failing, promoted, ERROR and missing tables."""
