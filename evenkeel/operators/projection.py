@@ -92,7 +92,7 @@ def pair_columns(
 ) -> list[ColumnPair]:
     """Pair the columns of two tables by configured name, name, then name key.
 
-    The rule follows the wider of the two Spark types unless ``rules`` names one; decimals are
+    The rule follows the wider of the two Spark types unless ``rules`` names one; two decimals are
     compared to the larger declared scale (two places at least) unless ``decimal_places`` says
     otherwise for a source column.  :func:`uncompared_columns` lists what found no partner.
     """
@@ -147,10 +147,10 @@ def _key(name: str) -> str:
 def common_rule(a: T.DataType, b: T.DataType) -> str:
     """Rule for two native types; types that render differently meet in the richer rule."""
     first, second = native_rule(a), native_rule(b)
+    # a float has no declared scale
+    exact = all(isinstance(t, (T.DecimalType, T.IntegralType)) for t in (a, b))
     scale = max(t.scale if isinstance(t, T.DecimalType) else 0 for t in (a, b))
-    if "numeric" in (first, second) and scale > fv.DECIMAL_PLACES and "boolean" not in (
-        first, second
-    ):
+    if exact and scale > fv.DECIMAL_PLACES:
         return f"numeric:{scale}"
     if first == second:
         return first

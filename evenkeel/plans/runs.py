@@ -168,15 +168,16 @@ def full_run(
     tasks: Iterable[TableTask],
     presence: DataFrame,
     skips: DataFrame | None = None,
+    at_once: int = 4,
 ) -> DataFrame:
-    """One run from end to end: results of the tasks, missing tables as FAIL rows under them, and
-    promotion by unjustified skips.
+    """One run from end to end: the tasks are run, missing tables stand as FAIL rows under their
+    results, and unjustified skips promote a PASS.
 
     ``presence``: :func:`evenkeel.operators.presence.table_presence`; ``skips``: output of
     ``policy.skip_counts``.  :func:`status_counts`, :func:`skip_report` and :func:`summary` take the
     result.
     """
-    results = batch_results(spark, tasks).unionByName(presence_failures(presence))
+    results = run_batch(spark, tasks, at_once).unionByName(presence_failures(presence))
     return results if skips is None else promote(results, skips)
 
 

@@ -15,7 +15,7 @@ def one(spark, expr, ddl_value="1 AS x"):
 
 @pytest.mark.parametrize("value,expected", [
     ("true", "1"), ("false", "0"), ("CAST(NULL AS BOOLEAN)", None), ("1", "1"), ("0", "0"),
-    ("2", None), ("'True '", "1"),
+    ("2", "2"), ("'True '", "1"),
 ])
 def test_boolean(spark, value, expected):
     assert one(spark, nz.boolean(F.col("x")), f"{value} AS x") == expected

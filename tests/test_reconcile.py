@@ -146,7 +146,8 @@ def test_pairing(spark):
     b = spark.sql("SELECT 1L AS CUSTOMER_KEY, 'x' AS FIRSTNAME, array(1) AS TAGS")
     pairs = pj.pair_columns(a, b, {"CUSTID": "customer_key"})
     assert [(p.source, p.target) for p in pairs] == [
-        ("custId", "CUSTOMER_KEY"), ("First_Name", "FIRSTNAME")]
+        ("custId", "CUSTOMER_KEY"), ("First_Name", "FIRSTNAME"), ("tags", "TAGS")]
+    assert pj.uncompared_columns(a, b, pairs) == [("source", "gone", "no partner in target")]
 
 
 def test_find_column_and_headers(spark):
