@@ -9,11 +9,12 @@ surely (with 16 root choices at 0.85 a pair is missed with probability 0.15^16).
 Nodes of at most `SMALL` members are compared exhaustively on their tokens (five standard
 deviations below the expected agreement still count as a candidate); larger ones branch again.
 Nodes whose largest child keeps over half of them are alike throughout; these, and what is still
-large at the last level, meet block by block: no cap.  Two passes keep pairs few:
-1. stars: each node links its members to the member with most candidates, and so on until
-   every member that has a candidate is in a star;
-2. only candidates whose documents the confirmed stars have not joined yet are checked, because
-   a component is the result.  So no pass emits all pairs of a group of copies.
+large at the last level, meet block by block: no cap.  Nodes propose only pairs that span
+their candidates, the most central members first, so no pass emits all pairs of a group:
+1. the spanning pairs are confirmed; what they link is a component;
+2. candidates that hang together over all trees are a cluster.  A cluster that is several components
+   is compared in full, block by block, and only the links leave the task.
+Pairs inside one component need no comparison, because a component is the result.
 
 Each link is confirmed on the full shingle sets: 100 * common >= threshold * all.  The sets are made
 from the texts in the groups that proposed the pairs, so a text travels once per group.
@@ -96,43 +97,52 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
         yield key, rows
 
 
-def _compare(threshold: int, least: int, crossing: bool):
-    """Candidate pairs of each group: (node, i, j), then rep, n, block, tokens, part."""
+def _near(n: np.ndarray, sig: list[bytes], threshold: int, least: int) -> np.ndarray:
+    """Which members' tokens and sizes do not rule a link out."""
+    tokens = np.frombuffer(b"".join(sig), dtype=np.uint8).reshape(len(n), -1)
+    equal = np.zeros((len(n), len(n)), dtype=np.uint8)
+    for t in range(tokens.shape[1]):
+        equal += tokens[:, t][:, None] == tokens[:, t][None, :]
+    near = (equal >= least) & (
+        100 * np.minimum(n[:, None], n[None, :]) >= threshold * np.maximum(n[:, None], n[None, :])
+    )
+    np.fill_diagonal(near, False)
+    return near
+
+
+def _forest(near: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pairs that span the candidate graph, most central members first: fewer than members."""
+    degree = near.sum(axis=1)
+    left = degree > 0
+    while left.any():
+        hub = int(np.where(left, degree, -1).argmax())
+        left[hub] = False
+        reached = [hub]
+        while reached:
+            reached.sort(key=lambda x: degree[x])
+            x = reached.pop()
+            for y in np.flatnonzero(near[x] & left).tolist():
+                yield x, y
+                left[y] = False
+                reached.append(y)
+
+
+def _propose(threshold: int, least: int):
+    """Candidate pairs of each group: (node, i, j), then rep, n, block, tokens."""
     names = ["node", "i", "j", "a", "b"]
 
-    def hubs(near: np.ndarray) -> Iterator[tuple[int, int]]:
-        # the member with most candidates first; then whoever is left with the most
-        open_ = near.any(axis=1)
-        while open_.any():
-            degree = np.where(open_, near.sum(axis=1), -1)
-            h = int(degree.argmax())
-            yield from ((h, int(x)) for x in np.flatnonzero(near[h]))
-            open_ &= ~near[h]
-            open_[h] = False
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for key, rows in _groups(batches, 3):
             if len(rows) < 2:
                 continue
             rows.sort()
-            rep, n, block, sig, part = zip(*rows)
-            n, block, part = np.array(n), np.array(block), np.array(part)
-            tokens = np.frombuffer(b"".join(sig), dtype=np.uint8).reshape(len(rows), -1)
-            equal = np.zeros((len(rows), len(rows)), dtype=np.uint8)
-            for t in range(tokens.shape[1]):
-                equal += tokens[:, t][:, None] == tokens[:, t][None, :]
-            small = np.minimum(n[:, None], n[None, :])
-            near = (equal >= least) & (100 * small >= threshold * np.maximum(n[:, None], n[None, :]))
-            np.fill_diagonal(near, False)
+            rep, n, block, sig = zip(*rows)
+            block = np.array(block)
+            near = _near(np.array(n), sig, threshold, least)
             if key[1] != key[2]:  # two blocks of a large node: only pairs between them
                 near &= block[:, None] != block[None, :]
-            if crossing:
-                near &= part[:, None] != part[None, :]
-                found = zip(*np.nonzero(np.triu(near)))
-            else:
-                found = hubs(near)
-            out.extend((*key, rep[min(x, y)], rep[max(x, y)]) for x, y in found)
+            out.extend((*key, rep[min(x, y)], rep[max(x, y)]) for x, y in _forest(near))
             if len(out) >= 8192:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names)
                 out = []
@@ -142,26 +152,66 @@ def _compare(threshold: int, least: int, crossing: bool):
     return run
 
 
+def _linked(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= threshold * (len(x) + len(y) - common)
+
+
+def _links(found: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
+
+
 def _confirm(threshold: int, width: int):
     """Links of each group (key): rep, text, partners; shingle sets are made once per member."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = textkeys.Powers()
         for _, rows in _groups(batches, 1):
-            rep = [r[0] for r in rows]
-            place = {r: i for i, r in enumerate(rep)}
             texts = pa.array([r[1] for r in rows], pa.large_string())
-            sets = list(textkeys.shingle_sets(texts, powers, width))
-            links = []
-            for a, _, partners in rows:
-                x = sets[place[a]]
-                for b in partners or ():
-                    y = sets[place[b]]
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * common >= threshold * (len(x) + len(y) - common):
-                        links.append((a, b))
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
+            sets = dict(zip((r[0] for r in rows), textkeys.shingle_sets(texts, powers, width)))
+            found = [
+                (a, b) for a, _, partners in rows for b in partners or ()
+                if _linked(sets[a], sets[b], threshold)
+            ]
+            if found:
+                yield _links(found)
+
+    return run
+
+
+def _settle(threshold: int, least: int, width: int):
+    """Links between different components of each cluster: (cluster, i, j), then rep, n, block,
+    tokens, part, text.  Only links leave the task, not candidates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = textkeys.Powers()
+        for key, rows in _groups(batches, 3):
+            if len(rows) < 2:
+                continue
+            rows.sort(key=lambda r: r[0])
+            rep, n, block, sig, part, texts = zip(*rows)
+            block, part = np.array(block), np.array(part)
+            near = _near(np.array(n), sig, threshold, least) & (part[:, None] != part[None, :])
+            if key[1] != key[2]:
+                near &= block[:, None] != block[None, :]
+            if not near.any():
+                continue
+            sets = list(textkeys.shingle_sets(pa.array(texts, pa.large_string()), powers, width))
+            parts = {p: p for p in part.tolist()}  # components of the cluster that met just now
+
+            def root(p: int) -> int:
+                while parts[p] != p:
+                    p = parts[p]
+                return p
+
+            found = []
+            for x, y in zip(*np.nonzero(np.triu(near))):
+                p, q = root(int(part[x])), root(int(part[y]))
+                if p != q and _linked(sets[x], sets[y], threshold):
+                    found.append((rep[x], rep[y]))
+                    parts[max(p, q)] = min(p, q)
+            if found:
+                yield _links(found)
 
     return run
 
@@ -211,36 +261,53 @@ def _leaves(classes: DataFrame, trees: int, levels: int, small: int) -> DataFram
         nodes = children.join(dense.hint("merge"), "parent", "left_anti").select("rep", "node")
 
 
-def _candidates(
-    leaves: DataFrame, classes: DataFrame, parts: DataFrame | None, threshold: int, least: int,
-    small: int,
-) -> DataFrame:
-    """node, i, j, a, b.  Nodes above `small` members meet block by block."""
-    members = leaves.join(classes.select("rep", "n", "tokens").hint("merge"), "rep")
-    if parts is None:
-        members = members.withColumn("part", F.lit(0).cast("long"))
-    else:
-        named = parts.select(F.col("node").alias("rep"), "component").hint("merge")
-        members = members.join(named, "rep", "left").withColumn("part", F.coalesce("component", "rep"))
-        # a node whose members are one component already has nothing left to compare
-        mixed = members.groupBy("node").agg(
-            F.min("part").alias("lowest"), F.max("part").alias("highest")
-        ).filter("lowest <> highest").select("node")
-        members = members.join(mixed.hint("merge"), "node", "left_semi")
-    blocks = F.ceil(F.col("m") / small).cast("long")
-    block = F.pmod(F.xxhash64("rep"), blocks)
+def _blocked(members: DataFrame, key: str, m: str, small: int, columns: list[str]) -> DataFrame:
+    """Members once per pair of blocks of their group, sorted by (key, i, j) within partitions."""
+    blocks = F.ceil(F.col(m) / small).cast("long")
     met = F.transform(
-        F.sequence(F.lit(0).cast("long"), blocks - 1),
+        F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
         lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")),
     )
-    keyed = members.withColumn("block", block).select(
-        "node", "rep", "n", "block", "tokens", "part", F.inline(met)
-    ).select("node", "i", "j", "rep", "n", "block", "tokens", "part")
+    placed = members.withColumn("blocks", blocks).withColumn(
+        "block", F.pmod(F.xxhash64("rep"), F.col("blocks"))
+    )
     return (
-        keyed.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
-        .mapInArrow(
-            _compare(threshold, least, parts is not None), "node long, i long, j long, a long, b long"
-        )
+        placed.select(key, *[c for c in columns], F.inline(met))
+        .select(key, "i", "j", *columns)
+        .repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+    )
+
+
+def _candidates(leaves: DataFrame, classes: DataFrame, threshold: int, least: int, small: int) -> DataFrame:
+    """node, i, j, a, b: pairs that span the candidates of every node."""
+    members = leaves.join(classes.select("rep", "n", "tokens").hint("merge"), "rep")
+    return _blocked(members, "node", "m", small, ["rep", "n", "block", "tokens"]).mapInArrow(
+        _propose(threshold, least), "node long, i long, j long, a long, b long"
+    )
+
+
+def _settled(
+    clusters: DataFrame, parts: DataFrame, classes: DataFrame, texts: DataFrame, threshold: int,
+    least: int, small: int,
+) -> DataFrame:
+    """Links between components of one cluster of candidates, each cluster compared in full."""
+    named = parts.select(F.col("node").alias("rep"), F.col("component").alias("p"))
+    members = (
+        clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+        .join(named.hint("merge"), "rep", "left").withColumn("part", F.coalesce("p", "rep"))
+    )
+    # clusters that are one component have nothing left; pairs were checked already
+    open_ = members.groupBy("cluster").agg(
+        F.min("part").alias("lowest"), F.max("part").alias("highest"), F.count(F.lit(1)).alias("m")
+    ).filter("lowest <> highest AND m > 2").select("cluster", "m")
+    members = (
+        members.join(open_.hint("merge"), "cluster").drop("p")
+        .join(classes.select("rep", "n", "tokens").hint("merge"), "rep")
+        .join(texts.hint("merge"), "rep")
+    )
+    columns = ["rep", "n", "block", "tokens", "part", "text"]
+    return _blocked(members, "cluster", "m", small, columns).mapInArrow(
+        _settle(threshold, least, WIDTH), "a long, b long"
     )
 
 
@@ -283,18 +350,18 @@ def near_duplicates(
         "classes",
     )
     leaves = _leaves(classes, trees, levels, small)
-    star = stored(_candidates(leaves, classes, None, threshold, least, small), "star")
-    wanted = star.select(F.col("a").alias("w")).union(star.select("b")).distinct()
-    # every member with a candidate is in a star; texts of equal doc_ids: the first one
+    pairs = stored(_candidates(leaves, classes, threshold, least, small), "pairs")
+    clusters = components(pairs)
+    wanted = clusters.select(F.col("node").alias("w"))
+    # texts of equal doc_ids: the first one
     texts = stored(
         narrow.join(wanted.hint("merge"), narrow["doc_id"] == wanted["w"], "left_semi")
         .groupBy(F.col("doc_id").alias("rep")).agg(F.min("text").alias("text")),
         "texts",
     )
-    links = stored(_confirmed(star, texts, threshold), "links")
+    links = stored(_confirmed(pairs, texts, threshold), "links")
     parts = components(links)
-    cross = _candidates(leaves, classes, parts, threshold, least, small)
-    more = stored(_confirmed(cross, texts, threshold), "links")
+    more = stored(_settled(clusters, parts, classes, texts, threshold, least, small), "links")
     if not more.isEmpty():
         parts = components(links.union(more))
     labels = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(
