@@ -27,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from evenkeel.llm.textkeys import Powers, mix, string_hash
+from evenkeel.llm.textkeys import Powers, mix
 
 Q, WINDOW, STRIDE, RATE, SHORTEST = 7, 80, 40, 0.1, 24
 BLOCK_CHARS = 4_000_000
@@ -55,17 +55,28 @@ def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(joined, dtype=np.uint32), begins
 
 
+_CODES = mix(np.arange(0x110000, dtype=np.uint64) + np.uint64(77))
+
+
 def _grams(codes: np.ndarray, powers: Powers, q: int) -> np.ndarray:
-    if len(codes) < q:
+    """A number per q-gram, equal where the q-grams are equal."""
+    n = len(codes) - q + 1
+    if n < 1:
         return np.zeros(0, dtype=np.uint64)
     powers.grow(len(codes) + 1)
     sums = np.zeros(len(codes) + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        np.cumsum(
-            mix(codes.astype(np.uint64) + np.uint64(77)) * powers.up[: len(codes)], out=sums[1:]
-        )
-    i = np.arange(len(codes) - q + 1)
-    return string_hash(sums, powers, i, i + q)
+        terms = _CODES[codes]
+        terms *= powers.up[: len(codes)]
+        np.cumsum(terms, out=sums[1:])
+        grams = sums[q:] - sums[:-q]
+        grams *= powers.down[:n]
+    return grams
+
+
+def _spots(grams: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITMAP_BITS)
 
 
 class Index:
@@ -92,7 +103,7 @@ class Index:
         self.grams, self.first = np.unique(grams[whole][order], return_index=True)
         self.first = np.append(self.first, len(order))
         self.bits = np.zeros(1 << BITMAP_BITS, dtype=bool)
-        self.bits[self.grams >> np.uint64(64 - BITMAP_BITS)] = True
+        self.bits[_spots(self.grams)] = True
         length = np.diff(begins)
         self.length = length
         shape = [budget(int(m)) for m in length]
@@ -103,7 +114,7 @@ class Index:
     def bands(self, codes: np.ndarray, begins: np.ndarray, powers: Powers):
         """doc, window, lowest diagonal of the bands that reach the bound."""
         grams = _grams(codes, powers, Q)
-        near = np.flatnonzero(self.bits[grams >> np.uint64(64 - BITMAP_BITS)])
+        near = np.flatnonzero(self.bits[_spots(grams)])
         g = np.searchsorted(self.grams, grams[near])
         g[g == len(self.grams)] = 0
         hit = self.grams[g] == grams[near]
