@@ -17,7 +17,6 @@ each for itself; a null doc_id is not held out.  Empty table: empty result.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,13 +37,28 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
 
 
-def buckets(word: str, bits: int = BITS) -> np.ndarray:
-    w = f"<{word.lower().strip(_STRIP)}>"
-    grams = {w}
+def buckets(words: list[str], powers: textkeys.Powers) -> tuple[np.ndarray, np.ndarray]:
+    """Owner (number of the word) and bucket of every n-gram of the words, and of the words."""
+    marked = [f"<{w.lower().strip(_STRIP)}>" for w in words]
+    size = np.array([len(w) for w in marked], dtype=np.int64)
+    begins = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    powers.grow(len(codes) + 1)
+    sums = np.zeros(len(codes) + 1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(
+            textkeys.mix(codes.astype(np.uint64) + np.uint64(77)) * powers.up[: len(codes)],
+            out=sums[1:],
+        )
+    owner = np.repeat(np.arange(len(words)), size)
+    owners, first, last = [np.arange(len(words))], [begins[:-1]], [begins[1:]]
     for n in range(SHORT, LONG + 1):
-        grams.update(w[i : i + n] for i in range(len(w) - n + 1))
-    found = [zlib.crc32(g.encode("utf-8", "replace")) >> (32 - bits) for g in grams]
-    return np.array(found, dtype=np.int64)
+        i = np.flatnonzero(np.arange(len(codes)) + n <= begins[owner + 1])
+        owners.append(owner[i])
+        first.append(i)
+        last.append(i + n)
+    keys = textkeys.string_hash(sums, powers, np.concatenate(first), np.concatenate(last))
+    return np.concatenate(owners), (keys >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 class Bags:
@@ -59,10 +73,10 @@ class Bags:
         share = counts / max(1, counts.sum())
         self.weights = {w: RARE / (RARE + share[i]) for w, i in seen.items()}
         heavy = np.array([self.weights[w] for w in seen])
-        each = [buckets(w) for w in seen]
-        size = np.array([len(b) for b in each])
+        owner, flat = buckets(list(seen), textkeys.Powers())
+        flat = flat[np.argsort(owner, kind="stable")]
+        size = np.bincount(owner, minlength=len(seen))
         first = np.concatenate([[0], np.cumsum(size)])
-        flat = np.concatenate(each) if each else np.zeros(0, dtype=np.int64)
         self.rows = []
         for d in docs:
             words, n = np.unique(d, return_counts=True)
@@ -137,15 +151,17 @@ def _scorer(model_of):
                 if len(known) > 1_000_000:
                     known.clear()
                 data = raw.tobytes()
-                parts = np.zeros((len(unique), 2))
-                for u, (key, w) in enumerate(zip(unique.tolist(), where.tolist())):
-                    got = known.get(key)
-                    if got is None:
-                        word = data[first[w] : last[w]].decode("utf-8", "replace")
-                        grams = buckets(word)
-                        weight = weights.get(word, 1.0)
-                        got = known[key] = (weight * float(bucket[grams].sum()), weight * len(grams))
-                    parts[u] = got
+                keyed = unique.tolist()
+                new = [u for u, key in enumerate(keyed) if key not in known]
+                if new:
+                    spans = zip(first[where[new]].tolist(), last[where[new]].tolist())
+                    found = [data[a:b].decode("utf-8", "replace") for a, b in spans]
+                    owner, grams = buckets(found, powers)
+                    heavy = np.array([weights.get(w, 1.0) for w in found])
+                    total = heavy * np.bincount(owner, bucket[grams], minlength=len(new))
+                    count = heavy * np.bincount(owner, minlength=len(new))
+                    known.update(zip((keyed[u] for u in new), zip(total.tolist(), count.tolist())))
+                parts = np.array([known[key] for key in keyed], dtype=float).reshape(-1, 2)
                 flat = np.concatenate([np.zeros((1, 2)), np.cumsum(parts[inverse], axis=0)])
                 total = flat[at[1:]] - flat[at[:-1]]
                 scores[i:j] = total[:, 0] / np.maximum(total[:, 1], 1e-9)
