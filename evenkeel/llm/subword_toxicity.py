@@ -73,20 +73,29 @@ class Bags:
         share = counts / max(1, counts.sum())
         self.weights = {w: RARE / (RARE + share[i]) for w, i in seen.items()}
         heavy = np.array([self.weights[w] for w in seen])
-        owner, flat = buckets(list(seen), textkeys.Powers())
-        flat = flat[np.argsort(owner, kind="stable")]
-        size = np.bincount(owner, minlength=len(seen))
-        first = np.concatenate([[0], np.cumsum(size)])
-        self.rows = []
+        parts, sizes, names, powers = [], [], list(seen), textkeys.Powers()
+        for i in range(0, len(names), 4096):
+            owner, found = buckets(names[i : i + 4096], powers)
+            parts.append(found[np.argsort(owner, kind="stable")].astype(np.int32))
+            sizes.append(np.bincount(owner, minlength=min(4096, len(names) - i)))
+        self.flat = np.concatenate([np.zeros(0, dtype=np.int32), *parts])
+        self.size = np.concatenate([np.zeros(0, dtype=np.int64), *sizes])
+        self.first = np.concatenate([[0], np.cumsum(self.size)])
+        self.docs = []  # distinct words with weights; n-grams are laid out batch by batch
         for d in docs:
             words, n = np.unique(d, return_counts=True)
             weight = heavy[words] * n if len(words) else np.zeros(0)
-            k = size[words] if len(words) else np.zeros(0, dtype=np.int64)
-            place = np.repeat(first[words] - np.cumsum(k) + k, k) + np.arange(int(k.sum()))
-            total = float((weight * k).sum()) or 1.0
-            self.rows.append(
-                (flat[place].astype(np.int32), (np.repeat(weight, k) / total).astype(np.float32))
-            )
+            total = float((weight * self.size[words]).sum()) or 1.0
+            self.docs.append((words.astype(np.int32), (weight / total).astype(np.float32)))
+
+    def expanded(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bucket, weight and place in the batch of every n-gram of the picked documents."""
+        words = np.concatenate([self.docs[d][0] for d in pick])
+        weight = np.concatenate([self.docs[d][1] for d in pick])
+        doc = np.repeat(np.arange(len(pick)), [len(self.docs[d][0]) for d in pick])
+        k = self.size[words]
+        place = np.repeat(self.first[words] - np.cumsum(k) + k, k) + np.arange(int(k.sum()))
+        return self.flat[place], np.repeat(weight, k), np.repeat(doc, k)
 
 
 def train(texts: list[str], labels: list[int], seed: int = 3) -> dict:
@@ -106,9 +115,7 @@ def train(texts: list[str], labels: list[int], seed: int = 3) -> dict:
         rate = RATE * (1 - epoch / epochs)
         for i in range(0, len(order), BATCH):
             pick = order[i : i + BATCH]
-            idx = np.concatenate([bags.rows[d][0] for d in pick])
-            val = np.concatenate([bags.rows[d][1] for d in pick])
-            doc = np.repeat(np.arange(len(pick)), [len(bags.rows[d][0]) for d in pick])
+            idx, val, doc = bags.expanded(pick)
             picked = emb[idx]
             mean = np.stack(
                 [np.bincount(doc, picked[:, k] * val, minlength=len(pick)) for k in range(DIM)], 1
