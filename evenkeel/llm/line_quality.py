@@ -1,9 +1,9 @@
 """Quality rules: cross-document line frequency on top of base counts per document.
 
 Lines are normalised (ASCII lower case, white space collapsed, digits to 0) and hashed.  Per host
-(`source`) the distinct documents of each line are counted.  A document is known by its sketch,
-the smallest hash of its lines, so that the copies and most near copies of one document count
-once and a copied document does not turn its own lines into boilerplate.  A line above both
+(`source`) the distinct documents of each line are counted.  A document is known by the hash of its
+whole set of lines, so that copies of one document count once and a copied document does not turn
+its own lines into boilerplate; documents that differ in a line count apart.  A line above both
 limits (`min_documents` and `max_share` of the host's distinct documents) is removed.  A document
 is depleted, and rejected, when less than `min_left` of its words remain.
 
@@ -128,15 +128,16 @@ def frequent_lines(
 ) -> DataFrame:
     """source, line: hashes of the lines above both limits."""
     keys = F.transform(lines(F.col("text")), line_key)
-    sketched = documents.select(
-        "source", F.array_distinct(keys).alias("keys")
-    ).select("source", "keys", F.array_min("keys").alias("sketch"))
+    # documents without lines have no key and do not count
+    keyed = documents.select(
+        "source", F.sort_array(F.array_distinct(keys)).alias("keys")
+    ).select("source", "keys", F.when(F.size("keys") > 0, F.xxhash64("keys")).alias("document"))
     hosts = (
-        sketched.select("source", "sketch").distinct()
-        .groupBy("source").agg(F.count("sketch").alias("host_documents"))
+        keyed.select("source", "document").distinct()
+        .groupBy("source").agg(F.count("document").alias("host_documents"))
     )
     counts = (
-        sketched.select("source", F.explode("keys").alias("line"), "sketch").distinct()
+        keyed.select("source", F.explode("keys").alias("line"), "document").distinct()
         .groupBy("source", "line").agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") > min_documents)
     )

@@ -72,6 +72,18 @@ def test_depleted_documents_go(spark):
     assert line_quality.keep_documents(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_documents_that_share_the_smallest_line_hash_count_apart(spark):
+    low = min((f"footer {k} of all" for k in "abcdefghij"), key=lambda x: hashlib.md5(x.encode()).hexdigest())
+    rng, rows = random.Random(3), []
+    while len(rows) < 40:
+        own = " ".join(f"o{rng.random()}" for _ in range(60))
+        plain = re.sub("[1-9]", "0", own)
+        if hashlib.md5(plain.encode()).hexdigest() > hashlib.md5(low.encode()).hexdigest():
+            rows.append((len(rows), f"{own}\n{low}", "h"))
+    got = line_quality.line_verdicts(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r["removed_words"] for r in got} == {4}
+
+
 # --- near-duplicates -----------------------------------------------------------------------------
 
 def _shingles(text):
