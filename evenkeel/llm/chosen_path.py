@@ -334,7 +334,8 @@ def near_duplicates(
     small: int = SMALL, seed: int = 5,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per document."""
-    least = max(0, int(TOKENS * threshold / 100 - 5 * (TOKENS * 0.1275) ** 0.5))
+    share = threshold / 100
+    least = max(0, int(TOKENS * share - 5 * (TOKENS * share * (1 - share)) ** 0.5))
     narrow = documents.select("doc_id", "text")
     signed = stored(
         narrow.mapInArrow(
@@ -376,7 +377,7 @@ def near_duplicates(
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def keep_documents(documents: DataFrame, threshold: int = 85) -> DataFrame:
+def keep_documents(documents: DataFrame, threshold: int = 80) -> DataFrame:
     """One document of each component, with its own columns; rows that repeat a doc_id go with the
     first of them in the order of their text."""
     verdicts = near_duplicates(documents, threshold).filter("kept AND doc_id IS NOT NULL")

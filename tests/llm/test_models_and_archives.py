@@ -223,3 +223,14 @@ def test_pipeline_stages(spark, tmp_path):
         words[r["source"]] += len(r["text"].split())
     total = 90 * 90
     assert abs(words["s0"] - total * 5 / 8) <= 1 and abs(words["s2"] - total / 8) <= 1
+
+
+def test_pipeline_links_from_80(spark, tmp_path):
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    rows = [(i, " ".join(f"v{rng.randrange(10**6)}" for _ in range(100)), "s") for i in range(20)]
+    for i, places in ((100, []), (101, [30, 60]), (102, [20, 50, 80])):  # 86 of 106, 81 of 111 shingles
+        rows.append((i, " ".join("new" if k in places else w for k, w in enumerate(base)), "s"))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, str(tmp_path))
+    assert {r["doc_id"] for r in kept.collect()} == {*range(20), 100, 102}
