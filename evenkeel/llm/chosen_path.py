@@ -19,9 +19,11 @@ Pairs inside one component need no comparison, because a component is the result
 Each link is confirmed on the full shingle sets: 100 * common >= threshold * all.  The sets are made
 from the texts in the groups that proposed the pairs, so a text travels once per group.
 
-Empty texts have empty sets, n_shingles 0, and stay alone.  doc_id is the key: rows that repeat
-one are copies of one document.  A null doc_id takes part with its text but names no component
-unless all members are null.  Empty tables give empty results; other columns are not read.
+Empty texts have empty sets, n_shingles 0, and stay alone.  Rows are known by a key of doc_id and
+text (`row_key`), so different texts are compared also where they repeat a doc_id or have none;
+only rows equal in both are one document.  Keys sort by doc_id, so the smallest key of a component
+holds its smallest doc_id.  A null doc_id sorts last: it names no component unless all members are
+null.  Empty tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evenkeel.llm import textkeys
-from evenkeel.llm.common import stored
+from evenkeel.llm.common import SEPARATORS, stored
 from evenkeel.llm.components import components
 
 TOKENS = 64
@@ -42,6 +44,24 @@ BRANCHES = 2
 SMALL = 1024
 LEVELS = 5
 WIDTH = 5
+KEY = "decimal(38,0)"
+HASHES = 1 << 60
+NO_ID = 1 << 63  # above any doc_id
+_KEYS = pa.decimal128(38, 0)
+
+
+def row_key() -> Column:
+    """doc_id, then 60 bits of the text's hash, in one number."""
+    doc = F.coalesce(F.col("doc_id").cast("decimal(19,0)"), F.lit(str(NO_ID)).cast("decimal(19,0)"))
+    low = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).bitwiseAND(F.lit(HASHES - 1))
+    return (doc * F.lit(HASHES).cast("decimal(19,0)") + low.cast("decimal(19,0)")).cast(KEY)
+
+
+def key_doc_id(key: Column) -> Column:
+    """The doc_id of a row key."""
+    whole = key - F.pmod(key, F.lit(HASHES).cast(KEY))
+    last = F.lit(str(NO_ID * HASHES)).cast(KEY)
+    return F.when(key < last, F.call_function("div", whole, F.lit(HASHES).cast(KEY)))
 
 
 def _minwise(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -76,7 +96,7 @@ def _signatures(width: int, tokens: int, seed: int):
                     pa.array(sigs, pa.list_(pa.int32())),
                     pa.array([(s & 255).astype(np.uint8).tobytes() for s in sigs], pa.binary()),
                 ],
-                ["doc_id", "n", "h1", "h2", "sig", "tokens"],
+                ["row", "n", "h1", "h2", "sig", "tokens"],
             )
 
     return run
@@ -130,6 +150,10 @@ def _forest(near: np.ndarray) -> Iterator[tuple[int, int]]:
 def _propose(threshold: int, least: int):
     """Candidate pairs of each group: (node, i, j), then rep, n, block, tokens."""
     names = ["node", "i", "j", "a", "b"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), _KEYS, _KEYS]
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -144,10 +168,10 @@ def _propose(threshold: int, least: int):
                 near &= block[:, None] != block[None, :]
             out.extend((*key, rep[min(x, y)], rep[max(x, y)]) for x, y in _forest(near))
             if len(out) >= 8192:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names)
+                yield batch_of(out)
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names)
+            yield batch_of(out)
 
     return run
 
@@ -158,7 +182,7 @@ def _linked(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
 
 
 def _links(found: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(c, _KEYS) for c in zip(*found)], ["a", "b"])
 
 
 def _confirm(threshold: int, width: int):
@@ -190,7 +214,8 @@ def _settle(threshold: int, least: int, width: int):
                 continue
             rows.sort(key=lambda r: r[0])
             rep, n, block, sig, part, texts = zip(*rows)
-            block, part = np.array(block), np.array(part)
+            codes: dict = {}
+            block, part = np.array(block), np.array([codes.setdefault(p, len(codes)) for p in part])
             near = _near(np.array(n), sig, threshold, least) & (part[:, None] != part[None, :])
             if key[1] != key[2]:
                 near &= block[:, None] != block[None, :]
@@ -282,7 +307,7 @@ def _candidates(leaves: DataFrame, classes: DataFrame, threshold: int, least: in
     """node, i, j, a, b: pairs that span the candidates of every node."""
     members = leaves.join(classes.select("rep", "n", "tokens").hint("merge"), "rep")
     return _blocked(members, "node", "m", small, ["rep", "n", "block", "tokens"]).mapInArrow(
-        _propose(threshold, least), "node long, i long, j long, a long, b long"
+        _propose(threshold, least), f"node long, i long, j long, a {KEY}, b {KEY}"
     )
 
 
@@ -307,7 +332,7 @@ def _settled(
     )
     columns = ["rep", "n", "block", "tokens", "part", "text"]
     return _blocked(members, "cluster", "m", small, columns).mapInArrow(
-        _settle(threshold, least, WIDTH), "a long, b long"
+        _settle(threshold, least, WIDTH), f"a {KEY}, b {KEY}"
     )
 
 
@@ -319,45 +344,45 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     )
     members = (
         once.select("key", F.col("a").alias("rep"), F.col("b").alias("partner"))
-        .union(once.select("key", F.col("b").alias("rep"), F.lit(None).cast("long")))
+        .union(once.select("key", F.col("b").alias("rep"), F.lit(None).cast(KEY)))
         .groupBy("key", "rep").agg(F.collect_list("partner").alias("partners"))
     )
     return (
         members.join(texts.hint("merge"), "rep").select("key", "rep", "text", "partners")
         .repartition("key").sortWithinPartitions("key")
-        .mapInArrow(_confirm(threshold, WIDTH), "a long, b long")
+        .mapInArrow(_confirm(threshold, WIDTH), f"a {KEY}, b {KEY}")
     )
 
 
-def near_duplicates(
-    documents: DataFrame, threshold: int = 85, trees: int = TREES, levels: int = LEVELS,
+def _verdicts(
+    documents: DataFrame, threshold: int, trees: int = TREES, levels: int = LEVELS,
     small: int = SMALL, seed: int = 5,
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per document."""
+    """row (its key), n_shingles, component (the key that stays): one row per document."""
     share = threshold / 100
     least = max(0, int(TOKENS * share - 5 * (TOKENS * share * (1 - share)) ** 0.5))
-    narrow = documents.select("doc_id", "text")
+    narrow = documents.select(row_key().alias("row"), "text")
     signed = stored(
         narrow.mapInArrow(
             _signatures(WIDTH, TOKENS, seed),
-            "doc_id long, n long, h1 long, h2 long, sig array<int>, tokens binary",
+            f"row {KEY}, n long, h1 long, h2 long, sig array<int>, tokens binary",
         ),
         "signatures",
     )
     classes = stored(
-        signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n")
-        .agg(F.min_by(F.struct("doc_id", "sig", "tokens"), "doc_id").alias("first"))
-        .select("h1", "h2", "n", F.col("first.doc_id").alias("rep"), "first.sig", "first.tokens"),
+        signed.filter("n > 0").groupBy("h1", "h2", "n")
+        .agg(F.min_by(F.struct("row", "sig", "tokens"), "row").alias("first"))
+        .select("h1", "h2", "n", F.col("first.row").alias("rep"), "first.sig", "first.tokens"),
         "classes",
     )
     leaves = _leaves(classes, trees, levels, small)
     pairs = stored(_candidates(leaves, classes, threshold, least, small), "pairs")
     clusters = components(pairs)
     wanted = clusters.select(F.col("node").alias("w"))
-    # texts of equal doc_ids: the first one
+    # rows of one key have one text
     texts = stored(
-        narrow.join(wanted.hint("merge"), narrow["doc_id"] == wanted["w"], "left_semi")
-        .groupBy(F.col("doc_id").alias("rep")).agg(F.min("text").alias("text")),
+        narrow.join(wanted.hint("merge"), narrow["row"] == wanted["w"], "left_semi")
+        .groupBy(F.col("row").alias("rep")).agg(F.min("text").alias("text")),
         "texts",
     )
     links = stored(_confirmed(pairs, texts, threshold), "links")
@@ -369,20 +394,34 @@ def near_duplicates(
         F.col("h1").alias("l1"), F.col("h2").alias("l2"), F.col("n").alias("ln"),
         F.coalesce("component", "rep").alias("label"),
     )
-    rows = signed.select("doc_id", "n", "h1", "h2")
+    rows = signed.select("row", "n", "h1", "h2")
     same = (rows["h1"] == labels["l1"]) & (rows["h2"] == labels["l2"]) & (rows["n"] == labels["ln"])
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("label"))
+    component = F.when(F.col("n") == 0, F.col("row")).otherwise(F.col("label"))
     return rows.join(labels, same, "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        "row", F.col("n").alias("n_shingles"), component.alias("component")
+    )
+
+
+def near_duplicates(documents: DataFrame, threshold: int = 85, **options) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per document."""
+    return _verdicts(documents, threshold, **options).select(
+        key_doc_id(F.col("row")).alias("doc_id"), "n_shingles",
+        key_doc_id(F.col("component")).alias("component_id"),
+        (F.col("row") == F.col("component")).alias("kept"),
+    )
 
 
 def keep_documents(documents: DataFrame, threshold: int = 80) -> DataFrame:
-    """One document of each component, with its own columns; rows that repeat a doc_id go with the
-    first of them in the order of their text."""
-    verdicts = near_duplicates(documents, threshold).filter("kept AND doc_id IS NOT NULL")
-    ids = verdicts.select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = documents.select(F.struct("*").alias("doc"), F.col("doc_id").alias("d"), "text")
-    kept = rows.join(ids, rows["d"] == ids["kept_id"], "left_semi")
-    first = kept.groupBy("d").agg(F.min_by("doc", F.coalesce("text", F.lit(""))).alias("doc"))
-    return first.select("doc.*")
+    """One document of each component, with its own columns.  Rows equal in doc_id and text are one;
+    rows without a doc_id and without words all stay."""
+    ids = _verdicts(documents, threshold).filter("row = component").select(
+        F.col("row").alias("kept_row")
+    ).distinct()
+    bare = F.trim(F.coalesce(F.col("text"), F.lit("")), F.lit(SEPARATORS)) == ""
+    rows = documents.select(
+        F.struct("*").alias("doc"), row_key().alias("r"),
+        (F.col("doc_id").isNull() & bare).alias("alone"),
+    )
+    kept = rows.filter("NOT alone").join(ids, rows["r"] == ids["kept_row"], "left_semi")
+    first = kept.groupBy("r").agg(F.first("doc").alias("doc"))
+    return first.select("doc.*").union(rows.filter("alone").select("doc.*"))

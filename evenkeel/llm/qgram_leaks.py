@@ -235,7 +235,9 @@ def leaks(
 
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without a match, as they came."""
-    dirty = leaks(documents, benchmark, **options).select(F.col("doc_id").alias("dirty_id")).distinct()
-    rows = documents.select(F.struct("*").alias("doc"), F.col("doc_id").alias("d"))
-    return rows.join(dirty, rows["d"].eqNullSafe(dirty["dirty_id"]), "left_anti").select("doc.*")
+    """The documents without a match, as they came; every row is judged by its own text."""
+    key = F.xxhash64("doc_id", "text")
+    keyed = documents.select(key.alias("doc_id"), "text")
+    dirty = leaks(keyed, benchmark, **options).select(F.col("doc_id").alias("dirty")).distinct()
+    rows = documents.select(F.struct("*").alias("doc"), key.alias("r"))
+    return rows.join(dirty, rows["r"] == dirty["dirty"], "left_anti").select("doc.*")

@@ -149,6 +149,26 @@ def test_near_duplicates_keep_one_of_each(spark):
     assert chosen_path.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_null_and_repeated_ids_are_compared_by_text(spark):
+    rng = random.Random(11)
+    text = [[f"w{rng.randrange(10**6)}" for _ in range(100)] for _ in range(6)]
+    near = [*text[0][:50], "other", *text[0][51:]]
+    rows = [(None, " ".join(t), "s") for t in text] + [(None, " ".join(near), "s")]
+    rows += [(None, " ".join(text[1]), "s"), (None, None, "s"), (None, "", "s")]
+    rows += [(-7, f"{' '.join(text[2])} {k}" if k else "first of its id", "s") for k in range(3)]
+    rows += [(8, " ".join(f"u{rng.randrange(10**6)}" for _ in range(50)), "s") for _ in range(3)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = [(r["doc_id"], r["text"]) for r in chosen_path.keep_documents(docs).collect()]
+    null = [t for i, t in kept if i is None]
+    assert sorted(t or "" for t in null if not t) == ["", ""] and len(null) == 7
+    assert {" ".join(t) for t in (text[1], text[3], text[4], text[5])} < set(null)
+    assert len({" ".join(text[0]), " ".join(near)} & set(null)) == 1
+    assert sorted(i for i, _ in kept if i is not None) == [-7, -7, 8, 8, 8]
+    got = chosen_path.near_duplicates(docs).collect()
+    assert len(got) == len(rows)
+    assert Counter(r["component_id"] for r in got) == {None: 9, -7: 4, 8: 3}
+
+
 # --- decontamination -----------------------------------------------------------------------------
 
 def _prose(rng, n):
@@ -187,6 +207,16 @@ def test_leaks(spark):
     assert qgram_leaks.leaks(spark.createDataFrame([], SCHEMA), bench).count() == 0
 
 
+def test_one_dirty_row_does_not_take_others_of_its_id(spark):
+    rng = random.Random(12)
+    item = _prose(rng, 30)
+    rows = [(i, _prose(rng, 40), "s") for i in (None, None, 5, 5)]
+    rows += [(i, f"{_prose(rng, 20)} {item}", "s") for i in (None, 5)]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    clean = qgram_leaks.clean_documents(spark.createDataFrame(rows, SCHEMA), bench)
+    assert sorted(r["text"] for r in clean.collect()) == sorted(t for _, t, _ in rows[:4])
+
+
 def _fewest_edits(pattern, text):
     row = [0] * (len(text) + 1)
     for i, p in enumerate(pattern, 1):
