@@ -141,10 +141,10 @@ def http_parts(block: bytes) -> tuple[dict[str, str], bytes, bytes]:
 
 
 def convert_arc(source: BinaryIO, refers: dict | None = None) -> Iterator[bytes]:
-    """WARC records (gzip members) of an ARC file.  refers: page id to (page id, URL) of the record
-    that keeps the same payload."""
+    """WARC records (gzip members) of an ARC file.  refers: place of a record in the file (the version
+    block is 0) to (page id, URL) of the record that keeps the same payload."""
     refers = refers or {}
-    for header, block in read_arc(source):
+    for place, (header, block) in enumerate(read_arc(source)):
         url, date = header["URL"], header["Archive-date"]
         if url.startswith("filedesc://"):
             name = url.removeprefix("filedesc://")
@@ -166,7 +166,7 @@ def convert_arc(source: BinaryIO, refers: dict | None = None) -> Iterator[bytes]
             continue
         fields, head, payload = http_parts(block)
         page, digest = fields.get("x-page-id", ""), base32_sha1(payload)
-        kept = refers.get(page)
+        kept = refers.get(place)
         body = head if kept else block
         more = []
         if kept:
@@ -248,9 +248,9 @@ def _writer(folder: str, file_bytes: int):
             for page, url, html, keeper, keeper_url in rows:
                 key = None if page is None else str(page)
                 arc.write(arc_record(version, name, arc.tell(), url, key, html.encode("utf-8", "replace")))
-                if keeper is not None:
-                    refers[key or ""] = (str(keeper), _field(keeper_url))
                 records += 1
+                if keeper is not None:
+                    refers[records] = (str(keeper), _field(keeper_url))
                 if arc.tell() >= file_bytes:
                     yield close(arc, refers, records)
                     arc, refers, records, version, name = begin()

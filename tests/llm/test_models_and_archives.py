@@ -88,6 +88,17 @@ def test_pages_survive_the_round_trip(spark):
     assert arc_convert.read_archives(nothing).count() == 0
 
 
+def test_null_and_repeated_page_ids_keep_their_own_payloads(spark):
+    rows = [(None, "n1", "one"), (None, "n2", "two"), (None, "n3", "kept at 9"), (9, "nine", "kept at 9"),
+            (4, "f1", "alpha"), (4, "f2", "beta"), (4, "f3", "kept at 9"), (4, "f4", "gamma")]
+    pages = spark.createDataFrame(rows, PAGES).coalesce(1)
+    got = arc_convert.read_archives(arc_convert.archive_pages(pages)).collect()
+    sha = lambda h: base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()
+    want = [(p, len(h), sha(h), *(("revisit", 9) if h == "kept at 9" and p != 9 else ("response", None)))
+            for p, _, h in rows]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_small_payloads_are_never_revisits(spark):
     pages = spark.createDataFrame([(1, "a", "xy"), (2, "b", "xy"), (3, "c", "long enough")] * 2, PAGES)
     got = arc_convert.read_archives(arc_convert.archive_pages(pages, least=5)).collect()
