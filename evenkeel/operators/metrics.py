@@ -17,7 +17,7 @@ from evenkeel.operators.projection import quoted
 #: common numeric type of compared metrics
 METRIC_TYPE = "decimal(38,10)"
 TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
-NOT_COUNTABLE = (T.ArrayType, T.MapType, T.StructType)
+NESTED = (T.ArrayType, T.MapType, T.StructType)
 WHOLE = (T.IntegralType, T.BooleanType, *TEMPORAL)
 FLOATING = (T.FloatType, T.DoubleType)
 
@@ -66,10 +66,38 @@ def null_percent(frame: DataFrame, columns: Sequence[str] | None = None) -> Data
     return wide.select(F.inline(F.array(*rows)))
 
 
+def _nested_text(c: Column, dtype: T.DataType) -> Column:
+    """JSON of texts that is equal exactly when the values are: maps in the order of their keys."""
+    if isinstance(dtype, T.ArrayType):
+        return F.to_json(F.transform(c, lambda x: _nested_text(x, dtype.elementType)))
+    if isinstance(dtype, T.StructType):
+        parts = [_nested_text(c.getField(f.name), f.dataType) for f in dtype.fields]
+        return F.when(c.isNotNull(), F.to_json(F.array(*parts)) if parts else F.lit("[]"))
+    if isinstance(dtype, T.MapType):
+        entries = F.transform(
+            F.map_entries(c),
+            lambda e: F.to_json(F.array(
+                _nested_text(e["key"], dtype.keyType), _nested_text(e["value"], dtype.valueType)
+            )),
+        )
+        return F.to_json(F.array_sort(entries))
+    if isinstance(dtype, FLOATING):
+        return F.when(c == 0, F.lit("0.0")).otherwise(c.cast("string"))
+    if isinstance(dtype, T.BinaryType):
+        return F.hex(c)
+    if isinstance(dtype, T.VariantType):
+        return F.to_json(c)
+    if isinstance(dtype, TEMPORAL):  # the text of a timestamp can stand for two instants
+        return _whole(c, dtype).cast("string")
+    return c.cast("string")
+
+
 def _value_text(frame: DataFrame, name: str, json_columns: Sequence[str] = ()) -> Column:
     """Text that is equal exactly when the stored values are equal."""
     dtype = frame.schema[name].dataType
     c = quoted(name)
+    if isinstance(dtype, NESTED):
+        return _nested_text(c, dtype)
     if name in json_columns:
         return nz.json(c)
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
@@ -126,12 +154,9 @@ def distinct_count(
 
     Exact counting groups (column, value) pairs of all columns at once; every row sends one
     narrow value per column instead of a copy of all columns.  ``approx`` needs no shuffle of
-    values at all.
+    values at all.  Arrays, maps and structs are counted by their canonical JSON text.
     """
-    names = [
-        c for c in (columns or frame.columns)
-        if not isinstance(frame.schema[c].dataType, NOT_COUNTABLE)
-    ]
+    names = list(columns or frame.columns)
     if approx:
         wide = frame.agg(
             *[

@@ -196,6 +196,20 @@ def test_distinct_details(spark):
     assert got == {"x": 1, "j": 1}
 
 
+@pytest.mark.parametrize("approx", [False, True])
+def test_nested_columns_are_counted(spark, approx):
+    frame = spark.sql(
+        "SELECT * FROM VALUES "
+        "(array('a, b'), map('x', 1, 'y', NULL), named_struct('t', TIMESTAMP '2024-11-03 05:30:00.000001Z', 'd', 0.0D)), "
+        "(array('a', 'b'), map('y', NULL, 'x', 1), named_struct('t', TIMESTAMP '2024-11-03 06:30:00.000001Z', 'd', 0.0D)), "
+        "(array('a', NULL), map('x', 1), named_struct('t', TIMESTAMP '2024-11-03 05:30:00.000002Z', 'd', 0.0D)), "
+        "(array('a', 'b'), NULL, named_struct('t', TIMESTAMP '2024-11-03 05:30:00.000001Z', 'd', -0.0D)), "
+        "(NULL, NULL, NULL) t(a, m, s)")
+    frame = frame.selectExpr("*", "array(m) AS am", "1 AS n")
+    got = {r[0]: r[1] for r in metrics.distinct_count(frame, approx=approx).collect()}
+    assert got == {"a": 3, "m": 2, "s": 3, "am": 3, "n": 1}
+
+
 def test_business_checks_need_a_column(spark):
     frame = spark.range(3)
     with pytest.raises(ValueError):
