@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from evenkeel.llm import (
     arc_convert, chosen_path, feistel_shards, licences, line_quality,
     mixture, qgram_leaks,
-    subword_toxicity, suffix_levels, token_spans,
+    subword_toxicity, suffix_levels, token_spans, word_runs,
 )
 from evenkeel.llm.common import table
 from evenkeel.llm.oracles import ORACLES as ORACLES  # noqa: PLC0414 - registered with the queries
@@ -63,6 +63,10 @@ def op10_licence_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licences(table(spark, sf_dir, "documents"))
 
 
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_runs.run_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_spans": op1_token_spans,
     "op2_suffix_levels": op2_suffix_levels,
@@ -74,4 +78,5 @@ QUERIES = {
     "op8_chosen_path": op8_chosen_path,
     "op9_subword_toxicity": op9_subword_toxicity,
     "op10_licence_paragraphs": op10_licence_paragraphs,
+    "op11_word_runs": op11_word_runs,
 }
