@@ -79,8 +79,40 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.c AS componen
     ON m.a = d.doc_id
 """
 
+COLLOCATIONS = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                  translate(coalesce(text, ''), '{A}', '{Z}'), '[.,;:!?\x0A-\x0D]')) AS piece
+             FROM documents),
+ w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+ n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang HAVING sum(len(w)) > 0),
+ g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
+         FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i
+                 FROM w, (VALUES (1), (2), (3), (4), (5)) v(m) WHERE len(w) >= m) x),
+ f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+ c AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+ inner_ AS (SELECT lang, a, array_to_string(w[i:j], ' ') AS phrase
+              FROM (SELECT *, unnest(range(i + 1, len(w) + 1)) AS j
+                      FROM (SELECT *, unnest(range(1, len(w))) AS i FROM c) x) y
+             WHERE j - i + 1 < len(w)),
+ gone AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN inner_ i
+             ON c.lang = i.lang AND c.phrase = i.phrase AND 100 * i.a >= 100 * c.a),
+ cut AS (SELECT c.lang, phrase, a, n, k, array_to_string(w[1:k], ' ') AS x,
+                array_to_string(w[k + 1:], ' ') AS y
+           FROM (SELECT *, unnest(range(1, len(w))) AS k FROM c) c JOIN n USING (lang)
+          WHERE NOT EXISTS (FROM gone o WHERE o.lang = c.lang AND o.phrase = c.phrase)),
+ s AS (SELECT cut.*, l.f AS l, r.f AS r,
+              1000::HUGEINT * a * n // (l.f::HUGEINT * r.f) AS score
+         FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = x
+         JOIN f r ON r.lang = cut.lang AND r.phrase = y),
+ b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+       phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+  FROM b QUALIFY rank <= 2000
+"""
+
 ORACLES = {
     "op3_line_frequency": LINE_FREQUENCY,
     "op6_arc_to_warc": ARC_TO_WARC,
     "op8_chosen_path": CHOSEN_PATH,
+    "op12_collocations": COLLOCATIONS,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from evenkeel.llm import (
-    arc_convert, byte_pairs, chosen_path, feistel_shards, licences, line_quality,
+    arc_convert, byte_pairs, chosen_path, collocations, feistel_shards, licences, line_quality,
     mixture, qgram_leaks,
     subword_toxicity, suffix_levels, token_spans, word_runs,
 )
@@ -67,6 +67,10 @@ def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_runs.run_report(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -86,5 +90,6 @@ QUERIES = {
     "op9_subword_toxicity": op9_subword_toxicity,
     "op10_licence_paragraphs": op10_licence_paragraphs,
     "op11_word_runs": op11_word_runs,
+    "op12_collocations": op12_collocations,
     "op13_byte_pairs": op13_byte_pairs,
 }
