@@ -15,7 +15,7 @@ Encoded texts are packed: ids as little-endian unsigned 32-bit integers.  A null
 and has no tokens.  Decoding gives back each text as it was; bytes that are no UTF-8 (of ids that no
 text gave) become U+FFFD.  Rows that repeat are treated each for itself, a null doc_id is kept.
 An empty table gives an empty result; other columns are not read.  One scan, no shuffle; what is
-broadcast is the vocabulary.  Pieces already encoded are kept up to `CACHE` symbols a task.
+broadcast is the vocabulary.  About `CACHE` pieces already encoded are kept by a task.
 """
 
 from __future__ import annotations
@@ -37,8 +37,8 @@ from evenkeel.llm.textkeys import slices
 # Fixed value: the pattern of byte-level vocabularies of this kind
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LETTER, NUMBER, SPACE = r"\p{L}", r"\p{N}", r"\s"
-SLICE_CHARS = 8 << 20
-CACHE = 16 << 20
+SLICE_CHARS, SLICE_IDS = 4 << 20, 1 << 18
+CACHE = 400_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -258,7 +258,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts one after another, and the number of ids of each text."""
-        if len(self.tokens) > CACHE:
+        if len(self.pieces) > CACHE:
             self._clear()
         numbers = [np.array(self._numbers(t), dtype=np.int64) for t in texts]
         self._learn()
@@ -316,7 +316,7 @@ def _decode(shared):
         for batch in batches:
             lengths = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy().astype(np.int64)
             begins = np.append(0, np.cumsum(lengths))
-            for i, j in slices(begins, SLICE_CHARS):
+            for i, j in slices(begins, 4 * SLICE_IDS):
                 part = batch.slice(i, j - i)
                 packed = b"".join(b or b"" for b in part.column(2).to_pylist())
                 ids = np.frombuffer(packed, dtype="<u4").astype(np.int64)
