@@ -2,13 +2,14 @@
 
 A phrase that occurs `least` times in a language occurs in some shard at least `least` times the shard's
 share of the language's words.  So documents are dealt into `SHARDS` shards by hash, and each shard
-is mined completely at that local support, by levels: a phrase of m words is counted only where
-both of its parts of m - 1 words are frequent in the shard.  Tasks count their rows and a shuffle adds
-up; no task holds a shard.  The union of what is frequent somewhere is the candidate set, and a last
-scan counts all candidates in all documents exactly, by their texts.
+is mined completely at that local support: its words, then pairs of words that are both frequent in the
+shard, then longer phrases all of whose pairs are.  Tasks count what they read and a shuffle adds up;
+no task holds a shard, so a few shards do, and the local support stays well above one.  The union of
+what is frequent somewhere is the candidate set, and a last scan counts all candidates in all
+documents exactly, by their texts.
 
 What a scan has to know of the level before travels as a bitmap of hashed phrases, `BITS` bits
-whatever the size of the input, put together by Spark's bitmap aggregates.  Hashes of 64 bits
+whatever the size of the input, put together by Spark's bitmap aggregates.  Hashes (52 bits)
 and bitmap clashes only add phrases to mining; the final counts are of texts, so nothing is lost and
 nothing is miscounted.
 
@@ -29,9 +30,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from evenkeel.llm.common import stored
 from evenkeel.llm.textkeys import Powers, mix, prefix_sums, slices, string_hash, text_bytes, words
 
-LEAST, LONGEST, SHARDS, TOP = 100, 5, 16, 2000
+LEAST, LONGEST, SHARDS, TOP = 100, 5, 4, 2000
 BITS = 27
-SLICE_BYTES = 8 << 20
+SLICE_BYTES, SLICE_DOCUMENTS = 3 << 20, 4096
+HELD = 1_500_000  # counts that a task holds before it hands them on
 _SHARD = 0x5851F42D4C95  # sets the bits of a phrase in one shard apart from those in another
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -73,51 +75,104 @@ class Slice:
 
 
 def _set(bits: np.ndarray, gram: np.ndarray, shard: np.ndarray | int = 0) -> np.ndarray:
-    spot = (gram.view(np.int64) ^ (shard * _SHARD)) & (8 * len(bits) - 1)
+    spot = ((gram >> np.uint64(12)).view(np.int64) ^ (shard * _SHARD)) & (8 * len(bits) - 1)
     return (bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
 
 
-def _level(m: int, shared):
-    """Rows shard, language, gram, n of the phrases of m words whose parts are frequent."""
+def _some(begins: np.ndarray) -> Iterator[tuple[int, int]]:
+    for i, j in slices(begins, SLICE_BYTES):
+        yield from ((a, min(j, a + SLICE_DOCUMENTS)) for a in range(i, j, SLICE_DOCUMENTS))
+
+
+class Counts:
+    """Counts of phrases by shard and language.  A phrase's 52 bits and a number for its shard and
+    language make one key, so that sorting keys is all there is to do."""
+
+    def __init__(self) -> None:
+        self.groups: dict[tuple[int, int], int] = {}
+        self.keys: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.held = 0
+
+    def room(self, groups: set[tuple[int, int]]) -> bool:
+        return len(groups - self.groups.keys()) + len(self.groups) <= SLICE_DOCUMENTS
+
+    def numbers(self, groups: list[tuple[int, int]]) -> np.ndarray:
+        return np.array([self.groups.setdefault(g, len(self.groups)) for g in groups], dtype=np.uint64)
+
+    def add(self, gram: np.ndarray, group: np.ndarray) -> None:
+        keys = np.sort(gram & np.uint64(0xFFFFFFFFFFFFF000) | group)
+        new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, int)
+        self.keys.append(keys[new])
+        self.counts.append(np.diff(np.append(new, len(keys))))
+        self.held += len(new)
+
+    def summed(self) -> None:
+        keys, counts = np.concatenate(self.keys), np.concatenate(self.counts)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        self.keys, self.counts = [keys[new]], [np.add.reduceat(counts[order], new)]
+        self.held = len(new)
+
+    def handed_on(self) -> Iterator[pa.RecordBatch]:
+        """All counts as rows shard, language, gram, n; nothing is held any more."""
+        if self.held:
+            self.summed()
+            keys, counts = self.keys[0], self.counts[0]
+            group = np.array(list(self.groups), dtype=np.int64)
+            for i in range(0, len(keys), 1 << 16):
+                part = slice(i, i + (1 << 16))
+                own = group[(keys[part] & np.uint64(0xFFF)).astype(np.int64)]
+                gram = (keys[part] >> np.uint64(12)).astype(np.int64)
+                columns = [own[:, 0], own[:, 1], gram, counts[part]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], _LEVEL)
+        self.__init__()
+
+
+_LEVEL = ["shard", "language", "gram", "n"]
+WORDS, PAIRS, LONGER = 1, 2, 3
+
+
+def _mine(level: int, longest: int, shared):
+    """Rows shard, language, gram, n: of words (and rows without a gram that count all words), of pairs
+    of frequent words, or of longer phrases of frequent pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
+        powers, counts = Powers(), Counts()
         bits = np.frombuffer(shared.value, dtype=np.uint8) if shared else None
         for batch in batches:
             raw_all, begins_all = text_bytes(batch.column(2))
             shards, languages = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            for i, j in slices(begins_all, SLICE_BYTES):
+            for i, j in _some(begins_all):
+                pairs = list(zip(shards[i:j].tolist(), languages[i:j].tolist()))
+                if counts.held > HELD:
+                    counts.summed()
+                if counts.held > HELD // 2 or not counts.room(set(pairs)):
+                    yield from counts.handed_on()
                 begins = begins_all[i : j + 1] - begins_all[i]
                 part = Slice(raw_all[begins_all[i] : begins_all[j]], begins)
-                shard, language = shards[i:j].astype(np.int64), languages[i:j]
-                grams = part.grams(powers, language)
-                if m == 1:
-                    here, gram = np.arange(len(part.doc)), next(grams)
-                else:
-                    for _ in range(m - 2):
-                        next(grams)
-                    good = _set(bits, next(grams), shard[part.doc])
-                    here = np.flatnonzero(good & np.append(good[1:], False) & (part.left >= m))
-                    gram = next(grams)[here]
-                own = shard[part.doc[here]]
-                _, one, n = np.unique(
-                    gram ^ mix(own.astype(np.uint64) + np.uint64(1)), return_index=True, return_counts=True
-                )
-                columns = [own[one], language[part.doc[here[one]]], gram[one].view(np.int64), n]
-                if m == 1 and len(part.doc):  # how many words there are: rows without a gram
-                    pair, one, n = np.unique(
-                        np.stack([own, language[part.doc]]), axis=1, return_index=True, return_counts=True
-                    )
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(pair[0]), pa.array(pair[1]),
-                            pa.nulls(len(n), pa.int64()), pa.array(n, pa.int64()),
-                        ],
-                        ["shard", "language", "gram", "n"],
-                    )
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int64()) for c in columns], ["shard", "language", "gram", "n"]
-                )
+                group, shard = counts.numbers(pairs)[part.doc], shards[i:j].astype(np.int64)[part.doc]
+                grams = part.grams(powers, languages[i:j])
+                if level == WORDS:
+                    counts.add(next(grams), group)
+                    own, n = np.unique(group, return_counts=True)
+                    named = np.array(list(counts.groups), dtype=np.int64).reshape(-1, 2)[own.astype(np.int64)]
+                    columns = [named[:, 0], named[:, 1], pa.nulls(len(own), pa.int64()), n]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], _LEVEL)
+                    continue
+                word = next(grams)
+                if level == PAIRS:
+                    good = _set(bits, word, shard)
+                    here = np.flatnonzero(good & np.append(good[1:], False) & (part.left > 1))
+                    counts.add(next(grams)[here], group[here])
+                    continue
+                pair = _set(bits, next(grams), shard) & (part.left > 1)
+                here = np.flatnonzero(pair)
+                for m in range(3, longest + 1):
+                    here = here[np.append(pair, np.zeros(longest, dtype=bool))[here + m - 2]]
+                    counts.add(next(grams)[here], group[here])
+        yield from counts.handed_on()
 
     return run
 
@@ -142,6 +197,16 @@ def _texts(part: Slice, begin: np.ndarray, m: int) -> pa.Array:
     )
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each distinct key stands first, the number of each key, how often each occurs."""
+    order = np.argsort(keys, kind="stable")
+    new = np.append(True, np.diff(keys[order]) != 0)
+    which = np.empty(len(keys), dtype=np.int64)
+    which[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    return order[first], which, np.diff(np.append(first, len(keys)))
+
+
 def _word_numbers(part: Slice) -> np.ndarray:
     """A number per word, equal where the words are."""
     array = _texts(part, np.arange(len(part.first)), 1)
@@ -159,7 +224,7 @@ def _exact(longest: int, shared):
             languages = batch.column(1).to_numpy(zero_copy_only=False)
             named = batch.column(0).dictionary_encode()
             lang = named.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            for i, j in slices(begins_all, SLICE_BYTES):
+            for i, j in _some(begins_all):
                 begins = begins_all[i : j + 1] - begins_all[i]
                 part = Slice(raw_all[begins_all[i] : begins_all[j]], begins)
                 if not len(part.doc):
@@ -184,9 +249,7 @@ def _exact(longest: int, shared):
                     here = here[_set(bits, next(grams)[here])]
                     if not len(here):
                         break
-                    _, one, which, n = np.unique(
-                        phrase[here], return_index=True, return_inverse=True, return_counts=True
-                    )
+                    one, which, n = _distinct(phrase[here])
                     yield pa.RecordBatch.from_arrays(
                         [
                             named.dictionary.take(pa.array(own[here[one]])),
@@ -233,29 +296,31 @@ def phrase_counts(
     )
     support = before = None
     levels = []
-    for m in range(1, longest + 1):
+    for level in (WORDS, PAIRS, LONGER)[: min(longest, 3)]:
         counted = (
-            dealt.mapInArrow(_level(m, before), "shard long, language long, gram long, n long")
+            dealt.mapInArrow(
+                _mine(level, longest, before), "shard long, language long, gram long, n long"
+            )
             .groupBy("shard", "language", "gram")
             .agg(F.sum("n").alias("n"))
         )
-        if m == 1:
+        if level == WORDS:
             counted = stored(counted, "words")
             words_of = counted.filter("gram IS NULL")
             all_words = words_of.groupBy("language").agg(F.sum("n").alias("all"))
-            support = words_of.join(all_words, "language").select(
-                "shard", "language",
-                F.expr(f"({least} * n + all - 1) div all").alias("support"),
+            support = stored(
+                words_of.join(all_words, "language").select(
+                    "shard", "language", F.expr(f"({least} * n + all - 1) div all").alias("support")
+                ),
+                "support",
             )
-            support = stored(support, "support")
             counted = counted.filter("gram IS NOT NULL")
         frequent = (
             counted.join(support, ["shard", "language"]).filter("n >= support").select("shard", "gram")
         )
-        levels.append(stored(frequent, f"level{m}"))
+        levels.append(stored(frequent, f"level{level}"))
         spot = F.col("gram").bitwiseXOR(F.col("shard") * F.lit(_SHARD)).bitwiseAND(mask)
-        if m < longest:
-            before = _bitmap(levels[-1].select(spot.alias("spot")), bits)
+        before = _bitmap(levels[-1].select(spot.alias("spot")), bits)
     union = levels[0]
     for level in levels[1:]:
         union = union.union(level)
