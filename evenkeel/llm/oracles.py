@@ -24,10 +24,10 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '')
                    '[\\x20\\x09-\\x0D]+', ' ', 'g'))) AS k
           FROM l WHERE regexp_matches(line, '{WORDS}')),
  dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM ll GROUP BY r),
- sk AS (SELECT r, min(k) AS sketch FROM ll GROUP BY r),
- host AS (SELECT source, count(DISTINCT sketch) AS docs FROM d JOIN sk USING (r) GROUP BY source),
- freq AS (SELECT source, k FROM (SELECT source, k, count(DISTINCT sketch) AS n
-            FROM d JOIN ll USING (r) JOIN sk USING (r) GROUP BY source, k) f
+ ls AS (SELECT r, list_sort(list(DISTINCT k)) AS line_set FROM ll GROUP BY r),
+ host AS (SELECT source, count(DISTINCT line_set) AS docs FROM d JOIN ls USING (r) GROUP BY source),
+ freq AS (SELECT source, k FROM (SELECT source, k, count(DISTINCT line_set) AS n
+            FROM d JOIN ll USING (r) JOIN ls USING (r) GROUP BY source, k) f
             JOIN host h USING (source)
            WHERE n > {LIMITS["min_documents"]} AND n > {LIMITS["max_share"]} * docs),
  gone AS (SELECT r, sum(n) AS gone FROM d JOIN ll USING (r) JOIN freq USING (source, k) GROUP BY r),
