@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from evenkeel.llm.common import new_path, stored
 
-FILE_BYTES = 16 << 20
+FILE_BYTES, READ_TASKS = 16 << 20, 10_000
 DATE = "20010203040506"
 FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
@@ -263,6 +263,7 @@ def _writer(folder: str, file_bytes: int):
 def archive_pages(pages: DataFrame, least: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write all pages as WARC files; path and records of each file."""
     folder = new_path(pages.sparkSession, "warc")
+    pafs.FileSystem.from_uri(folder)  # a store that pyarrow does not know is refused here
     rows = decisions(pages, least)
     return stored(rows.mapInArrow(_writer(folder, file_bytes), "path string, records long"), "manifest")
 
@@ -303,7 +304,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archives(manifest: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of all records; a reference is
     resolved through the record id of the response that it names."""
-    files = manifest.select("path").repartition(F.col("path"))
+    files = manifest.select("path").repartition(min(max(1, manifest.count()), READ_TASKS))
     records = stored(
         files.mapInArrow(
             _reader,
@@ -315,6 +316,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
     kept = records.filter("record_type = 'response'").select(
         F.col("record_id").alias("refers"), F.col("page_id").alias("refers_to")
     ).distinct()
-    return records.join(kept, "refers", "left").select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
-    )
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    revisits = records.filter("record_type = 'revisit'").join(kept, "refers", "left")
+    whole = records.filter("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long"))
+    return whole.select(*columns).union(revisits.select(*columns))

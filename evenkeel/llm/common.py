@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -18,14 +19,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares; one of our own only where none is named (tests)."""
+    """The folder that the cluster shares, with its scheme; one of our own only where none is named
+    and driver and tasks are one process (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
         named = spark.sparkContext.getCheckpointDir()
     if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="evenkeel-")
         spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(named)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    named = store.makeQualified(path).toString().rstrip("/")
+    return re.sub("^file:/+", "file:///", named)
 
 
 def new_path(spark: SparkSession, what: str) -> str:
