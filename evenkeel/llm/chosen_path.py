@@ -403,11 +403,11 @@ def _verdicts(
 
 
 def near_duplicates(documents: DataFrame, threshold: int = 85, **options) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per document."""
+    """doc_id, n_shingles, component_id, kept (doc_id = component_id): one row per document."""
     return _verdicts(documents, threshold, **options).select(
         key_doc_id(F.col("row")).alias("doc_id"), "n_shingles",
         key_doc_id(F.col("component")).alias("component_id"),
-        (F.col("row") == F.col("component")).alias("kept"),
+        key_doc_id(F.col("row")).eqNullSafe(key_doc_id(F.col("component"))).alias("kept"),
     )
 
 
