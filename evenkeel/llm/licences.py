@@ -102,7 +102,7 @@ TEMPLATES = {
 FAMILIES = ["none", *TEMPLATES]
 BITS = 15
 LONG, WIDTH, STEP = 40, 24, 8
-MOST, COPIES, EPOCHS = 4000, 160, 12
+MOST, FIT_CHARS, COPIES, EPOCHS = 4000, 4000, 160, 12
 SURE, ALIKE = 0.5, 0.6
 _GAP = np.ones(256, dtype=bool)
 _GAP[48:58] = _GAP[65:91] = _GAP[97:123] = _GAP[128:] = False
@@ -268,14 +268,15 @@ def _scan(model_of, sure: float, alike: float):
 
 
 def background(documents: DataFrame, most: int, seed: int) -> list[list[str]]:
-    """At most `most` paragraphs, one per document (a bounded, documented sample)."""
+    """At most `most` paragraphs, one per doc_id (a bounded, documented sample); of a line that is a
+    whole book the first `FIT_CHARS` characters."""
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
     pick = F.get(lines, F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.size(lines)).cast("int"))
     ids = documents.select("doc_id").filter("doc_id IS NOT NULL").distinct().orderBy(
         F.xxhash64("doc_id", F.lit(seed)), "doc_id"
     ).limit(most)
-    rows = documents.join(ids, "doc_id").select("doc_id", pick.alias("line"))
-    # one paragraph of a line that is a whole book is enough to learn from
+    line = F.substring(pick, 1, FIT_CHARS)
+    rows = documents.join(ids, "doc_id").groupBy("doc_id").agg(F.min(line).alias("line"))
     return [tokens(line)[:LONG] for _, line in sorted(tuple(r) for r in rows.collect())]
 
 

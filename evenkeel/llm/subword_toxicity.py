@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from evenkeel.llm import textkeys
 
 BITS, DIM, SHORT, LONG = 17, 4, 3, 6
-MOST = 6000
+MOST, FIT_CHARS = 6000, 200_000
 VISITS, EPOCHS, BATCH = 60_000, 60, 32
 RATE, SCALE = 3.0, 50.0
 RARE = 1e-3
@@ -180,13 +180,16 @@ def _scorer(model_of):
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, most: int, seed: int) -> list:
-    """At most `most` labelled texts outside the held-out fold (a bounded, documented sample)."""
+    """At most `most` labelled texts outside the held-out fold (a bounded, documented sample): one text
+    of a doc_id, and none of more than `FIT_CHARS` characters."""
     marked = labels.filter(
         F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
     ).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = marked.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most)
-    rows = documents.select(F.col("doc_id"), "text").join(chosen, "doc_id")
-    found = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = documents.select("doc_id", text.alias("text")).filter(F.length("text") <= FIT_CHARS)
+    found = rows.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    found = found.select("doc_id", "text", "toxic")
     return sorted(tuple(r) for r in found.collect())
 
 
