@@ -32,8 +32,8 @@ from evenkeel.llm.textkeys import Powers, mix, prefix_sums, slices, string_hash,
 
 LEAST, LONGEST, SHARDS, TOP = 100, 5, 4, 2000
 BITS = 27
-SLICE_BYTES, SLICE_DOCUMENTS = 3 << 20, 4096
-HELD = 1_500_000  # counts that a task holds before it hands them on
+SLICE_BYTES, SLICE_DOCUMENTS = 1 << 20, 4096
+HELD = 1_000_000  # counts that a task holds before it hands them on
 _SHARD = 0x5851F42D4C95  # sets the bits of a phrase in one shard apart from those in another
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -213,12 +213,37 @@ def _word_numbers(part: Slice) -> np.ndarray:
     return array.dictionary_encode().indices.to_numpy().astype(np.int64)
 
 
+class Texts:
+    """Counts of phrases by their texts, added up before a task hands them on."""
+
+    names = ["lang", "n_words", "phrase", "n"]
+
+    def __init__(self) -> None:
+        self.parts: list[pa.Table] = []
+        self.held = 0
+
+    def add(self, lang: pa.Array, m: int, phrase: pa.Array, n: np.ndarray) -> None:
+        columns = [lang, pa.array(np.full(len(n), m, dtype=np.int32)), phrase, pa.array(n, pa.int64())]
+        self.parts.append(pa.Table.from_arrays(columns, self.names))
+        self.held += len(n)
+
+    def handed_on(self, most: int) -> Iterator[pa.RecordBatch]:
+        """Nothing while no more than `most` counts are held; added up they may be few again."""
+        if self.held <= most:
+            return
+        whole = pa.concat_tables(self.parts).group_by(self.names[:3], use_threads=False).aggregate([("n", "sum")])
+        whole = whole.rename_columns(self.names)
+        self.parts, self.held = [whole], len(whole)
+        if self.held > most // 2:
+            yield from whole.to_batches(max_chunksize=1 << 16)
+            self.parts, self.held = [], 0
+
+
 def _exact(longest: int, shared):
     """Rows lang, n_words, phrase, n of all candidates, and the number of words (n_words 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, bits = Powers(), np.frombuffer(shared.value, dtype=np.uint8)
-        names = ["lang", "n_words", "phrase", "n"]
+        powers, bits, counts = Powers(), np.frombuffer(shared.value, dtype=np.uint8), Texts()
         for batch in batches:
             raw_all, begins_all = text_bytes(batch.column(2))
             languages = batch.column(1).to_numpy(zero_copy_only=False)
@@ -232,13 +257,7 @@ def _exact(longest: int, shared):
                 own = lang[i:j][part.doc]
                 count = np.bincount(own)
                 some = np.flatnonzero(count)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        named.dictionary.take(pa.array(some)), pa.array([0] * len(some), pa.int32()),
-                        pa.array([""] * len(some)), pa.array(count[some], pa.int64()),
-                    ],
-                    names,
-                )
+                counts.add(named.dictionary.take(pa.array(some)), 0, pa.array([""] * len(some)), count[some])
                 number = _word_numbers(part)
                 size = int(number.max()) + 1
                 grams = part.grams(powers, languages[i:j])
@@ -250,21 +269,16 @@ def _exact(longest: int, shared):
                     if not len(here):
                         break
                     one, which, n = _distinct(phrase[here])
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            named.dictionary.take(pa.array(own[here[one]])),
-                            pa.array([m] * len(one), pa.int32()),
-                            _texts(part, here[one], m),
-                            pa.array(n, pa.int64()),
-                        ],
-                        names,
-                    )
+                    langs = named.dictionary.take(pa.array(own[here[one]]))
+                    counts.add(langs, m, _texts(part, here[one], m), n)
                     longer = np.full(len(phrase) + 1, -1, dtype=np.int64)
                     longer[here] = which
                     go_on = (part.left[here] > m) & (longer[here + 1] >= 0)
                     here = here[go_on]
                     phrase = np.full(len(phrase), -1, dtype=np.int64)
                     phrase[here] = longer[here] * size + number[here + m]
+                yield from counts.handed_on(HELD)
+        yield from counts.handed_on(0)
 
     return run
 
