@@ -5,7 +5,8 @@ share of the language's words.  So documents are dealt into `SHARDS` shards by h
 is mined completely at that local support: its words, then pairs of words that are both frequent in the
 shard, then longer phrases all of whose pairs are.  Tasks count what they read and a shuffle adds up;
 no task holds a shard, so a few shards do, and the local support stays well above one.  The union of
-what is frequent somewhere is the candidate set, and a last scan counts all candidates in all
+what is frequent somewhere is the candidate set, but for phrases whose local counts, with one less than
+the support in every other shard, cannot add up to `least`.  A last scan counts all candidates in all
 documents exactly, by their texts.
 
 What a scan has to know of the level before travels as a bitmap of hashed phrases, `BITS` bits
@@ -329,16 +330,19 @@ def phrase_counts(
                 "support",
             )
             counted = counted.filter("gram IS NOT NULL")
-        frequent = (
-            counted.join(support, ["shard", "language"]).filter("n >= support").select("shard", "gram")
-        )
+        frequent = counted.join(support, ["shard", "language"]).filter("n >= support")
         levels.append(stored(frequent, f"level{level}"))
         spot = F.col("gram").bitwiseXOR(F.col("shard") * F.lit(_SHARD)).bitwiseAND(mask)
         before = _bitmap(levels[-1].select(spot.alias("spot")), bits)
     union = levels[0]
     for level in levels[1:]:
         union = union.union(level)
-    candidates = _bitmap(union.select(F.col("gram").bitwiseAND(mask).alias("spot")), bits)
+    elsewhere = support.groupBy("language").agg(F.sum(F.col("support") - 1).alias("elsewhere"))
+    able = (
+        union.groupBy("language", "gram").agg(F.sum(F.col("n") - F.col("support") + 1).alias("more"))
+        .join(elsewhere, "language").filter(F.col("more") + F.col("elsewhere") >= least)
+    )
+    candidates = _bitmap(able.select(F.col("gram").bitwiseAND(mask).alias("spot")), bits)
     return (
         documents.select(lang.alias("lang"), F.xxhash64(lang).alias("language"), "text")
         .mapInArrow(_exact(longest, candidates), "lang string, n_words int, phrase string, n long")
