@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from evenkeel import fixed_values as fv
 from evenkeel.suite import fixtures as fx
 
@@ -236,6 +238,32 @@ add("key_candidates", "SELECT *, row_count = distinct_keys AND null_keys = 0 AS
             ("lineitem", ["l_orderkey"]), ("lineitem", ["l_orderkey", "l_linenumber"]),
             ("lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]),
             (ACTIVE + " x", ["o_orderkey"]), (ACTIVE + " x", ["o_orderstatus"]))) + ") c")
+
+
+def minimal_keys(table: str, columns: list[str]) -> str:
+    """Every single column, pair and triple is counted; sets with a key inside are left out."""
+    sets = [s for n in (1, 2, 3) for s in combinations(columns, n)]
+    rows = " UNION ALL ".join(
+        f"SELECT {list(s)} AS s, count(DISTINCT ({', '.join(s)})) AS n, count(*) AS rows, "
+        f"count_if({' OR '.join(f'{c} IS NULL' for c in s)}) AS nulls FROM {table}" for s in sets)
+    return f"""
+SELECT array_to_string(k.s, ',') AS candidate, CAST(len(k.s) AS INT) AS n_columns,
+       k.rows AS row_count, '{table}' AS "table"
+  FROM {table}_keys k WHERE NOT EXISTS (
+    FROM {table}_keys o WHERE len(o.s) < len(k.s) AND list_has_all(k.s, o.s))""", f"""
+{table}_keys AS (SELECT * FROM ({rows}) x WHERE n = rows AND nulls = 0 AND rows > 0)"""
+
+
+KEYED = [minimal_keys(t, c) for t, c in {
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+                 "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
+                 "l_shipdate"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
+               "o_orderpriority"],
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+    "labels": ["doc_id", "quality", "toxic"],
+}.items()]
+add("key_discovery", "WITH " + ",".join(w for _, w in KEYED) + " UNION ALL ".join(q for q, _ in KEYED))
 add("business_checks", f"""
 SELECT 'price_positive' AS check_name, 'error' AS severity, 'o_totalprice' AS columns,
        count(*) FILTER (WHERE NOT O_TOTALPRICE > 100000) AS failed_rows,

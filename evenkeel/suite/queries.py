@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from evenkeel.functions import names as nm, normalise as nz
 from evenkeel.functions.rounding import round_even
 from evenkeel.operators import (
-    classify, coverage, matching, metrics, policy, presence, projection, reconcile, usage,
+    classify, coverage, keys, matching, metrics, policy, presence, projection, reconcile, usage,
     windows,
 )
 from evenkeel.plans import checks, mapping as plan, runs
@@ -317,6 +317,16 @@ def key_candidates(spark, d):
     ))
 
 
+@query
+def key_discovery(spark, d):
+    """Single and composite keys that nobody names."""
+    found = None
+    for name in ("lineitem", "orders", "customer", "labels"):
+        one = keys.discover_keys(fx.read(spark, d, name)).withColumn("table", F.lit(name))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 @query
 def business_checks(spark, d):
     checks = [
