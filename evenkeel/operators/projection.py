@@ -92,9 +92,11 @@ def pair_columns(
 ) -> list[ColumnPair]:
     """Pair the columns of two tables by configured name, name, then name key.
 
-    The rule follows the wider of the two Spark types unless ``rules`` names one; two decimals are
-    compared to the larger declared scale (two places at least) unless ``decimal_places`` says
-    otherwise for a source column.  :func:`uncompared_columns` lists what found no partner.
+    The rule follows the wider of the two Spark types unless ``rules`` names one; decimals are
+    compared to the larger declared scale (two places at least), with floats too, unless
+    ``decimal_places`` says otherwise for a source column.  Two floats are compared to two places.
+    A target column has one partner, unless ``renamed`` gives it more: names come before name keys,
+    then the first column.  :func:`uncompared_columns` lists what found no partner.
     """
     places = {k.upper(): v for k, v in (decimal_places or {}).items()}
     renamed = {k.upper(): v.upper() for k, v in (renamed or {}).items()}
@@ -104,16 +106,23 @@ def pair_columns(
     by_key: dict[str, T.StructField] = {}
     for f in target.schema.fields:
         by_key.setdefault(_key(f.name), f)
+    mine = [f for f in source.schema.fields if f.name.lower() not in unwanted]
+    partners = {
+        f.name: by_name.get(renamed.get(f.name.upper(), "")) or by_name.get(f.name.upper())
+        for f in mine
+    }
+    taken = {other.name for other in partners.values() if other is not None}
     pairs = []
-    for f in source.schema.fields:
-        if f.name.lower() in unwanted:
-            continue
+    for f in mine:
         upper = f.name.upper()
-        other = (
-            by_name.get(renamed.get(upper, "")) or by_name.get(upper) or by_key.get(_key(f.name))
-        )
+        other = partners[f.name]
+        if other is None:
+            other = by_key.get(_key(f.name))
+            if other is not None and other.name in taken:
+                continue
         if other is None or other.name.lower() in unwanted:
             continue
+        taken.add(other.name)
         rule = rules.get(upper) or common_rule(f.dataType, other.dataType)
         if upper in places and rule.partition(":")[0] == "numeric":
             rule = f"numeric:{places[upper]}"
@@ -132,8 +141,18 @@ def uncompared_columns(
     unwanted = {n.lower() for n in excluded}
     used = {"source": {p.source for p in pairs}, "target": {p.target for p in pairs}}
     other = {"source": "target", "target": "source"}
+    by_key = {_key(p.target): p for p in reversed(pairs)}
+
+    def reason(side: str, c: str) -> str:
+        if c.lower() in unwanted:
+            return "excluded"
+        rival = by_key.get(_key(c)) if side == "source" else None
+        if rival is not None:
+            return f"its partner {rival.target} is compared with {rival.source}"
+        return f"no partner in {other[side]}"
+
     return [
-        (side, c, "excluded" if c.lower() in unwanted else f"no partner in {other[side]}")
+        (side, c, reason(side, c))
         for side, frame in (("source", source), ("target", target))
         for c in frame.columns
         if c not in used[side]
@@ -147,8 +166,8 @@ def _key(name: str) -> str:
 def common_rule(a: T.DataType, b: T.DataType) -> str:
     """Rule for two native types; types that render differently meet in the richer rule."""
     first, second = native_rule(a), native_rule(b)
-    # a float has no declared scale
-    exact = all(isinstance(t, (T.DecimalType, T.IntegralType)) for t in (a, b))
+    # a float has no declared scale: the decimal that it is compared with decides
+    exact = all(isinstance(t, T.NumericType) for t in (a, b))
     scale = max(t.scale if isinstance(t, T.DecimalType) else 0 for t in (a, b))
     if exact and scale > fv.DECIMAL_PLACES:
         return f"numeric:{scale}"

@@ -38,6 +38,9 @@ def ledger(
     key occurs once per side and the stored values are not the same already; a value is
     rendered only there, and columns of one type travel through the shuffle as they are stored.
     ``strict_nulls`` keeps NULL apart from text that happens to equal the NULL token.
+
+    Two tables that are bucketed alike by whole-number keys of one type
+    (:func:`evenkeel.sources.layout.co_located`) are compared where they lie, without a shuffle.
     """
     book = book or RuleBook()
     wanted = {k.upper() for k in keys}
@@ -59,7 +62,9 @@ def ledger(
 
     def key(p: ColumnPair, side: str) -> Column:
         if _whole_number(p, s_types[p.source], t_types[p.target]):
-            return quoted(p.source if side == "source" else p.target).cast("long")
+            name = quoted(p.source if side == "source" else p.target)
+            # as it is stored, a declared layout by the key spares the shuffle
+            return name if s_types[p.source] == t_types[p.target] else name.cast("long")
         return text(p, side)
 
     def value(p: ColumnPair, side: str) -> Column:
@@ -284,7 +289,7 @@ def key_ledger(
 
     def rendered(name: str, own: T.DataType, other: T.DataType, ordered: tuple) -> Column:
         if isinstance(own, T.IntegralType) and isinstance(other, T.IntegralType):
-            return quoted(name).cast("long")
+            return quoted(name) if own == other else quoted(name).cast("long")
         if raw and own == other and _orderable(own):
             return quoted(name)
         return book.named(common_rule(*ordered)).apply(name, own)

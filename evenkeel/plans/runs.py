@@ -265,19 +265,20 @@ def status_counts(results: DataFrame) -> DataFrame:
 def skip_report(results: DataFrame, coverage: DataFrame, skips: DataFrame) -> DataFrame:
     """Per table: original and effective status, coverage and skips by verdict.
 
-    A table without a plan has UNKNOWN coverage, never full coverage.
+    Results that were promoted already (:func:`full_run`) keep the status from before.  A table without a plan has UNKNOWN coverage, never full coverage.
     """
     planned = coverage.select("table", "total_columns", "validated_columns", "coverage_pct")
     joined = results.join(planned, ["table"], "left").join(skips, ["table"], "left")
     known = F.col("total_columns").isNotNull()
     unjustified = F.coalesce("unjustified_skips", F.lit(0))
+    before = "original_status" if "original_status" in results.columns else "status"
 
     def count(name: str) -> Column:
         return F.when(known, F.coalesce(name, F.lit(0))).alias(name)
 
     return joined.select(
         "table",
-        F.col("status").alias("original_status"),
+        F.coalesce(before, "status").alias("original_status"),
         F.when((F.col("status") == "PASS") & (unjustified > 0), "FAIL")
         .otherwise(F.col("status"))
         .alias("effective_status"),

@@ -75,6 +75,16 @@ SELECT o_orderkey AS id, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 1 WHEN o_orderke
   FROM {orders}
 """
 
+# --- a decimal of four places against a float -----------------------------------------------------
+
+SCALE_SOURCE = """
+SELECT o_orderkey AS id, CAST((o_orderkey % 50) * 0.001 AS DECIMAL(10,4)) AS amount FROM {orders}
+"""
+SCALE_TARGET = """
+SELECT o_orderkey AS id, CAST(CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey % 50 + 3
+         ELSE o_orderkey % 50 END AS DOUBLE) / 1000 AS amount FROM {orders}
+"""
+
 # --- a run over tables of which one is missing ---------------------------------------------------
 
 RUN_SOURCES = """
