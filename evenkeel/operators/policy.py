@@ -35,6 +35,8 @@ class ExclusionPolicy:
     layers: list[tuple[str, str, Column, Column, tuple[str, ...], Column]] = field(
         default_factory=list
     )
+    # layer, pattern and reason of rules whose pattern the engine does not take
+    rejected: list[tuple[str, str, str]] = field(default_factory=list)
 
     @classmethod
     def default(cls) -> "ExclusionPolicy":
@@ -107,7 +109,7 @@ class ExclusionPolicy:
                         "database_specific", F.concat(F.lit(db + "."), "column_name"), here & hit,
                         sides, rule.get("reason", f"{db} specific exclusion"),
                     )
-                if _usable(rule.get("pattern")):
+                if self._usable("database_specific_pattern", rule.get("pattern")):
                     self._layer(
                         "database_specific_pattern", F.lit(rule["pattern"]),
                         here & _at_start(F.col("column_name"), rule["pattern"]), sides,
@@ -118,7 +120,9 @@ class ExclusionPolicy:
         for category, rule in categories.items():
             if category == "description" or not rule.get("enabled", False):
                 continue
-            for pattern in filter(_usable, rule.get("patterns", [])):
+            for pattern in rule.get("patterns", []):
+                if not self._usable("compliance", pattern):
+                    continue
                 self._layer(
                     "compliance", F.lit(category), F.col("column_name").rlike(f"(?i){pattern}"),
                     rule.get("applies_to", BOTH), rule.get("reason", f"{category} compliance"),
@@ -126,7 +130,7 @@ class ExclusionPolicy:
 
     def _add_patterns(self, patterns: list[dict]) -> None:
         for rule in patterns:
-            if _usable(rule.get("pattern")):
+            if self._usable("pattern", rule.get("pattern")):
                 self._layer(
                     "pattern", F.lit(rule["pattern"]),
                     _at_start(F.col("column_name"), rule["pattern"]),
@@ -142,16 +146,26 @@ class ExclusionPolicy:
             )
 
 
-def _usable(pattern: str | None) -> bool:
-    """Whether the engine that runs the pattern takes it; a rejected one is reported."""
-    if not pattern:
-        return False
-    try:
-        SparkSession.active().sql("SELECT '' RLIKE :p", args={"p": pattern}).collect()
-    except PySparkException as e:
-        warnings.warn(f"exclusion pattern {pattern!r} is left out: {_reason(e)}", stacklevel=2)
-        return False
-    return True
+    def _usable(self, layer: str, pattern: str | None) -> bool:
+        """Whether the engine that runs the pattern takes it; a rejected one is kept with the reason.
+
+        The pattern is folded as a constant while its query is planned, so no job runs.
+        """
+        if not pattern:
+            return False
+        try:
+            plan = SparkSession.active().sql("SELECT '' RLIKE :p AS hit", args={"p": pattern})
+            plan._jdf.queryExecution().optimizedPlan()
+        except PySparkException as e:
+            reason = _reason(e)
+            self.rejected.append((layer, pattern, reason))
+            warnings.warn(f"exclusion pattern {pattern!r} is left out: {reason}", stacklevel=2)
+            return False
+        return True
+
+    def rejected_rules(self, spark: SparkSession) -> DataFrame:
+        """layer, pattern, reason of the rules that were left out."""
+        return spark.createDataFrame(self.rejected, schema("layer string, pattern string, reason string"))
 
 
 def _reason(error: Exception) -> str:

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import (
-    DataFrame, Observation, SparkSession, Window, functions as F, types as T,
+    DataFrame, Observation, SparkSession, functions as F, types as T,
 )
 
+from evenkeel.operators.numbering import numbered
 from evenkeel.operators.windows import latest_per_key
 from evenkeel.schema import schema
 
@@ -87,14 +88,13 @@ def append_learned(corrections: DataFrame, path: str) -> None:
 def learned(spark: SparkSession, path: str) -> DataFrame:
     """Latest correction per (source, target) pair of the log, with a stable ``seq``.
 
-    ``seq`` orders the pairs by the time of their correction, then by names.  The window is over the
-    pairs that people have confirmed, one row each.
+    ``seq`` orders the pairs by the time of their correction, then by names.
     """
     log = _read_log(spark, path, LEARNED_SCHEMA)
     pair = [F.upper("source_column").alias("s_key"), F.upper("target_column").alias("t_key")]
     newest = latest_per_key(log.select("*", *pair), ["s_key", "t_key"], [F.desc("corrected_at")])
-    order = Window.orderBy(F.asc_nulls_first("corrected_at"), "s_key", "t_key")
-    return newest.withColumn("seq", F.row_number().over(order).cast("long")).drop("s_key", "t_key")
+    order = [F.asc_nulls_first("corrected_at"), F.asc("s_key"), F.asc("t_key")]
+    return numbered(newest, order).drop("s_key", "t_key")
 
 
 def upsert_learned(stored: DataFrame, corrections: DataFrame) -> DataFrame:

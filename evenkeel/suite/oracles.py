@@ -234,6 +234,22 @@ def candidate(shown: str, frame: str, key: str, columns: list[str]) -> str:
             f"ELSE 0 END) AS BIGINT) AS null_keys FROM {frame}")
 
 
+
+
+def all_within(table: str, columns: list[str]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS distinct_count, TRUE AS within_bound "
+        f"FROM {table}" for c in columns)
+
+
+add("distinct_count_approx", all_within("lineitem", [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+    "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]))
+add("distinct_sketches", all_within("orders", [
+    "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]))
+add("sketch_compare", """
+SELECT 'o_custkey' AS column_name, 'PASS' AS status UNION ALL SELECT 'o_orderstatus', 'PASS'
+UNION ALL SELECT 'o_orderkey', 'FAIL'""")
 add("key_candidates", "SELECT *, row_count = distinct_keys AND null_keys = 0 AS is_key FROM ("
     + " UNION ALL ".join(
         candidate(",".join(k), f, ", ".join(k), k) for f, k in (
@@ -622,6 +638,13 @@ add("learned_top_k", given(src=fx.SOURCE_CATALOG, l=fx.LEARNED) + f""",
           AS example_rank FROM sc WHERE score > 0)
 SELECT request_id, seq, source_column, target_column, CAST(score AS INT) AS score,
        CAST(example_rank AS INT) AS example_rank FROM rk WHERE example_rank <= 5""")
+add("row_numbers", """
+SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders""")
+add("learned_log", """
+SELECT row_number() OVER (ORDER BY max(o_orderkey)) AS seq,
+       's' || CAST(o_custkey % 97 AS VARCHAR) AS source_column,
+       'T' || CAST(o_custkey % 5 AS VARCHAR) AS target_column,
+       CAST(max(o_orderkey) AS VARCHAR) AS reason FROM orders GROUP BY o_custkey % 97, o_custkey % 5""")
 add("latest_per_key", """
 SELECT user_id, event_id, ts, event_type FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from evenkeel.functions import names as nm, normalise as nz
 from evenkeel.functions.rounding import round_even
 from evenkeel.operators import (
-    classify, coverage, keys, matching, metrics, policy, presence, projection, reconcile, usage,
-    windows,
+    classify, coverage, keys, matching, metrics, numbering, policy, presence, projection, reconcile, sketches,
+    usage, windows,
 )
 from evenkeel.plans import checks, mapping as plan, run_store, runs
 from evenkeel.plans.rules import RuleBook
@@ -236,13 +236,46 @@ def distinct_count_json(spark, d):
     )
 
 
+def _within_bound(estimates, exact, estimate, error):
+    """Per column: is the estimate within four standard errors of the exact count?"""
+    off = F.abs(F.col(estimate) - F.col("distinct_count"))
+    return estimates.join(exact, ["column_name"]).select(
+        "column_name", "distinct_count", (off <= 4 * error * F.col("distinct_count")).alias("within_bound")
+    )
+
+
 @query
 def distinct_count_approx(spark, d):
-    return metrics.distinct_count(
-        fx.read(spark, d, "lineitem"), ["l_orderkey", "l_returnflag"], approx=True
+    lines = fx.read(spark, d, "lineitem")
+    approx = metrics.distinct_count(lines, approx=True, rsd=0.02)
+    return _within_bound(
+        approx.withColumnRenamed("distinct_count", "estimate"), metrics.distinct_count(lines),
+        "estimate", 0.02,
     )
 
 
+@query
+def distinct_sketches(spark, d):
+    """Sketches stored per month of orders, in two sittings, merged and held against exact counts."""
+    path, orders = folders.new_folder(spark, "sketches"), _orders(spark, d)
+    monthly = orders.withColumn("month", F.date_format("o_orderdate", "yyyy-MM"))
+    for rows in (monthly.filter("month < '1995-01'"), monthly):
+        sketches.add_partitions(rows, orders.columns, "month", path)
+    merged = sketches.distinct_estimates(sketches.stored_sketches(spark, path))
+    return _within_bound(
+        merged, metrics.distinct_count(orders), "distinct_estimate", sketches.standard_error())
+
+
+@query
+def sketch_compare(spark, d):
+    """Both sides from sketches: the renamed key column agrees, the orphan keys show."""
+    names = {"CUSTOMER_KEY": "o_custkey", "O_ORDERKEY": "o_orderkey", "O_ORDERSTATUS": "o_orderstatus"}
+    source = sketches.column_sketches(_orders(spark, d), list(names.values()))
+    shifted = _orders_target(spark, d).withColumn("O_ORDERKEY", F.col("O_ORDERKEY") * 3 + 1)
+    target = sketches.column_sketches(shifted, list(names), renamed=names)
+    return sketches.compare_sketches(source, target).select("column_name", "status")
+
+
 def _min_max_sum(frame, extremes, sums):
     return metrics.column_metrics(frame, extremes=extremes, sums=sums).select(
         "column_name", "metric", F.col("value").cast("double").alias("value")
@@ -758,6 +791,35 @@ def learned_top_k(spark, d):
     return matching.relevant_examples(requests, fx.derive(spark, d, fx.LEARNED))
 
 
+@query
+def row_numbers(spark, d):
+    """Numbers over all orders by price, then key: no task holds more than a range of them."""
+    order = [F.desc("o_totalprice"), F.asc("o_orderkey")]
+    return numbering.numbered(_orders(spark, d), order, "place").select("o_orderkey", "place")
+
+
+@query
+def learned_log(spark, d):
+    """The learned log, written and read again: the latest correction of each pair, in their order."""
+    path = folders.new_folder(spark, "learned")
+    corrections = _corrections(spark, d)
+    sinks.append_learned(corrections, path)
+    return sinks.learned(spark, path).select("seq", "source_column", "target_column", "reason")
+
+
+def _corrections(spark, d):
+    """One correction per order; orders of some customers correct the same pair."""
+    return _orders(spark, d).select(
+        F.concat(F.lit("s"), F.col("o_custkey") % 97).alias("source_column"),
+        F.concat(F.lit("T"), F.col("o_custkey") % 5).alias("target_column"),
+        F.lit("int").alias("source_type"), F.lit("NUMBER").alias("target_type"),
+        F.lit("integer").alias("correct_rule"), F.col("o_orderkey").cast("string").alias("reason"),
+        F.lit("orders").alias("table_name"),
+        (F.lit("2024-01-01").cast("timestamp_ntz")
+         + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("o_orderkey"))).alias("corrected_at"),
+    )
+
+
 @query
 def latest_per_key(spark, d):
     return windows.latest_per_key(
