@@ -61,3 +61,10 @@ def matches_any(c: Column, patterns: Sequence[str], at_start: bool = False) -> C
     """Regular expressions tried in one pass; ``at_start`` anchors them and ignores case."""
     joined = "|".join(f"(?:{p})" for p in patterns)
     return c.rlike(f"(?i)^(?:{joined})" if at_start else joined)
+
+
+def filled(template: str, **values: Column) -> Column:
+    """A text with ``{name}`` replaced by columns; NULL where one of them is."""
+    parts = re.split(r"\{(\w+)\}", template)
+    cells = [values[p].cast("string") if i % 2 else F.lit(p) for i, p in enumerate(parts) if p]
+    return F.concat(*cells)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from evenkeel import fixed_values as fv
-from evenkeel.functions.binding import first_row, let, rows_literal
+from evenkeel.functions.binding import filled, first_row, let, rows_literal
 from evenkeel.functions.rounding import round_even
 
 #: longest name whose bit vector fits a signed 64-bit integer without overflow
@@ -209,28 +209,18 @@ def confidence_reason(
     learned: Column,
 ) -> Column:
     """Explanation text made of name, type and learned-pair sentences."""
-    shown = round_even(name, 2).cast("string")
-
-    def names(template: str, joiner: str) -> Column:
-        return F.concat(
-            F.lit(template), F.lit(" ('"), source_key, F.lit(f"' {joiner} '"), target_key,
-            F.lit("', score "), shown, F.lit(")"),
-        )
-
+    values = {"source": source_key, "target": target_key, "score": round_even(name, 2)}
     name_part = (
-        F.when(
-            source_key == target_key,
-            F.concat(F.lit("normalized names are identical ('"), source_key, F.lit("')")),
-        )
-        .when(name >= 0.90, names("normalized names are very similar", "~"))
-        .when(name >= 0.75, names("normalized names are similar", "~"))
-        .otherwise(names("normalized name similarity is low", "vs"))
+        F.when(source_key == target_key, filled(fv.NAMES_IDENTICAL, **values))
+        .when(name >= 0.90, filled(fv.NAMES_VERY_SIMILAR, **values))
+        .when(name >= 0.75, filled(fv.NAMES_SIMILAR, **values))
+        .otherwise(filled(fv.NAMES_UNLIKE, **values))
     )
-    pair = F.concat(source_type, F.lit(" → "), target_type)
+    pair = filled("{source} → {target}", source=source_type, target=target_type)
     type_part = (
-        F.when(types >= 0.95, F.concat(pair, F.lit(" is a known compatible type pair")))
-        .when(types >= 0.75, F.concat(pair, F.lit(" is a known migration transformation")))
-        .otherwise(F.concat(F.lit("type pair "), pair, F.lit(" is not in the catalog")))
+        F.when(types >= 0.95, filled(fv.TYPES_COMPATIBLE, pair=pair))
+        .when(types >= 0.75, filled(fv.TYPES_MIGRATED, pair=pair))
+        .otherwise(filled(fv.TYPES_UNKNOWN, pair=pair))
     )
-    learned_part = F.when(learned >= 1.0, F.lit("a matching learned example exists"))
+    learned_part = F.when(learned >= 1.0, F.lit(fv.LEARNED_EXISTS))
     return F.concat(F.concat_ws(". ", name_part, type_part, learned_part), F.lit("."))

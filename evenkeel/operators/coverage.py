@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evenkeel import fixed_values as fv
+from evenkeel.functions.binding import filled
 from evenkeel.functions.rounding import round_even
 
 
@@ -130,41 +131,24 @@ def schema_health(coverage: DataFrame) -> DataFrame:
     rate = _percent(gone, F.col("total_columns"), None)
     low = F.col("overall_coverage") < fv.LOW_COVERAGE_PCT
 
-    def count(name: str) -> Column:
-        return F.col(name).cast("string")
-
-    def text(*parts: Column | str) -> Column:
-        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    def when(condition: Column, template: str, **values: Column) -> Column:
+        return F.when(condition, filled(template, **values))
 
+    source_only, target_only = F.col("source_only"), F.col("target_only")
+    audit, enrichment = F.col("audit_columns"), F.col("enrichment_columns")
+    total, overall = F.col("total_columns"), round_even(F.col("overall_coverage"), 1)
     warnings = [
-        F.when(low, text(
-            "Low coverage (", round_even(F.col("overall_coverage"), 1).cast("string"), "%) — Only ",
-            count("matched_columns"), " of ", count("total_columns"),
-            " total columns validated")),
-        F.when(F.col("target_only") > 0, text(
-            count("target_only"), " columns exist in target but not in source — "
-            "possible migration enrichment or schema drift")),
-        F.when(F.col("source_only") > 0, text(
-            count("source_only"), " columns exist in source but not in target — "
-            "possible dropped columns or incomplete migration")),
-        F.when(rate > fv.HIGH_EXCLUSION_PCT, text(
-            "High exclusion rate (", round_even(rate, 1).cast("string"), "%) — ",
-            gone.cast("string"), " of ", count("total_columns"), " columns excluded")),
+        when(low, fv.WARN_LOW_COVERAGE, pct=overall, matched=F.col("matched_columns"), total=total),
+        when(target_only > 0, fv.WARN_TARGET_ONLY, n=target_only),
+        when(source_only > 0, fv.WARN_SOURCE_ONLY, n=source_only),
+        when(rate > fv.HIGH_EXCLUSION_PCT, fv.WARN_HIGH_EXCLUSION, pct=round_even(rate, 1), n=gone, total=total),
     ]
     advice = [
-        F.when(F.col("audit_columns") > 0, text(
-            "Document ", count("audit_columns"),
-            " audit columns added during migration in your migration spec")),
-        F.when(F.col("enrichment_columns") > 0, text(
-            "Document ", count("enrichment_columns"),
-            " enrichment columns in your data transformation guide")),
-        F.when(F.col("target_only") > 0, text(
-            "Generate exclusion rules for the target-only columns of ", F.col("table"))),
-        F.when(F.col("source_only") > 0, text(
-            "Review ", count("source_only"),
-            " source-only columns — verify they should not be in target")),
-        F.when(low, F.lit(
-            "Increase coverage to at least 80% by mapping or excluding unmapped columns")),
+        when(audit > 0, fv.DOCUMENT_AUDIT, n=audit),
+        when(enrichment > 0, fv.DOCUMENT_ENRICHMENT, n=enrichment),
+        when(target_only > 0, fv.GENERATE_RULES, table=F.col("table")),
+        when(source_only > 0, fv.REVIEW_SOURCE_ONLY, n=source_only),
+        when(low, fv.RAISE_COVERAGE),
     ]
     return coverage.select(
         "table", "overall_coverage", low.alias("is_low"),

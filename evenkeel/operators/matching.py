@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from evenkeel import fixed_values as fv
 from evenkeel.functions import names as nm
+from evenkeel.functions.binding import filled
 from evenkeel.functions.rounding import round_even
 from evenkeel.operators.windows import top_per_key
 
@@ -301,12 +302,10 @@ def match_columns(
         "match_method", F.lit(0.0).alias("fuzzy_score"), F.lit(1.0).alias("confidence"),
         F.lit("resolved").alias("decision"), F.lit(False).alias("needs_review"),
         F.lit(False).alias("skip"), none.alias("skip_reason"),
-        F.concat(F.lit("matched by "), "match_method").alias("reason"),
+        filled(fv.MATCHED_BY, method=F.col("match_method")).alias("reason"),
     )
-    below = F.concat(
-        F.lit("Best fuzzy candidate score "),
-        round_even(F.col("confidence"), 2).cast("string"),
-        F.lit(f" below threshold {review:.2f}"),
+    below = filled(
+        fv.BELOW_THRESHOLD, score=round_even(F.col("confidence"), 2), least=F.lit(f"{review:.2f}")
     )
     fuzzy = scored.select(
         "table", "ordinal", "source_column", "source_type",
@@ -319,7 +318,7 @@ def match_columns(
         (accepted & (F.col("confidence") < high)).alias("needs_review"),
         (~accepted).alias("skip"),
         F.when(found & ~accepted, below)
-        .when(~found, F.lit("No fuzzy candidates found — column may not exist in target"))
+        .when(~found, F.lit(fv.NO_CANDIDATE))
         .alias("skip_reason"),
         F.when(found, F.col("reason")).alias("reason"),
     )
@@ -330,7 +329,7 @@ def match_columns(
         F.lit(0.0).alias("fuzzy_score"), F.lit(0.0).alias("confidence"),
         F.lit("resolved").alias("decision"), F.lit(False).alias("needs_review"),
         F.lit(True).alias("skip"),
-        F.lit("Fivetran metadata column — excluded from validation").alias("skip_reason"),
+        F.lit(fv.METADATA_COLUMN).alias("skip_reason"),
         none.alias("reason"),
     )
     return resolved.unionByName(fuzzy).unionByName(metadata)
@@ -359,8 +358,7 @@ def key_agreement(source: DataFrame, target: DataFrame) -> DataFrame:
         (F.col("source_key") == F.col("target_key")).alias("agrees"),
         F.when(
             F.col("source_key") != F.col("target_key"),
-            F.concat(F.lit("Source PK ["), "source_key", F.lit("] does not match target PK ["),
-                     "target_key", F.lit("]")),
+            filled(fv.KEYS_DIFFER, source=F.col("source_key"), target=F.col("target_key")),
         ).alias("mismatch_reason"),
     )
 

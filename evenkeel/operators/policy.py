@@ -9,7 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from evenkeel import fixed_values as fv
-from evenkeel.functions.binding import contains_any, let, matches_any
+from evenkeel.functions.binding import contains_any, filled, let, matches_any
 from evenkeel.schema import schema
 
 BOTH = ("source", "target")
@@ -307,12 +307,12 @@ def _verdict(facts: Column) -> Column:
         F.when(
             matches_any(name, fv.SKIP_METADATA_PATTERNS),
             verdict("fivetran_metadata", "JUSTIFIED",
-                    "Fivetran internal metadata column — not present in source"),
+                    fv.SKIP_METADATA),
         )
         .when(
             contains_any(reason, fv.SKIP_CONFIG_PHRASES),
             verdict("config_exclusion", "JUSTIFIED",
-                    F.concat(F.lit("Excluded by configuration — "), given)),
+                    filled(fv.SKIP_CONFIGURED, reason=given)),
         )
         .when(
             contains_any(reason, fv.SKIP_TYPE_PHRASES)
@@ -321,34 +321,29 @@ def _verdict(facts: Column) -> Column:
                 "type_incompatible", "JUSTIFIED",
                 F.when(
                     dtype != "",
-                    F.concat(F.lit("Data type '"), facts["shown_type"],
-                             F.lit("' cannot be compared cross-database")),
-                ).otherwise(F.concat(F.lit("Type incompatibility — "), given)),
+                    filled(fv.SKIP_TYPE, type=facts["shown_type"]),
+                ).otherwise(filled(fv.SKIP_TYPE_REASON, reason=given)),
             ),
         )
         .when(
             matches_any(name, fv.SKIP_AUDIT_PATTERNS),
-            verdict("audit_column", "JUSTIFIED",
-                    "Audit/ETL column added during migration or load process"),
+            verdict("audit_column", "JUSTIFIED", fv.SKIP_AUDIT),
         )
         .when(
             contains_any(reason, fv.SKIP_NO_TARGET_PHRASES),
-            verdict("no_target_match", "UNJUSTIFIED",
-                    "Column exists in SOURCE but has NO matching column in TARGET"),
+            verdict("no_target_match", "UNJUSTIFIED", fv.SKIP_NO_TARGET),
         )
         .when(
             contains_any(reason, fv.SKIP_NO_SOURCE_PHRASES),
-            verdict("no_source_match", "WARN_ONLY",
-                    "Column exists in TARGET only — added during migration or enrichment"),
+            verdict("no_source_match", "WARN_ONLY", fv.SKIP_NO_SOURCE),
         )
         .when(
             F.trim(given) == "",
-            verdict("unknown", "UNJUSTIFIED", "Column was skipped with NO documented reason"),
+            verdict("unknown", "UNJUSTIFIED", fv.SKIP_WITHOUT_REASON),
         )
         .otherwise(
             verdict("unknown", "UNJUSTIFIED",
-                    F.concat(F.lit("Skip reason '"), given,
-                             F.lit("' is not recognized as a valid justification"))),
+                    filled(fv.SKIP_UNRECOGNIZED, reason=given)),
         )
     )
 

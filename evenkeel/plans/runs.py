@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from evenkeel.operators.keys import common_key
 from evenkeel.operators.metrics import count_check
 from evenkeel.operators.policy import promote
 from evenkeel.operators.presence import presence_failures
@@ -50,6 +51,8 @@ class TableTask:
     window: tuple[str, str, object, object] | None = None
     validation_type: str = "data_validation"
     needs_keys: bool = False
+    # look for a key in the data where none is named
+    find_keys: bool = False
     source_type: str = "parquet"
     target_type: str = "parquet"
 
@@ -58,7 +61,7 @@ class TableTask:
         source = load(spark, self.source) if isinstance(self.source, dict) else self.source
         target = load(spark, self.target) if isinstance(self.target, dict) else self.target
         target = active_rows(target)
-        if self.needs_keys and not self.keys:
+        if self.needs_keys and not self.keys and not self.find_keys:
             raise ValueError("data validation needs a key")
         if self.load_type.strip().lower() == "incremental" and not self.window:
             raise ValueError("an incremental load needs a window")
@@ -87,8 +90,11 @@ def table_result(spark: SparkSession, task: TableTask) -> DataFrame:
     )
     if not pairs:
         raise ValueError("no column of the source has a partner in the target")
-    if task.keys:
-        found = diff_counts(ledger(source, target, pairs, task.keys))
+    keys = task.keys or (common_key(source, target, pairs) if task.find_keys else [])
+    if task.needs_keys and not keys:
+        raise ValueError("data validation needs a key, and none was found")
+    if keys:
+        found = diff_counts(ledger(source, target, pairs, keys))
     else:
         # rows that only one side holds, or holds more often
         found = same_rows(source, target, pairs).withColumnsRenamed(
@@ -99,7 +105,7 @@ def table_result(spark: SparkSession, task: TableTask) -> DataFrame:
         })
     left_out = uncompared_columns(source, target, pairs, task.excluded)
     columns |= {
-        "mode": F.lit("keyed" if task.keys else "multiset"),
+        "mode": F.lit("keyed" if keys else "multiset"),
         "compared_columns": F.lit(len(pairs)),
         "uncompared_columns": F.lit("; ".join(f"{s}.{c}: {why}" for s, c, why in left_out)),
     }

@@ -5,11 +5,11 @@ import random
 import uuid
 
 import pytest
-from pyspark.sql import types as T
+from pyspark.sql import functions as F, types as T
 
 from evenkeel.operators import keys, projection as pj, reconcile as rc
-from evenkeel.plans.runs import skip_report
-from evenkeel.sources import folders, layout
+from evenkeel.plans.runs import TableTask, skip_report, table_result
+from evenkeel.sources import catalog, folders, layout
 from evenkeel.suite import fixtures as fx
 from evenkeel.suite.queries import ORDER_KEY, _order_pairs, _orders, _orders_target
 
@@ -141,3 +141,33 @@ def test_skip_report_keeps_the_status_from_before(spark):
     got = {r["table"]: (r["original_status"], r["effective_status"])
            for r in skip_report(results, covered, skips).collect()}
     assert got == {"t": ("PASS", "FAIL"), "u": ("PASS", "PASS"), "v": ("FAIL", "FAIL")}
+
+
+def test_a_run_finds_the_key_that_nobody_names(spark):
+    orders = fx.read(spark, SF, "orders")
+    changed = orders.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 50 == 0, 1.0)
+                                .otherwise(F.col("o_totalprice")))
+    found = table_result(spark, TableTask("orders", orders, changed, find_keys=True, needs_keys=True)).first()
+    named = table_result(spark, TableTask("orders", orders, changed, ["o_orderkey"])).first()
+    assert found == named and found["mode"] == "keyed" and found["value_mismatches"] > 0
+    same = spark.createDataFrame([(1, 1)] * 3, "a int, b int")
+    assert table_result(spark, TableTask("t", same, same, find_keys=True)).first()["mode"] == "multiset"
+    with pytest.raises(ValueError, match="none was found"):
+        table_result(spark, TableTask("t", same, same, find_keys=True, needs_keys=True))
+
+
+def test_a_warehouse_is_cataloged_once(spark, tmp_path):
+    database = f"db_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {database} LOCATION 'file://{tmp_path}/{database}'")
+    for i in range(5):
+        spark.createDataFrame([(1, "x")], f"k{i} int, s string").write.saveAsTable(f"{database}.t{i}")
+    known = {}
+    found = catalog.warehouse_catalog(spark, database, "source", known=known)
+    assert sorted((r["table"], r["name"]) for r in found.collect()) == sorted(
+        (f"t{i}", c) for i in range(5) for c in (f"k{i}", "s"))
+    known[database, "t0"] = T.StructType([T.StructField("kept", T.LongType())])
+    again = catalog.warehouse_catalog(spark, database, "source", known=known)
+    assert "kept" in {r["name"] for r in again.collect()}
+    catalog.forget(known, database, "t0")
+    assert catalog.warehouse_catalog(spark, database, "source", known=known).count() == 10
+    spark.sql(f"DROP DATABASE {database} CASCADE")
