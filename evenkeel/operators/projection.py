@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from evenkeel import fixed_values as fv
 from evenkeel.functions import normalise as nz
-from evenkeel.plans.rules import RuleBook, native_rule
+from evenkeel.plans.rules import BY_NAME, RuleBook, name_kind, native_rule
 
 
 def clean_headers(frame: DataFrame) -> DataFrame:
@@ -89,6 +89,7 @@ def pair_columns(
     excluded: Iterable[str] = (),
     rules: dict[str, str] | None = None,
     decimal_places: dict[str, int] | None = None,
+    by_contents: bool = False,
 ) -> list[ColumnPair]:
     """Pair the columns of two tables by configured name, name, then name key.
 
@@ -96,7 +97,9 @@ def pair_columns(
     compared to the larger declared scale (two places at least), with floats too, unless
     ``decimal_places`` says otherwise for a source column.  Two floats are compared to two places.
     A target column has one partner, unless ``renamed`` gives it more: names come before name keys,
-    then the first column.  :func:`uncompared_columns` lists what found no partner.
+    then the first column.  With ``by_contents``, text columns whose source name speaks of JSON or
+    hstore are compared by their canonical contents.  :func:`uncompared_columns` lists what found no
+    partner.
     """
     places = {k.upper(): v for k, v in (decimal_places or {}).items()}
     renamed = {k.upper(): v.upper() for k, v in (renamed or {}).items()}
@@ -124,6 +127,8 @@ def pair_columns(
             continue
         taken.add(other.name)
         rule = rules.get(upper) or common_rule(f.dataType, other.dataType)
+        if by_contents and rule == "text" and upper not in rules and name_kind(f.name):
+            rule = f"{BY_NAME}:{name_kind(f.name)}"
         if upper in places and rule.partition(":")[0] == "numeric":
             rule = f"numeric:{places[upper]}"
         pairs.append(ColumnPair(f.name, other.name, rule))

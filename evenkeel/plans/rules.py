@@ -43,6 +43,7 @@ class Rule:
         return self.render(F.col(path), dtype)
 
 
+BY_NAME, NAME_KINDS = "by_name", ("json", "hstore")
 _RENDER: dict[str, Render] = {
     "boolean": lambda c, t: nz.boolean(c),
     "numeric": lambda c, t: nz.numeric(c),  # other scales: decimal_rule
@@ -94,8 +95,11 @@ class RuleBook:
         return kept._insert(Rule(name, tuple(pairs), template=template), before)
 
     def named(self, name: str) -> Rule:
-        """A rule by name; ``numeric:4`` is the numeric rule with four decimal places."""
+        """A rule by name; ``numeric:4`` is the numeric rule with four decimal places,
+        ``by_name:json`` the canonical text that such a column name asks for."""
         base, _, places = name.partition(":")
+        if base == BY_NAME:
+            return name_rule(places)
         rule = next(r for r in self.rules if r.name == base)
         if not places:
             return rule
@@ -126,6 +130,19 @@ class RuleBook:
         return F.coalesce(rule, F.lit("text"))
 
 
+def name_kind(column_name: str) -> str | None:
+    """What the name of a text column says about its contents."""
+    lowered = column_name.lower()
+    return next((kind for kind in NAME_KINDS if kind in lowered), None)
+
+
+def name_rule(kind: str) -> Rule:
+    """Canonical text by column name: sorted JSON, or ``"k"=>"v"`` pairs as such; else as it is."""
+    if kind not in NAME_KINDS:
+        raise ValueError(f"{BY_NAME} takes one of {NAME_KINDS}, not {kind!r}")
+    return Rule(f"{BY_NAME}:{kind}", (), lambda c, t: nz.by_column_name(c, kind))
+
+
 def decimal_rule(places: int, pairs: tuple[tuple[str, str], ...] = ()) -> Rule:
     """The numeric rule with its own number of decimal places."""
     if not 0 <= places <= 38:

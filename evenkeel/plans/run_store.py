@@ -112,7 +112,7 @@ class _Limit:
 def _keep_mismatches(store: RunStore, task: TableTask) -> None:
     source, target = task.sides(store.spark)
     pairs = pair_columns(
-        source, target, task.renamed, task.excluded, task.rules, task.decimal_places
+        source, target, task.renamed, task.excluded, task.rules, task.decimal_places, task.by_contents
     )
     found = row_diff(ledger(source, target, pairs, task.keys), task.keys)
     found.write.mode("overwrite").parquet(store.of("mismatches", task))

@@ -53,6 +53,8 @@ class TableTask:
     needs_keys: bool = False
     # look for a key in the data where none is named
     find_keys: bool = False
+    # compare text columns that are named for JSON or hstore by their contents
+    by_contents: bool = False
     source_type: str = "parquet"
     target_type: str = "parquet"
 
@@ -86,7 +88,7 @@ def table_result(spark: SparkSession, task: TableTask) -> DataFrame:
         columns["mode"] = F.lit("count")
         return _fit(found.withColumns(columns), RESULT_SCHEMA)
     pairs = pair_columns(
-        source, target, task.renamed, task.excluded, task.rules, task.decimal_places
+        source, target, task.renamed, task.excluded, task.rules, task.decimal_places, task.by_contents
     )
     if not pairs:
         raise ValueError("no column of the source has a partner in the target")

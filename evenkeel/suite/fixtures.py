@@ -75,6 +75,25 @@ SELECT o_orderkey AS id, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 1 WHEN o_orderke
   FROM {orders}
 """
 
+# --- the same contents in another spelling, but for every tenth customer ------------------------------
+
+NAMED_SOURCE = """
+SELECT c_custkey, replace('{{~b~: ' || CAST(c_nationkey AS STRING) || ', ~a~: [1,  2]}}', '~', chr(34))
+         AS doc_json,
+       replace('~seg~ => ~' || c_mktsegment || '~, ~name~=>~x~', '~', chr(34)) AS tags_hstore,
+       replace('{{~b~: 1, ~a~: 2}}', '~', chr(34)) AS plain_text
+  FROM {customer}
+"""
+NAMED_TARGET = """
+SELECT c_custkey AS C_CUSTKEY,
+       replace('{{~a~:[1,2],~b~:' || CAST(CASE WHEN c_custkey % 10 = 0 THEN 99 ELSE c_nationkey END
+         AS STRING) || '}}', '~', chr(34)) AS DOC_JSON,
+       replace('~name~=>~x~, ~seg~=>~' || CASE WHEN c_custkey % 15 = 0 THEN 'none' ELSE c_mktsegment END
+         || '~', '~', chr(34)) AS TAGS_HSTORE,
+       replace('{{~a~: 2, ~b~: 1}}', '~', chr(34)) AS PLAIN_TEXT
+  FROM {customer}
+"""
+
 # --- a decimal of four places against a float -----------------------------------------------------
 
 SCALE_SOURCE = """

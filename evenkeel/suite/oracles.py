@@ -336,6 +336,10 @@ UNION ALL
 SELECT (SELECT count(*) FROM (SELECT * FROM lineitem EXCEPT ALL SELECT * FROM lineitem) x),
        CAST(0 AS BIGINT), 'PASS', 'lineitem'""")
 
+add("named_contents_diff", """
+SELECT 'doc_json' AS column_name, count(*) AS mismatches FROM customer WHERE c_custkey % 10 = 0
+UNION ALL SELECT 'tags_hstore', count(*) FROM customer WHERE c_custkey % 15 = 0
+UNION ALL SELECT 'plain_text', count(*) FROM customer""")
 add("mixed_scale_diff", """
 SELECT CAST(o_orderkey AS VARCHAR) AS id, 'amount' AS column_name,
        CAST(CAST((o_orderkey % 50) * 0.001 AS DECIMAL(10,4)) AS VARCHAR) AS source_value,

@@ -199,6 +199,15 @@ def mixed_scale_diff(spark, d):
     return reconcile.cell_diff(reconcile.ledger(source, target, pairs, ["id"]), ["id"])
 
 
+@query
+def named_contents_diff(spark, d):
+    """Text columns named for JSON or hstore are compared by their contents, other text as it is."""
+    source, target = fx.derive(spark, d, fx.NAMED_SOURCE), fx.derive(spark, d, fx.NAMED_TARGET)
+    pairs = projection.pair_columns(source, target, by_contents=True)
+    book = reconcile.ledger(source, target, pairs, ["c_custkey"])
+    return reconcile.mismatches_per_column(book)
+
+
 @query
 def missing_rows_mixed_types(spark, d):
     """Keys of different types meet by value: DECIMAL and DOUBLE against BIGINT."""

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from evenkeel.operators import keys, projection as pj, reconcile as rc
+from evenkeel.plans.rules import RuleBook
 from evenkeel.plans.runs import TableTask, skip_report, table_result
 from evenkeel.sources import catalog, folders, layout
 from evenkeel.suite import fixtures as fx
@@ -171,3 +172,16 @@ def test_a_warehouse_is_cataloged_once(spark, tmp_path):
     catalog.forget(known, database, "t0")
     assert catalog.warehouse_catalog(spark, database, "source", known=known).count() == 10
     spark.sql(f"DROP DATABASE {database} CASCADE")
+
+
+def test_names_decide_on_contents_when_asked(spark):
+    a = spark.createDataFrame([(1, '{"x": 1, "y": 2}', "c  d")], "k int, my_Json string, note string")
+    b = spark.createDataFrame([(1, '{"y":2,"x":1}', "c  d")], "k int, MY_JSON string, note string")
+    for by_contents, status in ((True, "PASS"), (False, "FAIL")):
+        found = table_result(spark, TableTask("t", a, b, ["k"], by_contents=by_contents)).first()
+        assert found["status"] == status
+    assert [p.rule for p in pj.pair_columns(a, b, by_contents=True)] == ["integer", "by_name:json", "text"]
+    kept = pj.pair_columns(a, b, rules={"my_json": "text"}, by_contents=True)
+    assert [p.rule for p in kept] == ["integer", "text", "text"]
+    with pytest.raises(ValueError):
+        RuleBook().named("by_name:xml")
