@@ -7,7 +7,8 @@ network permutes the smallest square power-of-two domain that holds n; a value t
 number and the seed alone, counts differ by one at most, and slots have no gaps.
 
 Law: `rows`.  Equal texts are not kept together, because counts one apart do not allow it.
-Only narrow rows are sorted.  Their order is stored once, because row numbers need the size of
+`shard` sorts narrow rows only; `sharded_documents` (the pipeline's stage) sorts whole documents, once.  The
+order is stored once, because row numbers need the size of
 each sorted partition first, and a second sort could cut the ranges elsewhere.
 
 Null doc_ids come first; a null text has size 1 and checksum 0.  Rows that agree in doc_id,
