@@ -27,7 +27,7 @@ HEADLINE = [
     "normalised_projection", "normalise_json", "fuzzy_top_n", "match_decisions",
     "schema_presence", "exclusions", "table_presence", "match_tables", "learned_top_k",
     "column_coverage", "usage_cost", "batch_run", "keyless_validation", "full_run",
-    "suggest_targets",
+    "suggest_targets", "co_located_diff_orders", "distinct_sketches",
 ]
 
 
