@@ -18,7 +18,8 @@ def sides(spark):
          ("6", "f", "6"), (None, "n", "0")],
         "ID string, NAME string, AMOUNT string",
     ).select(F.trim("ID").cast("bigint").alias("ID"), "NAME",
-             F.col("AMOUNT").cast("decimal(10,3)").alias("AMOUNT"))
+             # two declared places: a third one would count, also against a float
+             F.col("AMOUNT").cast("decimal(10,2)").alias("AMOUNT"))
     return source, target
 
 
