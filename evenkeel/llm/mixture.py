@@ -21,6 +21,10 @@ bucket sums and a sum within a bucket, so no task holds a whole source.
 Null text and texts without words have size 0: never taken.  A null source is a source and comes
 last.  Rows that repeat count as often as they occur.  Empty tables give empty results.  Other
 columns travel inside one struct.
+
+Words are counted once: what is known of a row without its text goes to the shared folder, and all
+but the mixed texts themselves is made from there (columns of types that Parquet does not hold
+have to be left out before).
 """
 
 from __future__ import annotations
@@ -100,13 +104,14 @@ def sources(sizes: DataFrame, weights=WEIGHTS, most: int = 3) -> DataFrame:
     )
 
 
-def placed(rows: DataFrame, seed: int) -> DataFrame:
-    """Add start: where a row's words begin in its source's stream (rows: doc, source, size, key)."""
+def placed(rows: DataFrame, seed: int, sizes: DataFrame | None = None) -> DataFrame:
+    """Add start: where a row's words begin in its source's stream (rows: doc, source, size, key;
+    sizes: the same rows without doc, where that is costly to read)."""
     order = F.xxhash64("key", F.lit(seed))
-    cut = rows.filter("size > 0").select(
-        "*", order.alias("_order"), F.pmod(F.shiftright(order, 20), F.lit(BUCKETS)).alias("_bucket")
-    )
-    sums = cut.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
+    bucket = F.pmod(F.shiftright(order, 20), F.lit(BUCKETS)).alias("_bucket")
+    cut = rows.select("*", order.alias("_order"), bucket)
+    bare = cut if sizes is None else sizes.select("source", "size", bucket)
+    sums = bare.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
     earlier = Window.partitionBy("source").orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -117,8 +122,9 @@ def placed(rows: DataFrame, seed: int) -> DataFrame:
     within = Window.partitionBy("source", "_bucket").orderBy("_order", "key", "size").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    inner = cut.withColumn("_inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    same = inner["source"].eqNullSafe(sums["_s"]) & (inner["_bucket"] == sums["_b"])
+    # a filter before the window, also one on null buckets, would read and count the text again
+    inner = cut.withColumn("_inner", F.coalesce(F.sum("size").over(within), F.lit(0))).filter("size > 0")
+    same = inner["source"].eqNullSafe(sums["_s"]) & inner["_bucket"].eqNullSafe(sums["_b"])
     return inner.join(sums, same).withColumn("start", F.col("_before") + F.col("_inner")).drop(
         "_order", "_bucket", "_s", "_b", "_before", "_inner"
     )
@@ -183,11 +189,11 @@ def _rows(documents: DataFrame, with_text: bool) -> DataFrame:
 
 def pieces(
     documents: DataFrame, weights=WEIGHTS, most: int = 3, block: int = BLOCK_WORDS,
-    seed: int = 11, shard_slots: int = SHARD_SLOTS, with_text: bool = False,
+    seed: int = 11, shard_slots: int = SHARD_SLOTS,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The rows with their places, the sources with their targets, and what is taken:
+    """The rows without their texts, the sources with their targets, and what is taken:
     source, start, epoch, shard, slot, from, words (from: word number within the document)."""
-    rows = _rows(documents, with_text)
+    rows = stored(_rows(documents, with_text=False), "sizes")
     narrow = rows.select("source", "size", "key")
     per_source = stored(sources(narrow, weights, most), "targets")
     spans = placed(narrow, seed)
@@ -231,12 +237,13 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     """The mix as documents: a row per document and epoch with the words that it takes.  A text
     taken whole stays as it is; of others the taken words are joined by one space, and n_chars
     (where there is such a column) follows the text."""
-    rows, _, taken = pieces(documents, with_text=True, **options)
+    sizes, _, taken = pieces(documents, **options)
+    rows = _rows(documents, with_text=True)
     per = taken.groupBy("source", "start", "epoch").agg(
         F.sum("words").alias("taken"),
         F.sort_array(F.collect_list(F.struct("from", "words"))).alias("parts"),
     )
-    spans = placed(rows, options.get("seed", 11))
+    spans = placed(rows, options.get("seed", 11), sizes)
     same = spans["source"].eqNullSafe(per["source"]) & (spans["start"] == per["start"])
     cut = let(
         words(F.col("doc.text")),

@@ -123,3 +123,22 @@ def test_shard_counts_are_drawn(spark):
 def test_mixture_of_nothing(spark):
     nothing = spark.createDataFrame([], SCHEMA)
     assert mixture.mixture(nothing).count() == 0 and mixture.mixed_documents(nothing).count() == 0
+
+
+def test_each_text_is_read_once(spark):
+    """Words are counted in one scan; the mixed texts take one more."""
+    rows = [(i, f"s{i % 3}", " ".join(["w"] * (i % 60))) for i in range(120)]
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        read.add(1)
+        return text
+
+    docs = spark.createDataFrame(rows, "doc_id long, source string, bare string").select(
+        "doc_id", counted("bare").alias("text"), "source"
+    )
+    assert len(mixture.mixture(docs).collect()) == len(rows)
+    assert read.value == len(rows)
+    assert mixture.mixed_documents(docs).collect()
+    assert read.value == 3 * len(rows)
