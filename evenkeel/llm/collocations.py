@@ -7,7 +7,8 @@ shard, then longer phrases all of whose pairs are.  Tasks count what they read a
 no task holds a shard, so a few shards do, and the local support stays well above one.  The union of
 what is frequent somewhere is the candidate set, but for phrases whose local counts, with one less than
 the support in every other shard, cannot add up to `least`.  A last scan counts all candidates in all
-documents exactly, by their texts.
+documents exactly, by their texts.  Each of its tasks hands on a row for every candidate that it has met,
+so it has no more tasks than keep the cluster busy, however many splits the input has.
 
 What a scan has to know of the level before travels as a bitmap of hashed phrases, `BITS` bits
 whatever the size of the input, put together by Spark's bitmap aggregates.  Hashes (52 bits)
@@ -35,6 +36,7 @@ LEAST, LONGEST, SHARDS, TOP = 100, 5, 4, 2000
 BITS = 27
 SLICE_BYTES, SLICE_DOCUMENTS = 1 << 20, 4096
 HELD = 1_000_000  # counts that a task holds before it hands them on
+ROUNDS = 2  # tasks of the last scan for each core, where the input has as many splits
 _SHARD = 0x5851F42D4C95  # sets the bits of a phrase in one shard apart from those in another
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -345,6 +347,7 @@ def phrase_counts(
     candidates = _bitmap(able.select(F.col("gram").bitwiseAND(mask).alias("spot")), bits)
     return (
         documents.select(lang.alias("lang"), F.xxhash64(lang).alias("language"), "text")
+        .coalesce(ROUNDS * documents.sparkSession.sparkContext.defaultParallelism)
         .mapInArrow(_exact(longest, candidates), "lang string, n_words int, phrase string, n long")
         .groupBy("lang", "n_words", "phrase")
         .agg(F.sum("n").alias("n"))

@@ -92,3 +92,26 @@ def test_bitmap_places(spark):
 
 def test_empty_table(spark):
     assert c.collocations(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_more_splits_hand_on_no_more_counts(spark, monkeypatch):
+    """Every split holds every phrase; rows of the last scan follow the cores, not the splits."""
+    handed, exact = spark.sparkContext.accumulator(0), c._exact
+
+    def watched(*args):
+        run = exact(*args)
+
+        def watched_run(batches):
+            for batch in run(batches):
+                handed.add(batch.num_rows)
+                yield batch
+
+        return watched_run
+
+    monkeypatch.setattr(c, "_exact", watched)
+    docs = spark.range(320).repartition(160).selectExpr(
+        "id AS doc_id", "'one two three. four five' AS text", "'en' AS lang"
+    )
+    got = c.phrase_counts(docs, least=100).collect()
+    assert len(got) == 10 and {r["n"] for r in got} == {320, 5 * 320}
+    assert 0 < handed.value <= 2 * spark.sparkContext.defaultParallelism * len(got)
