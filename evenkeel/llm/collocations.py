@@ -29,12 +29,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from evenkeel.llm.common import stored
+from evenkeel.llm.common import small_batches, stored
 from evenkeel.llm.textkeys import Powers, mix, prefix_sums, slices, string_hash, text_bytes, words
 
 LEAST, LONGEST, SHARDS, TOP = 100, 5, 4, 2000
 BITS = 27
-SLICE_BYTES, SLICE_DOCUMENTS = 1 << 20, 4096
+BATCH_BYTES = 1 << 22  # of texts handed to Python at a time; the JVM holds a batch several times over
+SLICE_BYTES, SLICE_DOCUMENTS = 1 << 18, 4096
 HELD = 1_000_000  # counts that a task holds before it hands them on
 ROUNDS = 2  # tasks of the last scan for each core, where the input has as many splits
 _SHARD = 0x5851F42D4C95  # sets the bits of a phrase in one shard apart from those in another
@@ -223,7 +224,7 @@ class Texts:
 
     def __init__(self) -> None:
         self.parts: list[pa.Table] = []
-        self.held = 0
+        self.held = self.summed = 0  # counts in all parts, and those that have been added up already
 
     def add(self, lang: pa.Array, m: int, phrase: pa.Array, n: np.ndarray) -> None:
         columns = [lang, pa.array(np.full(len(n), m, dtype=np.int32)), phrase, pa.array(n, pa.int64())]
@@ -231,15 +232,15 @@ class Texts:
         self.held += len(n)
 
     def handed_on(self, most: int) -> Iterator[pa.RecordBatch]:
-        """Nothing while no more than `most` counts are held; added up they may be few again."""
-        if self.held <= most:
+        """Adds up when a quarter of `most` has come since; nothing while half of it or less is left then."""
+        if not self.held or most and self.held - self.summed <= most // 4:
             return
         whole = pa.concat_tables(self.parts).group_by(self.names[:3], use_threads=False).aggregate([("n", "sum")])
         whole = whole.rename_columns(self.names)
-        self.parts, self.held = [whole], len(whole)
+        self.parts, self.held, self.summed = [whole], len(whole), len(whole)
         if self.held > most // 2:
             yield from whole.to_batches(max_chunksize=1 << 16)
-            self.parts, self.held = [], 0
+            self.parts, self.held, self.summed = [], 0, 0
 
 
 def _exact(longest: int, shared):
@@ -364,7 +365,8 @@ def collocations(
     (l r)) is least (l, r: how often the parts occur; the earliest cut on ties).  Phrases that
     occur only within a longer one are left out.
     """
-    counts = stored(phrase_counts(documents, least, longest, **options), "phrases")
+    with small_batches(documents.sparkSession, BATCH_BYTES):
+        counts = stored(phrase_counts(documents, least, longest, **options), "phrases")
     phrases = counts.filter("n_words > 1")
     # a phrase is no more frequent than its parts, so a longer one that is as frequent shows in the
     # phrase longer by one word

@@ -5,9 +5,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from evenkeel.llm import collocations as c
+from evenkeel.llm.common import small_batches
 
 SCHEMA = "doc_id long, text string, lang string, n long, shard string"
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -115,3 +117,57 @@ def test_more_splits_hand_on_no_more_counts(spark, monkeypatch):
     got = c.phrase_counts(docs, least=100).collect()
     assert len(got) == 10 and {r["n"] for r in got} == {320, 5 * 320}
     assert 0 < handed.value <= 2 * spark.sparkContext.defaultParallelism * len(got)
+
+
+@pytest.mark.parametrize("scan", ["_mine", "_exact"])
+def test_python_gets_texts_in_small_batches(spark, monkeypatch, scan):
+    """One split of 16 MB of texts in fewer rows than Spark puts into a batch; the session's setting stays."""
+    limit, made = "spark.sql.execution.arrow.maxBytesPerBatch", getattr(c, scan)
+    batches, large = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def watched(*args):
+        run = made(*args)
+
+        def watched_run(given):
+            def seen():
+                for batch in given:
+                    batches.add(1)
+                    large.add(int(batch.nbytes > 6 << 20))
+                    yield batch
+
+            yield from run(seen())
+
+        return watched_run
+
+    monkeypatch.setattr(c, scan, watched)
+    before = spark.conf.get(limit)
+    docs = spark.range(0, 4000, 1, 1).selectExpr("id AS doc_id", "repeat('one two. ', 450) AS text", "'en' AS lang")
+    assert [r["a"] for r in c.collocations(docs).collect()] == [450 * 4000]
+    assert batches.value >= 4 and large.value == 0
+    assert spark.conf.get(limit) == before
+
+
+def test_a_limit_of_the_session_stays(spark):
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(limit, "1m")
+    try:
+        with small_batches(spark, 1 << 22):
+            assert spark.conf.get(limit) == "1m"
+        assert spark.conf.get(limit) == "1m"
+    finally:
+        spark.conf.unset(limit)
+
+
+def test_equal_counts_are_added_up_early():
+    """Slices that repeat the same phrases: a task holds them once and a quarter of its limit."""
+    counts, handed, held = c.Texts(), [], 0
+    phrases = pa.array([f"a {i}" for i in range(100)])
+    for _ in range(200):
+        counts.add(pa.array(["en"] * 100), 2, phrases, np.full(100, 3))
+        held = max(held, counts.held)
+        handed += counts.handed_on(4000)
+    assert not handed and held <= 100 + 1000 + 100
+    handed += counts.handed_on(0)
+    rows = pa.Table.from_batches(handed).to_pylist()
+    assert len(rows) == 100 and {r["n"] for r in rows} == {600} and counts.held == 0
+    assert list(counts.handed_on(0)) == []
