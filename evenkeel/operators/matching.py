@@ -508,70 +508,131 @@ def relevant_examples(requests: DataFrame, learned: DataFrame, top_n: int = 5) -
     Score: name 10, else name key 6, else one edit apart 3; source type 2; target name 4;
     target type 2.  Ties go to the lower ``seq``.
 
-    Examples that agree in all that a request can score have equal scores, so only the first
-    ``top_n`` of such a class can be among the best.  Each way of being found (name and
-    target, name, target, type) keeps the first ``top_n`` of its classes before it is joined,
-    and a name that fills the log cannot multiply.  Names one edit apart meet on their
-    one-deletion forms.
+    Requests that agree in all that scoring reads are answered once.  Examples that agree in all
+    that a request can score have equal scores, so only the first ``top_n`` of such a class can be
+    among the best; a name that fills the log cannot multiply.  Classes are met in four ways: by
+    name and target, by name, by target, by types.  Keys one edit apart meet on their one-deletion
+    forms, each pair of keys once.  Of the examples that share types only, no more than ``top_n``
+    are looked at per combination of asked types.  An example is carried and scored where it is
+    found, so a popular one is no key of a join.
     """
-    examples = learned.select(
-        "seq", "source_column", "target_column",
-        F.upper("source_column").alias("u_source"), F.upper("target_column").alias("u_target"),
-        nm.name_key(F.col("source_column")).alias("key"),
-        F.upper("source_type").alias("u_source_type"),
-        F.upper("target_type").alias("u_target_type"),
-    )
-    asked = requests.select(
+    examples = (
+        learned.filter(F.col("seq").isNotNull())
+        .groupBy(
+            "seq", "source_column", "target_column",
+            F.upper("source_type").alias("u_source_type"),
+            F.upper("target_type").alias("u_target_type"),
+        )
+        .agg(F.count(F.lit(1)).alias("copies"))
+        .withColumns({
+            "u_source": F.upper("source_column"), "u_target": F.upper("target_column"),
+            "key": nm.name_key(F.col("source_column")),
+        })
+    )
+
+    def uppers(name: str) -> Column:
+        return F.transform(F.coalesce(name, F.array().cast("array<string>")), F.upper)
+
+    asked = requests.filter(F.col("request_id").isNotNull()).select(
         "request_id", F.upper("name").alias("r_name"), nm.name_key(F.col("name")).alias("r_key"),
-        F.upper("type").alias("r_type"),
-        F.transform(F.coalesce("target_names", F.array().cast("array<string>")), F.upper)
-        .alias("r_targets"),
-        F.transform(F.coalesce("target_types", F.array().cast("array<string>")), F.upper)
-        .alias("r_target_types"),
+        F.upper("type").alias("r_type"), uppers("target_names").alias("r_targets"),
+        uppers("target_types").alias("r_target_types"),
+    )
+    ask = _digest("r_name", "r_key", "r_type", "r_targets", "r_target_types")
+    asks = asked.drop("request_id").distinct().withColumn("ask", ask).withColumn(
+        "asked_types", _digest("r_type", "r_target_types")
     )
-    ids = ["request_id", "seq"]
     types = ["u_source_type", "u_target_type"]
 
     def firsts(*extra: str) -> DataFrame:
         return top_per_key(examples, [*extra, *types], [F.asc("seq")], top_n)
 
-    def with_forms(frame: DataFrame, key: str) -> DataFrame:
-        return frame.withColumn("form", F.explode(nm.one_deletion_forms(F.col(key))))
+    def keys_with_forms(frame: DataFrame, key: str) -> DataFrame:
+        return frame.select(key).distinct().withColumn(
+            "form", F.explode(nm.one_deletion_forms(F.col(key)))
+        )
 
-    forms = with_forms(asked, "r_key").select("request_id", "form", "r_targets")
-    by_both = forms.withColumn("u_target", F.explode("r_targets")).join(
-        with_forms(firsts("u_source", "u_target"), "key"), ["form", "u_target"]
+    near = (
+        keys_with_forms(asks, "r_key").join(keys_with_forms(examples, "key"), ["form"])
+        .select("r_key", "key").distinct()
+        .filter(nm.within_one_edit(F.col("key"), F.col("r_key")))
     )
-    by_form = forms.join(with_forms(firsts("u_source"), "key"), ["form"])
-    by_target = asked.withColumn("u_target", F.explode("r_targets")).join(
-        firsts("u_target"), ["u_target"]
-    )
-    by_source_type = asked.withColumnRenamed("r_type", "u_source_type").join(
-        firsts(), ["u_source_type"]
-    )
-    by_target_type = asked.withColumn("u_target_type", F.explode("r_target_types")).join(
-        firsts(), ["u_target_type"]
+    by_target = asks.withColumn("u_target", F.explode(F.array_distinct("r_targets")))
+    type_score = (
+        F.when(F.col("u_source_type") == F.col("r_type"), 2).otherwise(0)
+        + F.when(F.array_contains("r_target_types", F.col("u_target_type")), 2).otherwise(0)
     )
-    found = by_both.select(*ids)
-    for way in (by_form, by_target, by_source_type, by_target_type):
-        found = found.unionByName(way.select(*ids))
-    found = found.distinct()
     score = (
         F.when(F.col("u_source") == F.col("r_name"), 10)
         .when(F.col("key") == F.col("r_key"), 6)
         .when(nm.within_one_edit(F.col("key"), F.col("r_key")), 3)
         .otherwise(0)
-        + F.when(F.col("u_source_type") == F.col("r_type"), 2).otherwise(0)
         + F.when(F.array_contains("r_targets", F.col("u_target")), 4).otherwise(0)
-        + F.when(F.array_contains("r_target_types", F.col("u_target_type")), 2).otherwise(0)
-    )
-    scored = (
-        found.join(asked, ["request_id"])
-        .join(examples, ["seq"])
-        .withColumn("score", score)
-        .filter(F.col("score") > 0)
+        + type_score
+    )
+    ways = [
+        by_target.join(near.join(firsts("key", "u_source", "u_target"), ["key"]),
+                       ["r_key", "u_target"]),
+        asks.join(near.join(firsts("key", "u_source"), ["key"]), ["r_key"]),
+        by_target.join(firsts("u_target"), ["u_target"]),
+        asks.join(_of_types(asks, firsts(), type_score, top_n), ["asked_types"]),
+    ]
+    example = ["seq", "source_column", "target_column", *types, "copies"]
+    scored = [way.select("ask", *example, score.alias("score")) for way in ways]
+    found = scored[0]
+    for more in scored[1:]:
+        found = found.unionByName(more)
+    best = (
+        top_per_key(
+            found.filter(F.col("score") > 0).distinct(), ["ask"],
+            [F.desc("score"), F.asc("seq")], top_n,
+        )
+        .groupBy("ask")
+        .agg(F.collect_list(
+            F.struct("seq", "source_column", "target_column", "score", "copies")
+        ).alias("best"))
+    )
+    # an example that the log holds several times, and a request that is made several times, count
+    # as often
+    rows = (
+        asked.select("request_id", ask.alias("ask")).join(best, ["ask"])
+        .select("request_id", F.inline("best"))
+        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(top_n)).cast("int"))))
         .select("request_id", "seq", "source_column", "target_column", "score")
     )
     return top_per_key(
-        scored, ["request_id"], [F.desc("score"), F.asc("seq")], top_n, rank="example_rank"
+        rows, ["request_id"], [F.desc("score"), F.asc("seq")], top_n, rank="example_rank"
     )
+
+
+def _digest(*names: str) -> Column:
+    """One short value for values that are equal in all of ``names`` (256 bits)."""
+    return F.sha2(F.to_json(F.struct(*names)), 256)
+
+
+def _of_types(asks: DataFrame, classes: DataFrame, type_score: Column, top_n: int) -> DataFrame:
+    """The best ``top_n`` examples by types alone, per combination of asked types.
+
+    ``classes`` has the first ``top_n`` examples of every pair of types.  An example that shares no
+    more than types with a request stands behind all that score as much by types and come first.
+    """
+    asked = asks.select("asked_types", "r_type", "r_target_types").distinct()
+    wanted = asked.withColumn("u_target_type", F.explode(F.array_distinct("r_target_types")))
+    of_source = top_per_key(classes, ["u_source_type"], [F.asc("seq")], top_n)
+    of_target = top_per_key(classes, ["u_target_type"], [F.asc("seq")], top_n)
+    found = [
+        asked.withColumn("u_source_type", F.col("r_type")).join(of_source, ["u_source_type"]),
+        wanted.join(of_target, ["u_target_type"]),
+        wanted.withColumn("u_source_type", F.col("r_type")).join(
+            classes, ["u_source_type", "u_target_type"]
+        ),
+    ]
+    columns = ["asked_types", *classes.columns]
+    either = found[0].withColumn("type_score", type_score).select(*columns, "type_score")
+    for way in found[1:]:
+        either = either.unionByName(
+            way.withColumn("type_score", type_score).select(*columns, "type_score")
+        )
+    return top_per_key(
+        either.distinct(), ["asked_types"], [F.desc("type_score"), F.asc("seq")], top_n
+    ).select(*columns)

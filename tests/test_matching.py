@@ -185,6 +185,87 @@ def test_learned_examples_ignore_repeats(spark):
     assert sorted(other) == [0, 1, 2, 3, 4]
 
 
+def _join_rows(frame):
+    """The most rows that a join of the executed plan put out."""
+    frame.collect()
+    most, todo = 0, [frame._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        if "Join" in name:
+            most = max(most, node.metrics().get("numOutputRows").get().value())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return most
+
+
+def test_learned_examples_by_types_do_not_multiply(spark):
+    """Sixty types that share a target type put a handful of examples before each request."""
+    learned = spark.range(600).select(
+        F.col("id").alias("seq"), F.concat(F.lit("learned"), "id").alias("source_column"),
+        F.concat(F.lit("T"), "id").alias("target_column"),
+        F.concat(F.lit("type"), F.col("id") % 60).alias("source_type"),
+        F.lit("VARCHAR").alias("target_type"))
+    asked = spark.range(500).select(
+        F.concat(F.lit("r"), "id").alias("request_id"),
+        F.concat(F.lit("asked"), F.col("id") * 1000).alias("name"),
+        F.concat(F.lit("type"), F.col("id") % 60).alias("type"),
+        F.array(F.lit("NONE")).alias("target_names"), F.array(F.lit("VARCHAR")).alias("target_types"))
+    best = mt.relevant_examples(asked, learned)
+    assert {r["seq"] % 60 for r in best.filter("request_id = 'r7'").collect()} == {7}
+    assert _join_rows(best) <= 500 * 10
+
+
+def test_learned_examples_against_brute_force(spark):
+    """Repeated and empty requests and examples count as often as they occur."""
+    rnd = random.Random(5)
+    names = ["Id", "id", "ids", "i_d", "code", "cod", "node", "", None, "a1", "a2", "b_1"]
+    pick = lambda *x: rnd.choice([*x, None])
+    learned = [(i, rnd.choice(names), pick("ID", "CODE", "X"), pick("int", "INT", "text", "uuid"),
+                pick("NUMBER", "TEXT")) for i in range(60)]
+    learned += [learned[3], learned[3], learned[40], (None, "id", "ID", "int", "NUMBER")]
+    asked = [(f"r{i}", rnd.choice(names), pick("int", "TEXT", "uuid"),
+              rnd.choice([None, [], ["id"], ["Id", "code", None], ["x", "X"]]),
+              rnd.choice([None, [], ["number"], ["TEXT", None, "number"]])) for i in range(40)]
+    asked += [asked[0], asked[1], asked[1], ("r2", "code", "int", ["x"], ["TEXT"]),
+              (None, "id", "int", ["id"], ["NUMBER"])]
+    key = lambda x: "".join(c for c in (x or "").lower() if c.isalnum())
+    up = lambda x: None if x is None else x.upper()
+
+    def close(a, b):
+        cut = lambda x: {x[:i] + x[i + 1:] for i in range(len(x))}
+        return (a in cut(b) or b in cut(a) or len(a) == len(b)
+                and sum(x != y for x, y in zip(a, b)) <= 1)
+
+    expected = {}
+    for rid, name, kind, targets, kinds in asked:
+        for seq, source, target, source_type, target_type in learned:
+            if rid is None or seq is None:
+                continue
+            score = (10 if name is not None and up(name) == up(source) else
+                     6 if key(name) == key(source) else 3 if close(key(name), key(source)) else 0)
+            score += 2 if kind is not None and up(kind) == up(source_type) else 0
+            score += 4 if target is not None and up(target) in map(up, targets or []) else 0
+            score += 2 if target_type is not None and up(target_type) in map(up, kinds or []) else 0
+            if score:
+                expected.setdefault(rid, []).append((-score, seq, source, target))
+    columns = "seq long, source_column string, target_column string, source_type string, target_type string"
+    requests = ("request_id string, name string, type string, target_names array<string>, "
+                "target_types array<string>")
+    got = {}
+    for r in mt.relevant_examples(spark.createDataFrame(asked, requests),
+                                  spark.createDataFrame(learned, columns)).collect():
+        got.setdefault(r["request_id"], []).append(
+            (r["example_rank"], -r["score"], r["seq"], r["source_column"], r["target_column"]))
+    assert {k: sorted(v) for k, v in got.items()} == {
+        k: [(i, *x) for i, x in enumerate(sorted(v, key=lambda x: x[:2])[:5], 1)]
+        for k, v in expected.items()}
+
+
 def test_plan_round_trip(spark, tmp_path):
     from evenkeel.sources import sinks
 
