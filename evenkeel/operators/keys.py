@@ -5,13 +5,16 @@ search goes level by level: sets of one column, of two, and so on.  Each level s
 and numbers alone and touches the data only for what is left:
 
 1. a set with a key inside is no minimal key;
-2. a set can tell apart no more rows than the product of the distinct counts of its parts: of
-   columns from sketches, all in one scan; of larger sets from the slices of the levels before;
-3. one hash slice of the rows, all sets in one scan: rows equal in a set fall into the same slice, so a
-   set with duplicates shows them there, at a fraction of the shuffle, and the hashes in the slice
-   tell about how many the set has;
-4. a full count of distinct hashes.  As many hashes as rows prove a key; where a few are missing
-   (two rows may share a hash), the values themselves are grouped.
+2. a set can tell apart no more rows than the product of the distinct counts of its parts, which
+   come from sketches, all in one scan;
+3. slices of the rows: rows equal in a set are equal in its column of most values, its anchor, so a
+   slice by the hash of the anchor holds a set's duplicates together.  One scan takes the slices of
+   all anchors, and only their rows are hashed set by set.  Sets that stand get a slice ``GROWTH``
+   times as large, until the next one would be the table;
+4. a full count of the hashes that several rows share.  None prove a key; where so few are shared
+   that it may be chance (two rows may share a hash), the values of their rows are grouped.  Rows
+   equal in a set are equal in its parts: where a part repeats in a few rows, only these are looked
+   at for the sets around it.
 
 So the full data is shuffled for sets that are keys or nearly so.  A level whose sets are many is
 taken in chunks of ``AT_ONCE``.
@@ -21,16 +24,23 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import combinations
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from evenkeel.operators.metrics import key_candidates
 from evenkeel.operators.projection import ColumnPair, quoted
 from evenkeel.schema import schema
+from evenkeel.sources.folders import new_folder
 
 LONGEST, AT_ONCE = 3, 32
-SLICE_ROWS, MOST_SLICES = 1024, 4096
+# sets counted in full at once: each puts a row per row into the shuffle
+COUNTED_AT_ONCE = 8
+SLICE_ROWS, MOST_SLICES, GROWTH = 1024, 4096, 16
+# values of an anchor in a slice at least, and repeated hashes whose rows are looked up at most
+SLICE_VALUES, FEW_REPEATS = 16, 1 << 13
 SKETCH_ERROR = 0.02
 # a sketch is trusted to this factor only (many times its standard error)
 MARGIN = 1.25
@@ -86,21 +96,103 @@ def _sketched(frame: DataFrame, sets: list[tuple[str, ...]]) -> dict[tuple[str,
     return found
 
 
-def _hashes(frame: DataFrame, sets: list[tuple[str, ...]], slices: int) -> dict[tuple[str, ...], tuple]:
-    """Rows and distinct hashes of each set, of one in ``slices`` hashes."""
+def _anchor(s: tuple[str, ...], known: dict[tuple[str, ...], float]) -> str:
+    return max(s, key=lambda n: known[(n,)])
+
+
+def _slices(anchor: str, known: dict[tuple[str, ...], float], wanted: int) -> int:
+    """Into how many slices the rows go by the hash of ``anchor``: each should hold some values."""
+    return max(1, min(wanted, int(known[(anchor,)] / MARGIN / SLICE_VALUES)))
+
+
+def _sliced(
+    frame: DataFrame, sets: list[tuple[str, ...]], known: dict[tuple[str, ...], float], wanted: int,
+) -> dict[tuple[str, ...], tuple]:
+    """Rows and distinct hashes of each set in the slice of its anchor."""
+    inside = {
+        a: F.pmod(_hash(frame, [a]), F.lit(_slices(a, known, wanted))) == 0
+        for a in dict.fromkeys(_anchor(s, known) for s in sets)
+    }
+    if not inside:
+        return {}
+    taken = frame.select(*[quoted(n) for n in dict.fromkeys(n for s in sets for n in s)]).filter(
+        reduce(or_, inside.values())
+    )
+    if len(sets) > AT_ONCE:
+        taken = _stored(taken, "slices")
+    return _hashes(taken, sets, [inside[_anchor(s, known)] for s in sets])
+
+
+def _hashes(
+    frame: DataFrame, sets: list[tuple[str, ...]], where: list[Column] | None = None
+) -> dict[tuple[str, ...], tuple]:
+    """Rows and distinct hashes of each set, of the rows that its ``where`` takes."""
     found = {}
-    for some in _chunks(sets, AT_ONCE):
-        each = F.array(*[
-            F.struct(F.lit(i).alias("i"), _hash(frame, s).alias("h")) for i, s in enumerate(some)
-        ])
-        if slices > 1:
-            each = F.filter(each, lambda x: F.pmod(x["h"], F.lit(slices)) == 0)
+    for some in _chunks(list(enumerate(sets)), AT_ONCE):
+        each = [
+            F.struct(
+                F.lit(i).alias("i"),
+                (F.when(where[i], _hash(frame, s)) if where else _hash(frame, s)).alias("h"),
+            )
+            for i, s in some
+        ]
         rows = (
-            frame.select(F.inline(each)).groupBy("i", "h").agg(F.count(F.lit(1)).alias("n"))
+            frame.select(F.inline(F.array(*each))).filter(F.col("h").isNotNull())
+            .groupBy("i", "h").agg(F.count(F.lit(1)).alias("n"))
             .groupBy("i").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("hashes"))
         )
         seen = {r["i"]: (r["rows"], r["hashes"]) for r in rows.collect()}
-        found |= {s: seen.get(i, (0, 0)) for i, s in enumerate(some)}
+        found |= {s: seen.get(i, (0, 0)) for i, s in some}
+    return found
+
+
+def _stored(frame: DataFrame, name: str) -> DataFrame:
+    folder = new_folder(frame.sparkSession, name)
+    frame.write.parquet(folder)
+    return frame.sparkSession.read.schema(frame.schema).parquet(folder)
+
+
+@dataclass
+class Repeats:
+    """What a full count found of a set: hashes that several rows share, and rows beyond the first."""
+
+    hashes: int
+    surplus: int
+    shared: DataFrame
+
+    def rows(self, frame: DataFrame, s: tuple[str, ...], names: Iterable[str]) -> DataFrame:
+        """All rows of ``frame`` whose hash of ``s`` is shared, stored."""
+        return _stored(
+            frame.select(*[quoted(n) for n in names]).withColumn("__h", _hash(frame, s))
+            .join(self.shared, ["__h"], "left_semi").drop("__h"),
+            "repeats",
+        )
+
+
+def _repeats(frame: DataFrame, sets: list[tuple[str, ...]]) -> dict[tuple[str, ...], Repeats]:
+    """The hashes that rows share, of sets that are keys or nearly so.
+
+    Nearly every hash is a group of its own, so rows are dealt out before they are grouped.
+    """
+    found = {}
+    for some in _chunks(sets, COUNTED_AT_ONCE):
+        each = [
+            F.struct(F.lit(i).alias("i"), _hash(frame, s).alias("h")) for i, s in enumerate(some)
+        ]
+        shared = _stored(
+            frame.select(F.inline(F.array(*each))).repartition("i", "h")
+            .groupBy("i", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1),
+            "shared",
+        )
+        counted = shared.groupBy("i").agg(
+            F.count(F.lit(1)).alias("hashes"), F.sum(F.col("n") - 1).alias("surplus")
+        )
+        seen = {r["i"]: (r["hashes"], r["surplus"]) for r in counted.collect()}
+        found |= {
+            s: Repeats(*seen.get(i, (0, 0)),
+                       shared.filter(F.col("i") == i).select(F.col("h").alias("__h")))
+            for i, s in enumerate(some)
+        }
     return found
 
 
@@ -123,6 +215,7 @@ def search_keys(
     names = [n for n, nulls in zip(names, counted[1:]) if nulls == 0]
     # upper bounds of the distinct values of sets
     known: dict[tuple[str, ...], float] = _sketched(frame, [(n,) for n in names])
+    counts: dict[tuple[str, ...], Repeats] = {}
     for size in range(1, longest + 1):
         level = Level(size)
         search.levels.append(level)
@@ -133,23 +226,44 @@ def search_keys(
         known |= {s: _bound(s, known) for s in minimal if s not in known}
         able = [s for s in minimal if known[s] >= search.row_count]
         level.too_few_values = len(minimal) - len(able)
-        sliced = _hashes(frame, able, slices) if slices > 1 else {}
-        known |= {s: min(known[s], _most(n, slices)) for s, (_, n) in sliced.items()}
-        alike = [s for s in able if not sliced or _may_be_key(*sliced[s])]
+        alike, seen, wanted = able, {}, slices
+        while wanted > 1:
+            parts = {s: _slices(_anchor(s, known), known, wanted) for s in alike}
+            due = [s for s in alike if 1 < parts[s] != seen.get(s)]
+            seen |= parts
+            refuted = {s for s, n in _sliced(frame, due, known, wanted).items() if not _may_be_key(*n)}
+            alike = [s for s in alike if s not in refuted]
+            wanted //= GROWTH
         level.refuted_by_slice = len(able) - len(alike)
-        full = _hashes(frame, alike, 1)
-        found = [s for s in alike if full[s][0] == full[s][1]]
-        unsure = [s for s in alike if s not in found and _may_be_key(*full[s])]
-        if unsure:
-            grouped = key_candidates(frame, unsure).filter("is_key").select("candidate")
-            proven = {r["candidate"] for r in grouped.collect()}
-            found += [s for s in unsure if ",".join(s) in proven]
+        found = _keys_of(frame, alike, search.row_count, counts)
         level.refuted_by_count = len(alike) - len(found)
         level.keys = len(found)
         search.keys += sorted(found, key=sets.index)
     return search
 
 
+def _keys_of(
+    frame: DataFrame, sets: list[tuple[str, ...]], rows: int, counts: dict[tuple[str, ...], Repeats],
+) -> list[tuple[str, ...]]:
+    """Which sets are keys, counted in full; ``counts`` has the counted sets of smaller sizes."""
+    few = {s: r for s, r in counts.items() if r.hashes <= FEW_REPEATS}
+    part = {s: next((p for p in few if set(p) <= set(s)), None) for s in sets}
+    found = []
+    for p in dict.fromkeys(p for p in part.values() if p):
+        around = [s for s in sets if part[s] == p]
+        repeated = few[p].rows(frame, p, dict.fromkeys(n for s in around for n in s))
+        found += [s for s, (n, hashes) in _hashes(repeated, around).items() if n == hashes]
+    full = _repeats(frame, [s for s in sets if not part[s]])
+    counts |= full
+    for s, r in full.items():
+        if r.surplus and _may_be_key(rows, rows - r.surplus):
+            grouped = key_candidates(r.rows(frame, s, s), [s])
+            r.surplus = 0 if grouped.first()["is_key"] else r.surplus
+        if not r.surplus:
+            found.append(s)
+    return found
+
+
 def _bound(s: tuple[str, ...], known: dict[tuple[str, ...], float]) -> float:
     """The most distinct values that a set can have: over all ways to split it in two known parts."""
     bounds = [
@@ -160,11 +274,6 @@ def _bound(s: tuple[str, ...], known: dict[tuple[str, ...], float]) -> float:
     return min(bounds)
 
 
-def _most(hashes: int, slices: int) -> float:
-    """The most hashes in all, when one slice has so many (six standard errors and some)."""
-    return slices * (hashes + 6 * hashes**0.5 + 12)
-
-
 def _may_be_key(rows: int, hashes: int) -> bool:
     """Are the missing hashes few enough to be chance?  ``rows`` hashes of 64 bits meet about
     rows^2 / 2^65 times; below 2^24 rows that is once in 10^5 searches, and not assumed."""

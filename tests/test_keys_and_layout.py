@@ -55,6 +55,22 @@ def test_key_search_leaves_most_sets_alone(spark):
     assert sum(x.refuted_by_count + x.keys for x in got.levels) < sum(x.sets for x in got.levels) / 4
 
 
+def test_sets_are_hashed_on_slices_and_on_the_rows_that_a_part_repeats(spark, monkeypatch):
+    frame = spark.range(4096).selectExpr(
+        "id div 8 AS a", "if(id = 9, 0, id % 8) AS b", "id % 2 AS c", "id % 3 AS d")
+    whole, plain = set(), keys._hash
+
+    def hashed(rows, names):
+        if rows is frame and len(names) > 1:
+            whole.add(tuple(names))
+        return plain(rows, names)
+
+    monkeypatch.setattr(keys, "_hash", hashed)
+    got = keys.search_keys(frame, slice_rows=64)
+    assert got.keys == [("a", "b", "c"), ("a", "b", "d")]
+    assert whole == {("a", "b")}  # repeated once; the sets around it are keys by these two rows
+
+
 def test_keys_of_nothing(spark):
     empty = spark.createDataFrame([], "a int, b string")
     assert keys.discover_keys(empty).collect() == []
