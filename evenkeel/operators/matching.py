@@ -4,22 +4,27 @@ Catalog frames have ``table, ordinal, name, type``.  Candidate search never pair
 source row with every target row: the names of a table are packed into bounded chunks, every
 source name meets each chunk of its table once, keeps its best few names of the chunk, and
 the chunk winners are ranked.  All names are scored, so the result is exact, and a table
-with very many columns is spread over its chunks.
+with very many columns is spread over its chunks.  A schema has far more tables than a table has
+columns: table names are searched in tries (``operators.nearest``), with the same result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from evenkeel import fixed_values as fv
 from evenkeel.functions import names as nm
 from evenkeel.functions.binding import filled
 from evenkeel.functions.rounding import round_even
+from evenkeel.operators.nearest import nearest_cells
 from evenkeel.operators.windows import top_per_key
 
 #: target names scored together in one row, and source rows of one slice
 CHUNK_NAMES = 64
 SLICE_ROWS = 1024
+#: target tables of one trie, and source tables that search it in one task
+CHUNK_TABLES = 1 << 16
+SLICE_TABLES = 1024
 
 
 # --- exact matching ------------------------------------------------------------------------
@@ -390,41 +395,61 @@ def _tables_once(frame: DataFrame) -> DataFrame:
     )
 
 
+def _table_cells(source: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides dealt out so that every source table meets every chunk of its schema's targets.
+
+    A schema is cut into a grid of about CHUNK_TABLES targets and SLICE_TABLES sources a cell.  The
+    number of partitions is fixed, as for columns: adaptive execution would merge cells by their bytes.
+    """
+    cells = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def parts(frame: DataFrame, size: int, name: str) -> DataFrame:
+        return frame.groupBy("schema").agg(
+            F.ceil(F.count(F.lit(1)) / F.lit(float(size))).cast("long").alias(name)
+        )
+
+    sizes = parts(source, SLICE_TABLES, "slices").join(
+        parts(target, CHUNK_TABLES, "chunks"), ["schema"]
+    )
+
+    def dealt(frame: DataFrame, mine: str, own: str, other: str, others: str) -> DataFrame:
+        return (
+            frame.join(sizes, ["schema"])
+            .withColumn(own, F.pmod(F.xxhash64("table"), F.col(mine)))
+            .withColumn(other, F.explode(F.sequence(_long(0), F.col(others) - 1)))
+            .drop("slices", "chunks")
+            .repartition(cells, "schema", "chunk", "slice")
+        )
+
+    return (dealt(source, "slices", "slice", "chunk", "chunks"),
+            dealt(target, "chunks", "chunk", "slice", "slices"))
+
+
 def similar_tables(
     source: DataFrame, target: DataFrame, low: float = 0.30, top_n: int = 5
 ) -> DataFrame:
     """Most similar target tables of every source table of the same ``schema``.
 
     Frames have ``schema, table``.  Names are scored as columns are: twice the longest common
-    subsequence of the name keys over both lengths.  ``low`` is the least ratio; names whose
-    lengths alone rule it out are not scored.
+    subsequence of the name keys over both lengths.  ``low`` is the least ratio.  A source table
+    reads only as far into the names of its schema as they can still be among its best.
     """
-    key = nm.name_key(F.col("table"))
-    entry = F.struct(
-        F.col("table").alias("name"), key.alias("key"), nm.char_codes(key).alias("codes")
-    )
-    asked = source.select(
-        "schema", F.col("table").alias("source_table"), key.alias("source_key")
-    ).distinct().withColumn("bits", nm.name_bits(F.col("source_key")))
-    met = _meet_chunks(asked, _tables_once(target), "schema", entry)
-    mine = F.length("source_key")
-
-    def able(e: Column) -> Column:
-        theirs = F.length(e["key"])
-        return 2 * F.least(mine, theirs) >= low * (mine + theirs)
-
-    scored = F.transform(
-        F.filter("entries", able),
-        lambda e: F.struct(
-            (-nm.similarity(F.col("source_key"), e["key"], F.col("bits"), e["codes"]))
-            .alias("minus"),
-            e["name"].alias("name"),
-        ),
-    )
-    best = F.slice(F.array_sort(F.filter(scored, lambda x: x["minus"] <= -low)), 1, top_n)
-    winners = met.select("schema", "source_table", F.inline(best)).select(
-        "schema", "source_table", F.col("name").alias("target_table"),
-        (-F.col("minus")).alias("ratio"),
+    key = nm.name_key(F.col("table")).alias("key")
+    asked = source.select("schema", "table", key).distinct()
+    offered = _tables_once(target).select("schema", "table", key)
+    if low > 0:  # an empty key scores 0
+        asked, offered = (frame.filter(F.col("key") != "") for frame in (asked, offered))
+    left, right = (
+        frame.groupBy("schema", "chunk", "slice") for frame in _table_cells(asked, offered)
+    )
+    text = T.StringType()
+    winners = left.cogroup(right).applyInArrow(
+        nearest_cells(low, top_n),
+        T.StructType([
+            T.StructField("schema", source.schema["schema"].dataType),
+            T.StructField("source_table", text), T.StructField("target_table", text),
+            T.StructField("ratio", T.DoubleType()),
+        ]),
     )
     return top_per_key(
         winners, ["schema", "source_table"], [F.desc("ratio"), F.asc("target_table")], top_n,

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evenkeel.functions import names as nm
-from evenkeel.operators import matching as mt
+from evenkeel.operators import matching as mt, nearest
 from evenkeel.operators.windows import top_per_key
 from evenkeel.plans import mapping as plan
 from evenkeel.suite import fixtures as fx
@@ -108,6 +108,56 @@ def test_match_tables_against_brute_force(spark, monkeypatch):
         assert sorted(got.get((r["schema"], r["table"]), [])) == expected
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_nearest_names_equal_brute_force(seed, monkeypatch):
+    """Short and long keys, equal keys under several names, and cuts while hits come in."""
+    if seed % 2:
+        monkeypatch.setattr(nearest, "STATES", 7)
+        monkeypatch.setattr(nearest, "HITS", 11)
+    rnd = random.Random(seed)
+    letters, most = rnd.choice(["ab1", "abcdefghij0123456789"]), [5, 14, 140][seed % 3]
+
+    def word():
+        return "".join(rnd.choice(letters) for _ in range(rnd.choice([rnd.randint(0, most), most // 2])))
+
+    base = word()
+    keys = [rnd.choice([word(), base[: rnd.randint(0, len(base))] + word()[:3]]) for _ in range(50)]
+    names = [f"{k.upper()}_{i}" for i, k in enumerate(keys)]
+    asked = [word() for _ in range(12)] + [base, base + "a", ""]
+    for low, n in ((0, 2), (0.3, 5), (0.4, 3), (1.0, 1)):
+        expected = []
+        for i, a in enumerate(asked):
+            scored = [(-(2.0 * lcs(a, k) / (len(a) + len(k)) if a and k else 0.0), name)
+                      for k, name in zip(keys, names)]
+            expected += [(i, name, -s) for s, name in sorted(x for x in scored if -x[0] >= low)[:n]]
+        asker, found, score = nearest.nearest(asked, names, keys, low, n)
+        assert sorted(zip(asker, (names[i] for i in found), score)) == sorted(expected)
+
+
+def test_table_cells_find_what_one_scan_finds(spark, monkeypatch):
+    """Several chunks and slices per schema; empty and NULL names match nothing."""
+    source, target = tables(spark)
+    odd = spark.createDataFrame(
+        [("schema_1", None), ("schema_1", "__"), (None, "x")], "schema string, table string")
+    source, target = source.unionByName(odd), target.unionByName(odd)
+    whole = mt.similar_tables(source, target).collect()
+    monkeypatch.setattr(mt, "CHUNK_TABLES", 3)
+    monkeypatch.setattr(mt, "SLICE_TABLES", 2)
+    assert sorted(whole) == sorted(mt.similar_tables(source, target).collect())
+    assert whole and {r["source_table"] for r in whole}.isdisjoint({None, "__", "x"})
+
+
+@pytest.mark.parametrize("find", ["match_tables"])
+def test_tables_do_not_meet_every_chunk_of_their_schema(spark, find):
+    source = spark.range(400).select(
+        F.lit("s").alias("schema"), F.format_string("customer_%09d", "id").alias("table"))
+    target = spark.range(2000).select(
+        F.lit("s").alias("schema"), F.format_string("CUSTOMER%09d", "id").alias("table"))
+    confirmed = spark.createDataFrame([], "source_table string, target_table string")
+    more = [confirmed] if find == "suggest_targets" else []
+    assert _join_rows(getattr(mt, find)(source, target, *more)) <= 2400
+
+
 def test_suggest_targets_uses_stored_names(spark):
     source = spark.createDataFrame(
         [("s", "orders"), ("s", "ordres"), ("s", "zzz"), ("s", "seen"), ("none", "t")],
