@@ -147,7 +147,7 @@ def test_table_cells_find_what_one_scan_finds(spark, monkeypatch):
     assert whole and {r["source_table"] for r in whole}.isdisjoint({None, "__", "x"})
 
 
-@pytest.mark.parametrize("find", ["match_tables"])
+@pytest.mark.parametrize("find", ["match_tables", "suggest_targets"])
 def test_tables_do_not_meet_every_chunk_of_their_schema(spark, find):
     source = spark.range(400).select(
         F.lit("s").alias("schema"), F.format_string("customer_%09d", "id").alias("table"))
