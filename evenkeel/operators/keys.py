@@ -9,8 +9,8 @@ and numbers alone and touches the data only for what is left:
    come from sketches, all in one scan;
 3. slices of the rows: rows equal in a set are equal in its column of most values, its anchor, so a
    slice by the hash of the anchor holds a set's duplicates together.  One scan takes the slices of
-   all anchors, and only their rows are hashed set by set.  Sets that stand get a slice ``GROWTH``
-   times as large, until the next one would be the table;
+   all anchors, and only their rows are hashed set by set.  Sets that stand get larger slices, each
+   about ``GROWTH`` times as large, up to one in ``LAST_SLICES``;
 4. a full count of the hashes that several rows share.  None prove a key; where so few are shared
    that it may be chance (two rows may share a hash), the values of their rows are grouped.  Rows
    equal in a set are equal in its parts: where a part repeats in a few rows, only these are looked
@@ -26,6 +26,7 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from itertools import combinations
+from math import log
 from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -38,7 +39,7 @@ from evenkeel.sources.folders import new_folder
 LONGEST, AT_ONCE = 3, 32
 # sets counted in full at once: each puts a row per row into the shuffle
 COUNTED_AT_ONCE = 8
-SLICE_ROWS, MOST_SLICES, GROWTH = 1024, 4096, 16
+SLICE_ROWS, MOST_SLICES, LAST_SLICES, GROWTH = 1024, 4096, 8, 16
 # values of an anchor in a slice at least, and repeated hashes whose rows are looked up at most
 SLICE_VALUES, FEW_REPEATS = 16, 1 << 13
 SKETCH_ERROR = 0.02
@@ -105,6 +106,14 @@ def _slices(anchor: str, known: dict[tuple[str, ...], float], wanted: int) -> in
     return max(1, min(wanted, int(known[(anchor,)] / MARGIN / SLICE_VALUES)))
 
 
+def _tiers(slices: int) -> list[int]:
+    """Numbers of slices, from ``slices`` to LAST_SLICES in equal ratios near GROWTH."""
+    if slices <= LAST_SLICES:
+        return [slices] if slices > 1 else []
+    times = max(1, round(log(slices / LAST_SLICES, GROWTH)))
+    return [round(slices * (LAST_SLICES / slices) ** (i / times)) for i in range(times + 1)]
+
+
 def _sliced(
     frame: DataFrame, sets: list[tuple[str, ...]], known: dict[tuple[str, ...], float], wanted: int,
 ) -> dict[tuple[str, ...], tuple]:
@@ -226,14 +235,13 @@ def search_keys(
         known |= {s: _bound(s, known) for s in minimal if s not in known}
         able = [s for s in minimal if known[s] >= search.row_count]
         level.too_few_values = len(minimal) - len(able)
-        alike, seen, wanted = able, {}, slices
-        while wanted > 1:
+        alike, seen = able, {}
+        for wanted in _tiers(slices):
             parts = {s: _slices(_anchor(s, known), known, wanted) for s in alike}
             due = [s for s in alike if 1 < parts[s] != seen.get(s)]
             seen |= parts
             refuted = {s for s, n in _sliced(frame, due, known, wanted).items() if not _may_be_key(*n)}
             alike = [s for s in alike if s not in refuted]
-            wanted //= GROWTH
         level.refuted_by_slice = len(able) - len(alike)
         found = _keys_of(frame, alike, search.row_count, counts)
         level.refuted_by_count = len(alike) - len(found)
